@@ -1,0 +1 @@
+"""Column functions.  All of them are built from native expressions."""

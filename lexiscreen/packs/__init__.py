@@ -1,0 +1 @@
+"""Rule packs, lexicons and taxonomies."""
