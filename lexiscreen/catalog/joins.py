@@ -193,11 +193,11 @@ def j08(spark, folder):
     "j10_female_form_probe",
     q.with_(q.VOCABULARY)
     + """SELECT m.lang, m.tok AS masculine, f.tok AS feminine, f.n FROM vocabulary m
-    JOIN vocabulary f ON f.lang = 'de' AND f.tok = m.tok || 'in' WHERE m.lang = 'de' AND ends_with(m.tok, 'er') AND length(m.tok) >= 4""",
+    JOIN vocabulary f ON f.lang = 'de' AND f.tok = m.tok || 'in' WHERE m.lang = 'de' AND length(m.tok) >= 3""",
 )
 def j10(spark, folder):
     words = vocabulary(tokens(src.documents(spark, folder).filter("lang = 'de'")))
-    masculine = words.filter("endswith(tok, 'er') AND length(tok) >= 4")
+    masculine = words.filter("length(tok) >= 3")
     masculine = masculine.select("lang", F.col("tok").alias("masculine"), F.concat("tok", F.lit("in")).alias("tok"))
     return masculine.join(words, ["lang", "tok"]).select("lang", "masculine", F.col("tok").alias("feminine"), "n")
 

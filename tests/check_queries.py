@@ -45,8 +45,9 @@ def compare(spark, con, folder, name, function, sql):
         return f"COLUMNS {sorted(df.columns)} <> {sorted(columns)}", False, took
     a, b = rows_of(df.columns, got), rows_of(columns, want)
     if a != b:
-        only_a = [r for r in a if r not in set(b)][:3]
-        only_b = [r for r in b if r not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        only_a = [r for r in a if r not in in_b][:3]
+        only_b = [r for r in b if r not in in_a][:3]
         return f"MISMATCH {len(a)} / {len(b)} rows\n   spark {only_a}\n   sql   {only_b}", False, took
     return f"ok {len(a)} rows {took:.1f}s", bool(a), took
 
