@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import joins, scalars  # noqa: F401
+from . import joins, ordered, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -30,7 +30,7 @@ def _add(name, sql, columns, condition="true", where="true"):
 
 
 tok = lambda: F.col("tok")
-_add("f01_upperfirst", "upper(left(tok, 1)) || substr(tok, 2) AS value", lambda: [w.upper_first(tok()).alias("value")])
+_add("f01_upperfirst", "replace(upper(left(tok, 1)), 'ẞ', 'SS') || substr(tok, 2) AS value", lambda: [w.upper_first(tok()).alias("value")])
 
 @query(
     "f02_common_prefix",
@@ -242,7 +242,7 @@ def f07(spark, folder):
 )
 def f10n(spark, folder):
     rows = gendered(spark, folder).withColumn("target", F.explode(F.array(*map(F.lit, gender.FORMATS))))
-    return rows.select("written", "target", gender.convert_noun(F.col("written"), F.col("target")).alias("converted"))
+    return gender.convert_nouns(rows).select("written", "target", "converted")
 
 
 # -- article pairs -----------------------------------------------------------

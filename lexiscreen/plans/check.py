@@ -45,16 +45,14 @@ def at_clause_start():
     return before.rlike(r"^ {0,5}$") | before.rlike(r"[.!?:,]\s{0,5}$")
 
 
-def findings(
+def ranked(
     texts: DataFrame,
     spark,
     disabled: list[str] | None = None,
     addons: list[str] | None = None,
-    most: int = 5,
-    ignored: DataFrame | None = None,
     rules: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per finding: span, rule, category, severity and suggestions."""
+    """The first surviving rule of every token."""
     rules = packs.rules(spark) if rules is None else rules
     found = matched(texts, rules, packs.lemmas(spark), addons)
     found = found.filter(~((F.col("lang") == "de") & (F.col("lemma") == "aber") & at_clause_start()))
@@ -65,17 +63,33 @@ def findings(
         & ~((F.col("pluralization") == "singular_only") & (F.col("number") == "plural"))
     )
     found = suppress.without_false_positives(found, packs.false_positives(spark))
+    # From here on a match is a narrow row: the neighbourhood stays behind.
     slim = found.select(
         "doc_id", "lang", "i", "skip", "start", "end", "text", "rule_id", "subcategory", "number", "explanation",
         "stage", "n_words", "words", "rule_word_type", "lemmatize",
     )
-    kept = ranking.non_overlapping(ranking.best_rule(slim))
+    return ranking.best_rule(slim)
+
+
+def findings(
+    texts: DataFrame,
+    spark,
+    disabled: list[str] | None = None,
+    addons: list[str] | None = None,
+    most: int = 5,
+    ignored: DataFrame | None = None,
+    rules: DataFrame | None = None,
+) -> DataFrame:
+    """One row per finding: span, rule, category, severity and suggestions."""
+    rules = packs.rules(spark) if rules is None else rules
+    kept = ranking.non_overlapping(ranked(texts, spark, disabled, addons, rules))
     if ignored is not None:
         kept = suppress.without_ignored(kept, ignored)
     graded = kept.join(taxonomy.severity(packs.taxonomy(spark), packs.levels(spark)), "subcategory")
     suggested = alts.suggestion_table(rules, packs.alternatives(spark))
+    none = F.array().cast("array<struct<ord:int,alt:string,is_remove:boolean,is_inspiration:boolean,label:string>>")
     return (
         graded.join(suggested, ["rule_id", "number"], "left")
-        .withColumn("alternatives", alts.clean(F.col("alternatives"), F.col("text"), most))
+        .withColumn("alternatives", alts.clean(F.coalesce("alternatives", none), F.col("text"), most))
         .drop("stage", "n_words", "words", "rule_word_type", "lemmatize")
     )
