@@ -71,12 +71,14 @@ def annotated(spark, folder):
 
 @query("j01_rule_candidates", BASE + "SELECT doc_id, i, tok, rule_id FROM candidates")
 def j01(spark, folder):
-    return matching.rule_candidates(annotated(spark, folder), packs.rules(spark)).select("doc_id", "i", "tok", "rule_id")
+    found = matching.candidates(annotated(spark, folder), packs.rules(spark).filter("rtype = 'default'"))
+    return found.select("doc_id", "i", "tok", "rule_id")
 
 
 @query("j02_suffix_join", BASE + "SELECT doc_id, i, tok, rule_id FROM suffixes")
 def j02(spark, folder):
-    return matching.suffix_candidates(annotated(spark, folder), packs.rules(spark)).select("doc_id", "i", "tok", "rule_id")
+    found = matching.candidates(annotated(spark, folder), packs.rules(spark).filter("rtype = 'suffix'"))
+    return found.select("doc_id", "i", "tok", "rule_id")
 
 
 _PARTS = "[" + ", ".join(f"'{p}'" for p in STANDARD_WORDS) + "]"
@@ -97,7 +99,7 @@ def j03(spark, folder):
 
 @query("j04_phrase_join", BASE + "SELECT doc_id, start, start + length(text) AS \"end\", text, rule_id FROM matched WHERE n_words > 1")
 def j04(spark, folder):
-    found = matching.phrase_matches(matching.rule_candidates(annotated(spark, folder), packs.rules(spark)))
+    found = matching.phrase_matches(matching.candidates(annotated(spark, folder), packs.rules(spark)))
     return found.filter("n_words > 1").select("doc_id", "start", "end", "text", "rule_id")
 
 
@@ -109,7 +111,7 @@ def j04(spark, folder):
     WHERE m.rule_id IN (12, 44) AND l.word_type = 'article'""",
 )
 def j05(spark, folder):
-    found = matching.phrase_matches(matching.rule_candidates(annotated(spark, folder), packs.rules(spark)))
+    found = matching.phrase_matches(matching.candidates(annotated(spark, folder), packs.rules(spark)))
     chosen = found.filter(F.col("rule_id").isin(12, 44))
     return matching.pattern_matches(chosen, packs.lemmas(spark), "l|article").select("doc_id", "i", "rule_id")
 

@@ -204,17 +204,21 @@ def w12(spark, folder):
     return near.filter(shape & bare).select("doc_id", "i", "first", "second")
 
 
+PAGE_TOKENS = q.TOKENS.replace("FROM documents", "FROM (SELECT page_id AS doc_id, 'x' AS lang, html AS text FROM pages)")
+
+
 @query(
     "w13_split_form_end",
-    q.with_(q.TOKENS)
-    + """SELECT doc_id, i, tok, CASE WHEN sep = '(' AND n3 = ')' THEN i + 3 ELSE i + 2 END AS last_i FROM (
+    q.with_(PAGE_TOKENS)
+    + r"""SELECT doc_id, i, tok, CASE WHEN sep = '(' AND n3 = ')' THEN i + 3 ELSE i + 2 END AS last_i FROM (
       SELECT *, lead(tok) OVER w AS sep, lead(tok, 2) OVER w AS n2, lead(tok, 3) OVER w AS n3 FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY i))
-      WHERE ws = '' AND sep IN ('/', '(') AND n2 IS NOT NULL AND regexp_matches(n2, '^[0-9\\p{L}]{1,4}$')""".replace("\\\\", "\\"),
+      WHERE ws = '' AND sep IN ('/', '(') AND regexp_matches(n2, '^[0-9\p{L}]{1,4}$')""".replace("\\", "\\"),
 )
 def w13(spark, folder):
     """Word, slash or bracket and a short ending written as separate tokens: the
-    index of the last one.  Any short ending counts; the ending list is a filter."""
-    words = tokens(src.documents(spark, folder), next=3)
+    index of the last one."""
+    pages = src.spread(src.table(spark, folder, "pages")).select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    words = tokens(pages, keep=("doc_id",), next=3)
     ahead = lambda k: piece_token(F.get("next", F.lit(k - 1)))
     near = words.filter("ws = ''").select("doc_id", "i", "tok", ahead(1).alias("sep"), ahead(2).alias("n2"), ahead(3).alias("n3"))
     near = near.filter(F.col("sep").isin("/", "(") & F.col("n2").rlike(r"^[0-9\p{L}]{1,4}$"))

@@ -54,15 +54,45 @@ def is_checkable(lang: Column, tok: Column) -> Column:
     )
 
 
-def rule_candidates(tokens: DataFrame, rules: DataFrame, addons: list[str] | None = None) -> DataFrame:
-    """Default rules whose first word is the token, as written or as lemma, in
-    the case the rule asks for."""
-    pack = keyed(allowed(rules, "default", addons)).drop("word_type", "is_plural")
-    pack = pack.withColumn("probe", F.lower("first_token"))
-    probes = tokens.withColumn("probe", F.explode(F.array_distinct(F.array(F.lower("tok"), F.lower("lemma")))))
+def looks_like_name(tok: Column) -> Column:
+    """Inner capitals without a hyphen for each of them: `ElitePartner` is a
+    name, `Elite-Partner` is not."""
+    capitals = F.regexp_count(tok, F.lit(r"\p{Lu}"))
+    return (capitals > 1) & (F.regexp_count(tok, F.lit("-")) < capitals - 1)
+
+
+def _last4(word: str) -> Column:
+    return F.lower(F.expr(f"right({word}, 4)"))
+
+
+def candidates(tokens: DataFrame, rules: DataFrame, addons: list[str] | None = None) -> DataFrame:
+    """Default and suffix rules in one join on (language, rule type, probe).
+
+    A default rule's probe is its first word in lower case, tried against the
+    token and its lemma and then verified in the case the rule asks for.  A
+    suffix rule's probe is the last four letters of its first word, verified as
+    a suffix; a first word shorter than that is never a candidate."""
+    first = F.col("first_token")
+    default = keyed(allowed(rules, "default", addons)).withColumn("probe", F.lower(first))
+    suffix = keyed(allowed(rules, "suffix", addons)).filter(F.length(first) >= 4).withColumn("probe", _last4("first_token"))
+    pack = default.unionByName(suffix).drop("word_type", "is_plural")
+    probe = lambda rtype, key: F.struct(F.lit(rtype).alias("rtype"), key.alias("probe"))
+    by_suffix = (F.col("lang") == "de") & (F.length("tok") >= 4) & ~looks_like_name(F.col("tok"))
+    asked = F.array_distinct(
+        F.array_compact(
+            F.array(
+                probe("default", F.lower("tok")),
+                F.when(F.col("lemma") != F.col("tok"), probe("default", F.lower("lemma"))),
+                F.when(by_suffix, probe("suffix", _last4("tok"))),
+            )
+        )
+    )
+    probes = tokens.withColumn("_p", F.explode_outer(asked)).select("*", "_p.*").drop("_p")
     form = F.when(F.col("lemmatize"), F.col("lemma")).otherwise(F.col("tok"))
     form = F.when(F.col("lower_case"), F.lower(form)).otherwise(form)
-    return probes.join(pack, ["lang", "probe"]).filter(form == F.col("first_token"))
+    fits = F.when(F.col("rtype") == "default", form == first).otherwise(F.lower("tok").endswith(F.lower(first)))
+    stage = F.when(F.col("rtype") == "default", 1).otherwise(2).alias("stage")
+    return probes.join(pack, ["lang", "rtype", "probe"]).filter(fits).select("*", stage)
 
 
 def phrase_matches(candidates: DataFrame) -> DataFrame:
@@ -79,23 +109,6 @@ def phrase_matches(candidates: DataFrame) -> DataFrame:
     )
 
 
-def looks_like_name(tok: Column) -> Column:
-    """Inner capitals without a hyphen for each of them: `ElitePartner` is a
-    name, `Elite-Partner` is not."""
-    capitals = F.regexp_count(tok, F.lit(r"\p{Lu}"))
-    return (capitals > 1) & (F.regexp_count(tok, F.lit("-")) < capitals - 1)
-
-
-def suffix_candidates(tokens: DataFrame, rules: DataFrame, addons: list[str] | None = None) -> DataFrame:
-    """Suffix rules, joined on the last four letters and verified.  A rule whose
-    first word is shorter than four letters is never a candidate."""
-    pack = keyed(allowed(rules, "suffix", addons)).drop("word_type", "is_plural")
-    pack = pack.filter(F.length("first_token") >= 4).withColumn("probe", F.lower(F.expr("right(first_token, 4)")))
-    probes = tokens.filter((F.col("lang") == "de") & (F.length("tok") >= 4) & ~looks_like_name(F.col("tok")))
-    probes = probes.withColumn("probe", F.lower(F.expr("right(tok, 4)")))
-    return probes.join(pack, ["lang", "probe"]).filter(F.lower("tok").endswith(F.lower("first_token")))
-
-
 def substring_hits(words: DataFrame, rules: DataFrame, addons: list[str] | None = None) -> DataFrame:
     """Substring rules over *distinct* words: the rule's text is in the word and
     still is after the standard word parts the rule does not contain are cut."""

@@ -22,9 +22,7 @@ def matched(texts: DataFrame, rules: DataFrame, lemmas: DataFrame, addons=None)
     # both joins run inside the scan's stage.
     annotated = matching.annotate(words, lemmas)
     pack = rules.withColumn("rule_word_type", F.col("word_type"))
-    default = matching.phrase_matches(matching.rule_candidates(annotated, pack, addons)).withColumn("stage", F.lit(1))
-    suffix = matching.phrase_matches(matching.suffix_candidates(annotated, pack, addons)).withColumn("stage", F.lit(2))
-    return default.unionByName(suffix)
+    return matching.phrase_matches(matching.candidates(annotated, pack, addons))
 
 
 def number_of(lang, tok, lemma, is_plural):
