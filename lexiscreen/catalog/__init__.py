@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import aggregations, composite, joins, ordered, scalars  # noqa: F401
+from . import aggregations, composite, joins, ordered, predicates, scalars, setops, topk  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
