@@ -76,18 +76,30 @@ def candidates(tokens: DataFrame, rules: DataFrame, addons: list[str] | None = N
     default = keyed(allowed(rules, "default", addons)).withColumn("probe", F.lower(first))
     suffix = keyed(allowed(rules, "suffix", addons)).filter(F.length(first) >= 4).withColumn("probe", _last4("first_token"))
     pack = default.unionByName(suffix).drop("word_type", "is_plural")
-    probe = lambda rtype, key: F.struct(F.lit(rtype).alias("rtype"), key.alias("probe"))
-    by_suffix = (F.col("lang") == "de") & (F.length("tok") >= 4) & ~looks_like_name(F.col("tok"))
-    asked = F.array_distinct(
-        F.array_compact(
-            F.array(
-                probe("default", F.lower("tok")),
-                F.when(F.col("lemma") != F.col("tok"), probe("default", F.lower("lemma"))),
-                F.when(by_suffix, probe("suffix", _last4("tok"))),
-            )
-        )
+    # First the cheap question, for every token: does any probe exist?  Three
+    # small outer joins stay in one generated stage and copy nothing; only the
+    # few tokens that answer yes are unfolded into probes.
+    keys = pack.select("lang", "rtype", "probe").distinct()
+    known = lambda rtype, column: keys.filter(F.col("rtype") == rtype).select(
+        "lang", F.col("probe").alias(column), F.lit(True).alias(f"{column}_known")
     )
-    probes = tokens.withColumn("_p", F.explode_outer(asked)).select("*", "_p.*").drop("_p")
+    by_suffix = (F.col("lang") == "de") & (F.length("tok") >= 4)
+    asking = (
+        tokens.withColumn("_tok", F.lower("tok"))
+        .withColumn("_lemma", F.when(F.col("lemma") != F.col("tok"), F.lower("lemma")))
+        .withColumn("_suffix", F.when(by_suffix, _last4("tok")))
+        .join(known("default", "_tok"), ["lang", "_tok"], "left")
+        .join(known("default", "_lemma"), ["lang", "_lemma"], "left")
+        .join(known("suffix", "_suffix"), ["lang", "_suffix"], "left")
+        .filter("_tok_known OR _lemma_known OR _suffix_known")
+        .filter(is_checkable(F.col("lang"), F.col("tok")))
+    )
+    probe = lambda rtype, column: F.when(
+        F.col(f"{column}_known"), F.struct(F.lit(rtype).alias("rtype"), F.col(column).alias("probe"))
+    )
+    suffix_probe = F.when(~looks_like_name(F.col("tok")), probe("suffix", "_suffix"))
+    asked = F.array_distinct(F.array_compact(F.array(probe("default", "_tok"), probe("default", "_lemma"), suffix_probe)))
+    probes = asking.select(*tokens.columns, F.explode(asked).alias("_p")).select("*", "_p.*").drop("_p")
     form = F.when(F.col("lemmatize"), F.col("lemma")).otherwise(F.col("tok"))
     form = F.when(F.col("lower_case"), F.lower(form)).otherwise(form)
     fits = F.when(F.col("rtype") == "default", form == first).otherwise(F.lower("tok").endswith(F.lower(first)))

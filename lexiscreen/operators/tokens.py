@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,36 +45,43 @@ def _near(pieces: pa.Array, first: np.ndarray, last: np.ndarray) -> pa.Array:
 
 def _cut(keep, text, prev, next):
     pattern = re.compile(_PY_PIECE)
-
-    def emit(batch, rows):
-        row, k, piece, start, sent, size = (np.array(c) if n != 2 else c for n, c in enumerate(zip(*rows)))
-        piece = pa.array(piece, pa.string())
-        at = np.arange(len(row))
-        columns = [batch.column(c).take(pa.array(row)) for c in keep]
-        columns += [pa.array(k, pa.int32()), piece, pa.array(start, pa.int32()), pa.array(sent, pa.int32())]
+    names = [*keep, "i", "piece", "start", "sent"] + (["prev", "next"] if prev or next else [])
+
+    def emit(batch, rows, found, sizes):
+        """Columns of the collected texts: everything but the cut is vectorised."""
+        piece = pa.array(found, pa.string())
+        sizes = np.array(sizes)
+        first = np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+        at = np.arange(len(found))
+        running = lambda n: np.cumsum(n) - n
+        within = lambda n: (running(n) - running(n)[first]).astype(np.int32)
+        length = pc.utf8_length(piece).to_numpy()
+        ends = pc.count_substring_regex(piece, "^[.!?]|\n").to_numpy()
+        columns = [batch.column(c).take(pa.array(np.repeat(rows, sizes))) for c in keep]
+        columns += [pa.array((at - first).astype(np.int32)), piece, pa.array(within(length)), pa.array(within(ends))]
         if prev or next:
-            columns += [_near(piece, np.maximum(at - prev, at - k), at)]
-            columns += [_near(piece, at + 1, np.minimum(at + 1 + next, at - k + size))]
-        return columns
+            last = first + np.repeat(sizes, sizes)
+            columns += [_near(piece, np.maximum(at - prev, first), at)]
+            columns += [_near(piece, at + 1, np.minimum(at + 1 + next, last))]
+        out = pa.RecordBatch.from_arrays(columns, names=names)
+        for k in range(0, out.num_rows, _FLUSH):
+            yield out.slice(k, _FLUSH)
 
     def run(batches):
         for batch in batches:
-            names = [*keep, "i", "piece", "start", "sent"] + (["prev", "next"] if prev or next else [])
-            rows: list = []
+            rows, found, sizes = [], [], []
             for row, value in enumerate(batch.column(text).to_pylist()):
                 if not value:
                     continue
-                found, sent = [], 0
-                for k, m in enumerate(pattern.finditer(value)):
-                    piece = m.group()
-                    found.append((row, k, piece, m.start(), sent))
-                    sent += (piece[0] in ".!?") + piece.count("\n")
-                rows.extend((*f, len(found)) for f in found)
-                if len(rows) >= _FLUSH:
-                    yield pa.RecordBatch.from_arrays(emit(batch, rows), names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays(emit(batch, rows), names=names)
+                cut = pattern.findall(value)
+                found += cut
+                rows.append(row)
+                sizes.append(len(cut))
+                if len(found) >= _FLUSH:
+                    yield from emit(batch, rows, found, sizes)
+                    rows, found, sizes = [], [], []
+            if found:
+                yield from emit(batch, rows, found, sizes)
 
     return run
 

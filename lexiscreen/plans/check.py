@@ -17,7 +17,6 @@ WINDOW = dict(prev=5, next=6)
 def matched(texts: DataFrame, rules: DataFrame, lemmas: DataFrame, addons=None) -> DataFrame:
     """Every verified rule match, before false positives and ranking."""
     words = tokens(texts.filter(F.col("lang").isin(*SUPPORTED)), **WINDOW)
-    words = words.filter(matching.is_checkable(F.col("lang"), F.col("tok")))
     # Nearly every word is its own lemma: the pins and the pack are small, so
     # both joins run inside the scan's stage.
     annotated = matching.annotate(words, lemmas)
