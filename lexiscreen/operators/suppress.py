@@ -22,17 +22,21 @@ def without_false_positives(matches: DataFrame, false_positives: DataFrame) -> D
     five tokens and covers the token."""
     phrases = false_positives.groupBy("rule_id").agg(F.collect_set(F.lower("false_positive")).alias("phrases"))
     whole, start, end = window_text()
+    none = F.array().cast("array<string>")
+    joined = (
+        matches.join(phrases, "rule_id", "left")
+        .withColumn("_whole", F.when(F.col("phrases").isNotNull(), whole))
+        .withColumn("_start", start)
+        .withColumn("_end", F.col("_start") + F.length("tok"))
+    )
 
     # An occurrence covers the token when it starts in the stretch that ends at
     # the token's start and is at least one phrase long.
     def covers(phrase):
-        first = F.greatest(end - F.length(phrase), F.lit(0))
-        stretch = F.substring(whole, first + 1, start - first + F.length(phrase))
-        return stretch.contains(phrase)
+        first = F.greatest(F.col("_end") - F.length(phrase), F.lit(0))
+        return F.substring("_whole", first + 1, F.col("_start") - first + F.length(phrase)).contains(phrase)
 
-    joined = matches.join(phrases, "rule_id", "left")
-    hit = F.exists(F.coalesce("phrases", F.array().cast("array<string>")), covers)
-    return joined.filter(~hit).drop("phrases")
+    return joined.filter(~F.exists(F.coalesce("phrases", none), covers)).drop("phrases", "_whole", "_start", "_end")
 
 
 def without_overlaps(findings: DataFrame, spans: DataFrame) -> DataFrame:
