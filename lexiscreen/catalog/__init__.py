@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import aggregations, composite, joins, ordered, predicates, scalars, scans, setops, streams, topk  # noqa: F401
+from . import aggregations, composite, joins, lexicons, ordered, predicates, scalars, scans, setops, streams, topk  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

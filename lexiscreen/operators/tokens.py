@@ -32,6 +32,7 @@ PIECE = rf"(?:{WORD}|[^{BLANKS}])[{BLANKS}]*|[{BLANKS}]+"
 
 _PY_BLANKS = " \t\r\n\f\x0b\xa0"
 _PY_PIECE = PIECE.replace(r"\x{b}", "\x0b").replace(r"\x{a0}", "\xa0").replace(rf"[{LETTERS}]", r"\w")
+_PY_WORDS = f"[^{_PY_BLANKS}]+[{_PY_BLANKS}]*|[{_PY_BLANKS}]+"
 _FLUSH = 1 << 16
 
 
@@ -43,8 +44,8 @@ def _near(pieces: pa.Array, first: np.ndarray, last: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pieces.take(pa.array(index)))
 
 
-def _cut(keep, text, prev, next):
-    pattern = re.compile(_PY_PIECE)
+def _cut(keep, text, prev, next, words_only):
+    pattern = re.compile(_PY_WORDS if words_only else _PY_PIECE)
     names = [*keep, "i", "piece", "start", "sent"] + (["prev", "next"] if prev or next else [])
 
     def emit(batch, rows, found, sizes):
@@ -97,12 +98,13 @@ def tokens(
     text: str = "text",
     prev: int = 0,
     next: int = 0,
+    words_only: bool = False,
 ) -> DataFrame:
     """One row per token: ``keep`` columns, ``i``, ``tok``, ``ws`` (the blanks
     after it), ``start``, ``end``, ``sent`` (a sentence number: boundary
     characters so far) and, if asked for, the pieces before it (``prev``,
     nearest last) and after it (``next``, nearest first).  A text that starts
-    with blanks has no token 0."""
+    with blanks has no token 0.  ``words_only`` cuts at blanks alone."""
     fields = [texts.schema[c] for c in keep]
     fields += [
         T.StructField("i", T.IntegerType()),
@@ -115,7 +117,7 @@ def tokens(
     if prev or next:
         fields += [T.StructField(n, T.ArrayType(T.StringType())) for n in ("prev", "next")]
         columns += ["prev", "next"]
-    cut = texts.select(*keep, F.col(text).alias("_text")).mapInArrow(_cut(keep, "_text", prev, next), T.StructType(fields))
+    cut = texts.select(*keep, F.col(text).alias("_text")).mapInArrow(_cut(keep, "_text", prev, next, words_only), T.StructType(fields))
     return cut.withColumn("tok", piece_token(F.col("piece"))).filter(F.col("tok") != "").select(*columns)
 
 
