@@ -73,12 +73,10 @@ def c03(spark, folder):
     """Failing texts get the note appended or, under the other policy (even ids),
     are blocked.  The result is the hash of what the reader would get."""
     docs = src.documents(spark, folder)
-    found = check.findings(docs, spark)
-    words = docs.select("doc_id", w.word_count(F.col("text")).alias("words"))
-    verdicts = guardrail.verdicts(words, guardrail.level_counts(found), review.limits(spark, LIMITS)).select("doc_id", "verdict")
-    rows = docs.select("doc_id", "text").join(verdicts, "doc_id").join(guardrail.note(found, explain=False), "doc_id", "left")
+    limits = review.limits(spark, LIMITS)
+    rows = guardrail.outcomes(docs, check.findings(docs, spark), limits, block=F.col("doc_id") % 2 == 0)
     noted = F.md5(F.concat_ws("\n\n", "text", "note"))
-    outcome = F.when(F.col("verdict") == "pass", F.md5("text")).when(F.col("doc_id") % 2 == 0, "blocked").otherwise(noted)
+    outcome = F.when(F.col("verdict") == "pass", F.md5("text")).when(F.col("blocked"), "blocked").otherwise(noted)
     return rows.select("doc_id", outcome.alias("outcome"))
 
 

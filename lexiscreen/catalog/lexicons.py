@@ -204,17 +204,19 @@ def j26(spark, folder):
 @query(
     "w11_article_agreement",
     q.with_(q.TOKENS)
-    + r"""SELECT doc_id, i, noun, CASE WHEN regexp_matches(before, '^\p{Lu}') THEN 'genitiv plural' ELSE 'nominativ singular' END AS reading FROM (
+    + r"""SELECT doc_id, i, noun, CASE WHEN regexp_matches(before, '^\p{L}{5,}$') THEN 'genitiv plural' ELSE 'nominativ singular' END AS reading FROM (
       SELECT doc_id, i, tok, lead(tok) OVER w AS noun, coalesce(lag(tok) OVER w, '') AS before FROM tokens WHERE lang = 'de' WINDOW w AS (PARTITION BY doc_id ORDER BY i))
-      WHERE lower(tok) = 'der' AND regexp_matches(noun, '^\p{Lu}')""",
+      WHERE lower(tok) = 'der' AND regexp_matches(noun, '^\p{L}{5,}$')""",
 )
 def w11(spark, folder):
-    """`der` before a noun: a genitive only where it is attached to a noun."""
+    """`der` before a noun: a genitive only where it is attached to a noun before
+    it.  Without annotations a word of five letters or more stands for a noun."""
     words = tokens(src.documents(spark, folder).filter("lang = 'de'"), prev=1, next=1).filter(F.lower("tok") == "der")
-    noun = piece_token(F.get("next", F.lit(0)))
-    attached = F.coalesce(F.get("prev", F.lit(0)).rlike(r"^\p{Lu}"), F.lit(False))
+    is_noun = lambda piece: piece_token(piece).rlike(r"^\p{L}{5,}$")
+    noun = F.get("next", F.lit(0))
+    attached = F.coalesce(is_noun(F.get("prev", F.lit(0))), F.lit(False))
     reading = F.when(attached, "genitiv plural").otherwise("nominativ singular")
-    return words.filter(noun.rlike(r"^\p{Lu}")).select("doc_id", "i", noun.alias("noun"), reading.alias("reading"))
+    return words.filter(is_noun(noun)).select("doc_id", "i", piece_token(noun).alias("noun"), reading.alias("reading"))
 
 
 @query(

@@ -173,7 +173,7 @@ PARTS = rf"""cuts(doc_id, part_no, part_start, rest, part) AS (
 
 @query(
     "w09_chunk_parts",
-    q.with_("source AS (SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role = 'assistant')", PARTS.format(size=_SIZE), recursive=True)
+    q.with_("source AS (SELECT conv_id * 1000000 + turn AS doc_id, text FROM conversations WHERE role = 'assistant')", PARTS.format(size=_SIZE), recursive=True)
     + "SELECT doc_id, part_no, part_start, part AS text FROM cuts WHERE part_no >= 0",
 )
 def w09(spark, folder):
@@ -250,7 +250,5 @@ def w17(spark, folder):
     """A hundred characters on either side of each multi-word match, masked."""
     docs = src.documents(spark, folder)
     found = check.matched(docs, packs.rules(spark), packs.lemmas(spark)).filter("n_words > 1")
-    left = F.greatest(F.col("start") - 100, F.lit(0))
-    around = F.substring("text", left + 1, F.col("end") + 100 - left)
-    spans = found.select("doc_id", "i", "rule_id", "start", "end")
-    return docs.select("doc_id", "text").join(spans, "doc_id").select("doc_id", "i", "rule_id", privacy.mask(around).alias("context"))
+    shown = src.snippets(docs, found.select("doc_id", "i", "rule_id", "start", "end"), 100)
+    return shown.select("doc_id", "i", "rule_id", privacy.mask(F.col("context")).alias("context"))

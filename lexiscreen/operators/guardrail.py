@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.words import word_count
+
 LEVELS = ("overall", "corporate_rules", "openly_discriminating", "basic", "advanced")
 _ENDS = (". ", "! ", "? ", "\n")
 
@@ -113,13 +115,45 @@ def quoted(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     return listed.select(key, "changes", F.concat(F.lit("["), items, F.lit("]")).alias("issues"))
 
 
-def note(findings: DataFrame, explain: bool, key: str = "doc_id") -> DataFrame:
-    """(key, note): `"text" → a / b (why); …` in text order."""
+def note_entry(explain: bool) -> Column:
+    """One finding as it stands in a note."""
     names = F.array_join(
         F.transform(F.filter("alternatives", lambda a: ~a["is_remove"]), lambda a: a["alt"]), " / "
     )
     why = F.when(F.col("explanation").isNotNull(), F.concat(F.lit(" ("), F.col("explanation"), F.lit(")"))).otherwise("")
-    entry = F.concat(F.lit('"'), F.col("text"), F.lit('" → '), names, why if explain else F.lit(""))
-    rows = findings.filter(F.size("alternatives") > 0).select(key, "start", entry.alias("entry"))
+    return F.concat(F.lit('"'), F.col("text"), F.lit('" → '), names, why if explain else F.lit(""))
+
+
+def note(findings: DataFrame, explain: bool, key: str = "doc_id") -> DataFrame:
+    """(key, note): `"text" → a / b (why); …` in text order."""
+    rows = findings.filter(F.size("alternatives") > 0).select(key, "start", note_entry(explain).alias("entry"))
     listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "entry"))).alias("_e"))
     return listed.select(key, F.array_join(F.transform("_e", lambda s: s["entry"]), "; ").alias("note"))
+
+
+def outcomes(texts: DataFrame, findings: DataFrame, limits: DataFrame, block: Column) -> DataFrame:
+    """(doc_id, text, note, verdict, blocked): counts and note from one pass over
+    the findings, so they are screened once."""
+    usable = findings.filter(F.size("alternatives") > 0)
+    kind = level(F.col("category"), F.col("gravity"))
+    counts = [F.count_if(kind == name).alias(name) for name in LEVELS[1:]]
+    per_text = usable.groupBy("doc_id").agg(
+        F.count("*").alias("overall"),
+        *counts,
+        F.array_sort(F.collect_list(F.struct("start", note_entry(False).alias("entry")))).alias("_e"),
+    )
+    # One row of limits; a level without a limit stays NULL and never fails.
+    pivoted = limits.groupBy().agg(
+        *[F.max(F.when(F.col("level") == n, F.col("max_count"))).alias(f"{n}_count") for n in LEVELS],
+        *[F.max(F.when(F.col("level") == n, F.col("max_ratio"))).alias(f"{n}_ratio") for n in LEVELS],
+    )
+    rows = texts.withColumn("_words", word_count(F.col("text"))).join(per_text, "doc_id", "left").join(pivoted, F.lit(True))
+    failed = F.lit(False)
+    for name in LEVELS:
+        by_count = F.col(name) >= F.col(f"{name}_count")
+        by_ratio = (F.col("_words") > 0) & (F.col(name) / F.col("_words") >= F.col(f"{name}_ratio"))
+        failed = failed | F.coalesce(by_count, F.lit(False)) | F.coalesce(by_ratio, F.lit(False))
+    noted = F.when(F.col("_e").isNotNull(), F.array_join(F.transform("_e", lambda s: s["entry"]), "; "))
+    return rows.select(
+        "doc_id", "text", noted.alias("note"), F.when(failed, "fail").otherwise("pass").alias("verdict"), (failed & block).alias("blocked")
+    )

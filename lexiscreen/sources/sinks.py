@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .texts import snippets
+
 
 def as_json(findings: DataFrame, *columns: str) -> DataFrame:
     """One JSON object per finding without NULL fields."""
@@ -14,16 +16,14 @@ def as_json(findings: DataFrame, *columns: str) -> DataFrame:
 def as_matches(findings: DataFrame, texts: DataFrame, radius: int = 40) -> DataFrame:
     """The match schema of spell-check clients: message from explanation, label
     or subcategory; replacements with "" for a removal; context around."""
-    left = F.greatest(F.col("start") - radius, F.lit(0))
     values = F.transform("alternatives", lambda a: F.when(a["is_remove"], "").otherwise(a["alt"]))
-    joined = findings.join(texts.select("doc_id", F.col("text").alias("_full")), "doc_id")
-    return joined.select(
+    return snippets(texts, findings, radius).select(
         "doc_id",
         F.coalesce("explanation", "label_en", "subcategory").alias("message"),
         F.col("start").alias("offset"),
         F.length("text").alias("length"),
         F.array_join(values, "|").alias("replacements"),
-        F.substring("_full", left + 1, F.col("end") + radius - left).alias("context"),
+        "context",
         F.concat(F.lit("SCREEN_"), F.upper("subcategory")).alias("rule_id"),
         F.when(F.col("category") == "orthography", "misspelling").otherwise("style").alias("issue_type"),
     )

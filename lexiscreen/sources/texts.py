@@ -32,5 +32,19 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     """What the assistant wrote, one row per turn, keyed by ``doc_id``."""
     rows = table(spark, folder, "conversations").filter("role = 'assistant'")
     return spread(
-        rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "conv_id", "turn", "text")
+        rows.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("doc_id"), "conv_id", "turn", "text")
     )
+
+
+def snippets(texts: DataFrame, spans: DataFrame, radius: int) -> DataFrame:
+    """The columns of ``spans`` and ``context``: the text ``radius`` characters
+    around each.  Spans are gathered per text first, so a text takes part in the
+    join once and not once per span."""
+    row = F.struct(*[c for c in spans.columns if c != "doc_id"])
+    gathered = spans.groupBy("doc_id").agg(F.collect_list(row).alias("_spans"))
+    joined = texts.select("doc_id", F.col("text").alias("_full")).join(gathered, "doc_id")
+    left = lambda s: F.greatest(s["start"] - radius, F.lit(0))
+    around = F.transform("_spans", lambda s: F.struct(
+        s.alias("s"), F.substring("_full", left(s) + 1, s["end"] + radius - left(s)).alias("context")
+    ))
+    return joined.select("doc_id", F.inline_outer(around)).select("doc_id", "s.*", "context")
