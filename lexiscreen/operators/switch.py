@@ -6,39 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gender
+from ..packs import fixed
 
-# A noun with an ending in any separator format, inside a text.
-_FOUND = rf"([A-ZÄÖÜ][a-zäöüß]+)(/-|[*_:/]|\(-?)({'|'.join(gender.fixed.GENDER_PARTS)})(\)?)"
+# A noun with an ending in any separator format, inside a text.  Only `innen`
+# may go on as a compound (`Lehrer*innengruppe`); the short endings end the word.
+_NOUN = "([A-ZÄÖÜ][a-zäöüß]+)"
+_SHORT = "|".join(p for p in fixed.GENDER_PARTS if p != "innen")
+_ENDING = f"(innen|(?:{_SHORT})(?![a-zäöüß]))"
+_SEPARATED = rf"{_NOUN}(/-|[*_:/]){_ENDING}"
+_BRACKETED = rf"{_NOUN}(\(-?)({'|'.join(fixed.GENDER_PARTS)})\)"
 
 
 def mismatches(texts: DataFrame, target: str) -> DataFrame:
     """(doc_id, written, stem, ending, found_format, converted): forms written in
-    another format than ``target``.  One regular expression over the text finds
-    all formats; each hit is read once."""
-    hits = texts.select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit(_FOUND), F.lit(0))).alias("written"))
-    part = lambda n: F.regexp_extract("written", f"^{_FOUND}$", n)
-    mark = part(2)
+    another format than ``target``.  One pass over the text per shape."""
+
+    def hits(pattern):
+        return F.transform(
+            F.regexp_extract_all("text", F.lit(pattern), F.lit(0)),
+            lambda written: F.struct(
+                written.alias("written"),
+                F.regexp_extract(written, f"^{pattern}", 1).alias("stem"),
+                F.regexp_extract(written, f"^{pattern}", 2).alias("mark"),
+                F.regexp_extract(written, f"^{pattern}", 3).alias("ending"),
+            ),
+        )
+
+    found = texts.select("doc_id", F.inline_outer(F.concat(hits(_SEPARATED), hits(_BRACKETED)))).filter("written IS NOT NULL")
+    mark = F.col("mark")
     fmt = F.when(mark == "(", "()").when(mark == "(-", "(-)").otherwise(F.concat(mark, F.lit("in")))
-    rows = hits.filter("written IS NOT NULL").select(
-        "doc_id", "written", part(1).alias("stem"), part(3).alias("ending"), fmt.alias("found_format")
-    )
+    rows = found.select("doc_id", "written", "stem", "ending", fmt.alias("found_format"))
     converted = F.concat("stem", gender.render_ending(F.col("ending"), F.lit(target)))
     return rows.filter(F.col("found_format") != target).withColumn("converted", converted)
 
 
 def switch(texts: DataFrame, target: str) -> DataFrame:
-    """(doc_id, text) with every separator form rewritten to ``target``.  The
-    forms of a text never overlap, so one replacement per format, on the native
-    side, gives the same text in any order."""
-    open_, close = {"()": ("(", ")"), "(-)": ("(-", ")")}.get(target, (gender.NOUN_SEPARATORS.get(target, ""), ""))
-    parts = "|".join(gender.fixed.GENDER_PARTS)
-    noun = "([A-ZÄÖÜ][a-zäöüß]+)"
-    text = F.col("text")
+    """(doc_id, text) with every separator form rewritten to ``target``.  Forms
+    never overlap: each is first marked by two control characters, then the
+    marks are written in the target format, all in native expressions."""
+    text = F.regexp_replace("text", _BRACKETED, "$1\x01$3\x02")
+    text = F.regexp_replace(text, _SEPARATED, "$1\x01$3\x02")
     if target == "In":
-        mark = lambda t: F.regexp_replace(F.regexp_replace(t, "\x01in", "In"), "\x01", "/")
-        marked = F.regexp_replace(text, rf"{noun}\(-?({parts})\)", "$1\x01$2")
-        marked = F.regexp_replace(marked, rf"{noun}(?:/-|[*_:/])({parts})(?![a-zäöü])", "$1\x01$2")
-        return texts.withColumn("text", mark(marked))
-    marked = F.regexp_replace(text, rf"{noun}\(-?({parts})\)", f"$1\x01$2\x02")
-    marked = F.regexp_replace(marked, rf"{noun}(?:/-|[*_:/])({parts})(?![a-zäöü])", f"$1\x01$2\x02")
-    return texts.withColumn("text", F.replace(F.replace(marked, F.lit("\x01"), F.lit(open_)), F.lit("\x02"), F.lit(close)))
+        text = F.replace(F.replace(text, F.lit("\x01in"), F.lit("In")), F.lit("\x01"), F.lit("/"))
+        return texts.withColumn("text", F.replace(text, F.lit("\x02"), F.lit("")))
+    marks = {"()": ("(", ")"), "(-)": ("(-", ")")}.get(target) or (gender.NOUN_SEPARATORS[target], "")
+    return texts.withColumn("text", F.replace(F.replace(text, F.lit("\x01"), F.lit(marks[0])), F.lit("\x02"), F.lit(marks[1])))

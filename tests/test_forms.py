@@ -14,7 +14,7 @@ def test_every_format_reads_back(spark):
     df = spark.createDataFrame(rows, "fmt string, target string, ending string")
     df = df.withColumn("written", F.concat(F.lit("Lehrer"), gender.render_ending(F.col("ending"), F.col("fmt"))))
     back = gender.convert_nouns(gender.convert_nouns(df).select("fmt", "ending", F.col("written").alias("was"), F.col("converted").alias("written"), F.col("fmt").alias("target")))
-    assert back.filter("converted IS NULL OR converted <> was").count() == 0
+    assert all(r.converted == r.was for r in back.collect())
 
 
 def test_noun_forms(spark):
@@ -63,7 +63,7 @@ def test_masked_text_has_no_personal_data(spark):
 
 
 def test_switched_text_has_nothing_left_to_switch(spark):
-    text = "Die Lehrer*innen und Schüler/-innen, Kolleg(inn)en, Ärzt:in; Angestellte(r)"
+    text = "Die Lehrer*innen und Schüler/-innen, Kolleg(inn)en, Ärzt:in; Angestellte(r), Lehrer_innengruppe"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     for target in ("*in", ":in", "/-in", "()", "(-)"):
         done = switch.switch(df, target)
