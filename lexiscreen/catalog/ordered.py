@@ -18,8 +18,7 @@ from .registry import query
 FOUND = FP_SQL + ",\n" + f"""found AS (SELECT * FROM (
     SELECT m.*, e.subcategory, {NUMBER} AS number FROM matched m JOIN enabled e USING (rule_id)
     WHERE NOT (m.lang = 'de' AND m.lemma = 'aber' AND (regexp_matches(right(left5, 5), '^ {{0,5}}$') OR regexp_matches(right(left5, 5), '[.!?:,]\\s{{0,5}}$'))))
-  WHERE NOT (pluralization = 'plural_only' AND number = 'singular') AND NOT (pluralization = 'singular_only' AND number = 'plural')
-    AND NOT EXISTS (SELECT 1 FROM fp WHERE fp.doc_id = doc_id AND false)),
+  WHERE NOT (pluralization = 'plural_only' AND number = 'singular') AND NOT (pluralization = 'singular_only' AND number = 'plural')),
 cleared AS (SELECT f.* FROM found f ANTI JOIN fp ON fp.doc_id = f.doc_id AND fp.i = f.i AND fp.rule_id = f.rule_id),
 ranked AS (SELECT * FROM cleared QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY stage,
     CASE WHEN n_words > 1 THEN length(words) ELSE 0 END DESC, rule_word_type DESC, length(words) DESC, lemmatize, rule_id) = 1),
@@ -30,7 +29,6 @@ walk AS (SELECT doc_id, chain, pos, skip AS reach, true AS kept FROM linked WHER
   UNION ALL SELECT l.doc_id, l.chain, l.pos, CASE WHEN l.i >= w.reach THEN l.skip ELSE w.reach END, l.i >= w.reach
   FROM walk w JOIN linked l ON l.doc_id = w.doc_id AND l.chain = w.chain AND l.pos = w.pos + 1),
 kept AS (SELECT l.* FROM linked l JOIN walk w ON w.doc_id = l.doc_id AND w.chain = l.chain AND w.pos = l.pos WHERE w.kept)"""
-FOUND = FOUND.replace("\n    AND NOT EXISTS (SELECT 1 FROM fp WHERE fp.doc_id = doc_id AND false)", "")
 SUGGESTED = TIERS.replace("* EXCLUDE (rule_id_1)", "*").replace("r.rule_id, n.number, a.*", "r.rule_id, n.number, a.ord, a.alt, a.is_remove")
 PACKS = (q.RULES, q.LEMMAS, q.ALTERNATIVES, q.FALSE_POSITIVES, q.TAXONOMY, q.LEVELS)
 
@@ -212,7 +210,7 @@ PAGE_TOKENS = q.TOKENS.replace("FROM documents", "FROM (SELECT page_id AS doc_id
     q.with_(PAGE_TOKENS)
     + r"""SELECT doc_id, i, tok, CASE WHEN sep = '(' AND n3 = ')' THEN i + 3 ELSE i + 2 END AS last_i FROM (
       SELECT *, lead(tok) OVER w AS sep, lead(tok, 2) OVER w AS n2, lead(tok, 3) OVER w AS n3 FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY i))
-      WHERE ws = '' AND sep IN ('/', '(') AND regexp_matches(n2, '^[0-9\p{L}]{1,4}$')""".replace("\\", "\\"),
+      WHERE ws = '' AND sep IN ('/', '(') AND regexp_matches(n2, '^[0-9\p{L}]{1,4}$')""",
 )
 def w13(spark, folder):
     """Word, slash or bracket and a short ending written as separate tokens: the
