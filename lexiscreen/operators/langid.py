@@ -1,7 +1,7 @@
 """Language identification: character trigrams of words, naive Bayes.
 
-Counting the profile is one aggregation.  Scoring joins the distinct grams of a
-text to the profile, so a long text contributes each gram once with a weight."""
+Counting the profile is one aggregation.  Scoring looks up the grams
+of each distinct word and joins the words of a text to that, with a weight."""
 
 from __future__ import annotations
 
@@ -12,13 +12,23 @@ from pyspark.sql import functions as F
 MIN_COUNT = 3
 
 
-def grams(texts: DataFrame, *keep: str) -> DataFrame:
-    """(keep, gram, n) from the words of a text, padded with a blank."""
-    words = texts.select(*keep, F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    counted = words.filter("w IS NOT NULL").groupBy(*keep, "w").agg(F.count("*").alias("m"))
+def _words(texts: DataFrame, *keep: str) -> DataFrame:
+    """(keep, w, m): words of a text and how often."""
+    cut = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    each = texts.select(*keep, F.explode_outer(cut).alias("w")).filter("w IS NOT NULL")
+    return each.groupBy(*keep, "w").agg(F.count("*").alias("m"))
+
+
+def _grams(words: DataFrame) -> DataFrame:
+    """One row per trigram of ``w``, padded with a blank on both sides."""
     padded = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
-    cut = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda k: F.substring(padded, k, F.lit(3)))
-    return counted.select(*keep, "m", F.explode_outer(cut).alias("gram")).groupBy(*keep, "gram").agg(F.sum("m").alias("n"))
+    cut = F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring(padded, k, F.lit(3)))
+    return words.withColumn("gram", F.explode(cut))
+
+
+def grams(texts: DataFrame, *keep: str) -> DataFrame:
+    """(keep, gram, n) from the words of a text."""
+    return _grams(_words(texts, *keep)).groupBy(*keep, "gram").agg(F.sum("m").alias("n"))
 
 
 def profile(texts: DataFrame) -> DataFrame:
@@ -33,11 +43,17 @@ def profile(texts: DataFrame) -> DataFrame:
 def scores(texts: DataFrame, model: DataFrame, floor: float = -14.0) -> DataFrame:
     """(doc_id, lang, score): share of each language after a softmax over the
     mean log likelihood per gram; an unseen gram costs ``floor``."""
-    rows = grams(texts, "doc_id")
-    sizes = rows.groupBy("doc_id").agg(F.sum("n").alias("size"))
-    gained = rows.join(model.select("lang", "gram", "logp"), "gram").groupBy("doc_id", "lang").agg(
-        F.sum(F.col("n") * (F.col("logp") - floor)).alias("gain")
+    words = _words(texts, "doc_id")
+    # A word's gain is the same in every text: grams are looked up once per
+    # distinct word, not once per text.
+    gains = (
+        _grams(words.select("w").distinct())
+        .join(model.select("lang", "gram", "logp"), "gram")
+        .groupBy("w", "lang")
+        .agg(F.sum(F.col("logp") - floor).alias("gain"))
     )
+    sizes = words.groupBy("doc_id").agg(F.sum(F.col("m") * F.length("w")).alias("size"))
+    gained = words.join(gains, "w").groupBy("doc_id", "lang").agg(F.sum(F.col("m") * F.col("gain")).alias("gain"))
     mean = gained.join(sizes, "doc_id").withColumn("e", F.exp(F.col("gain") / F.col("size")))
     total = mean.groupBy("doc_id").agg(F.sum("e").alias("z"))
     return mean.join(total, "doc_id").select("doc_id", "lang", (F.col("e") / F.col("z")).alias("score"))
