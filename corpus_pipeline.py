@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiscreen.llm import decontaminate, mix, shard
+from lexiscreen.llm import decontaminate, mix, shard, signature_tree, toxicity
 from lexiscreen.llm.common import saved, table
-from pyspark.sql import functions as F
+
+
+def ordinary(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the toxicity models accept."""
+    scored = toxicity.score(docs, table(spark, folder, "labels"), "toxicity_score")
+    return scored.filter(F.col("toxicity_score") < toxicity.THRESHOLD).drop("toxicity_score")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies: five words, similarity 0.8 or more.
+
+    Rows without id have no place in a group and stay, as do all rows of one id."""
+    groups = signature_tree.near_groups(docs, 5, 80, 100)
+    copies = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("copy_id")).distinct()
+    kept = groups.filter("component_id = doc_id").select(F.col("doc_id").alias("copy_id")).distinct()
+    left = saved(copies.join(kept, "copy_id", "left_anti"), "pipeline-copies")
+    return docs.join(left, F.col("doc_id") == F.col("copy_id"), "left_anti")
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -26,6 +43,8 @@ def sharded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", ordinary),
+    ("near-duplicates", one_of_each),
     ("decontaminate", clean_of_benchmark),
     ("mix", mixed),
     ("shard", sharded),
