@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscreen.llm import decontaminate, mix, shard, signature_tree, toxicity
-from lexiscreen.llm.common import saved, table
+from lexiscreen.llm.common import fresh, saved, table
 
 
 def ordinary(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the toxicity models accept."""
-    scored = toxicity.score(docs, table(spark, folder, "labels"), "toxicity_score")
-    return scored.filter(F.col("toxicity_score") < toxicity.THRESHOLD).drop("toxicity_score")
+    score = toxicity.learn(docs, table(spark, folder, "labels"))
+    return docs.filter(score(docs["text"]) < toxicity.THRESHOLD)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -23,13 +23,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     copies = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("copy_id")).distinct()
     kept = groups.filter("component_id = doc_id").select(F.col("doc_id").alias("copy_id")).distinct()
     left = saved(copies.join(kept, "copy_id", "left_anti"), "pipeline-copies")
-    return docs.join(left, F.col("doc_id") == F.col("copy_id"), "left_anti")
+    return docs.join(left, docs["doc_id"] == left["copy_id"], "left_anti")
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without a word inside any window of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, folder, "benchmark"), "decontamination_found")
-    return found.filter("decontamination_found.n_hit = 0").drop("decontamination_found")
+    name = fresh(docs, "found")
+    found = decontaminate.contamination(docs, table(spark, folder, "benchmark"), name)
+    return found.filter(F.col(f"{name}.n_hit") == 0).drop(name)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -44,3 +44,11 @@ def fold(doc_id: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """The rows no label may be learned from."""
     return fold(doc_id) == 2
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, whatever extra columns it brings."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, saved, table
+from .common import SPACED_WORD, fresh, saved, table
 
 LEVEL_BITS = 10
 LEVELS = 6
@@ -126,10 +126,11 @@ def mix(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 def remix(docs: DataFrame, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with all their columns."""
     cuts = thresholds(sized(docs, key, source), **options)
-    cut = cuts.select(F.struct(F.col("source").alias("s"), "whole", "below").alias("mix_cut"))
-    copies = F.col("mix_cut.whole") + F.when(record_hash(F.col(key)) < F.col("mix_cut.below"), 1).otherwise(0)
-    picked = docs.join(cut, docs[source].eqNullSafe(F.col("mix_cut.s")))
-    return picked.withColumn("mix_cut", F.explode(F.array_repeat(F.lit(0), copies))).drop("mix_cut")
+    name = fresh(docs, "mix_cut")
+    cut = cuts.select(F.struct(F.col("source").alias("s"), "whole", "below").alias(name))
+    copies = F.col(f"{name}.whole") + F.when(record_hash(docs[key]) < F.col(f"{name}.below"), 1).otherwise(0)
+    picked = docs.join(cut, docs[source].eqNullSafe(F.col(f"{name}.s")))
+    return picked.withColumn(name, F.explode(F.array_repeat(F.lit(0), copies))).drop(name)
 
 
 def op1(spark, folder):
@@ -145,7 +146,8 @@ def op1(spark, folder):
 
 #: The same mix with windows that sort every source, for comparison.
 OP1_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size,
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size,
     CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM s),

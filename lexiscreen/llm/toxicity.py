@@ -3,8 +3,9 @@
 Words are spelled byte by byte, each byte predicted from the bytes of its word before it.  Two models, one of toxic and
 one of ordinary labelled texts, discount their own counts and give what they saved to one backoff that both share:
 continuation counts over all labelled texts.  Where neither class knows an expression the backoff cancels out, so that
-rare words say little.  A text's evidence is the difference of the two log-likelihoods for each word; a logistic curve
-fitted on labelled texts that the models have not seen turns it into a score.
+rare words say little.  A toxic text is mostly ordinary words: its likelihood takes each word from the toxic model with
+a small probability, and else from the ordinary one.  A text's evidence is the difference of the log-likelihoods for
+each word; a logistic curve fitted on labelled texts that the models have not seen turns it into a score.
 
 Counts are Spark aggregates over every labelled text of the folds in use.  The finished model is a table of fixed
 size: log-ratios by hash slot, whatever the size of the corpus."""
@@ -12,7 +13,7 @@ size: log-ratios by hash slot, whatever the size of the corpus."""
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,13 @@ from .common import fold, held_out, saved, table
 from .language import blocks
 
 #: Bytes of an expression, with the predicted one, and of the shared backoff's orders.
-ORDER, BACKOFF = 6, (4, 2)
-DISCOUNT = 0.75
+ORDER, BACKOFF = 7, (4, 2)
+#: Discounts of the classes' counts and of the shared continuation counts.
+OWN_DISCOUNT, DISCOUNT = 1.5, 0.75
+#: Probability with which a toxic text takes a word from the toxic model.
+SHARE = 0.005
+#: Evidence is fitted on a logarithmic scale that begins here.
+SCALE = 0.001
 #: Slots of the model: 16 MB for expressions, 4 MB for contexts, in half precision.
 GRAM_BITS, CONTEXT_BITS = 23, 21
 #: Folds the counts and the curve are learned from; fold 2 is held out.
@@ -127,18 +133,18 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     sums = saved(
         known.groupBy("context").agg(
             *[F.sum(c).alias(f"{c}_all") for c in ("toxic", "ordinary")],
-            *[F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in ("toxic", "ordinary")],
+            *[F.sum(F.least(F.col(c), F.lit(OWN_DISCOUNT))).alias(f"{c}_saved") for c in ("toxic", "ordinary")],
         ),
         "toxicity-contexts",
     )
     shared = _shared(grams)
 
     def chance(c: str) -> Column:
-        own = F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{c}_kinds") * F.col("shared")
+        own = F.greatest(F.col(c) - OWN_DISCOUNT, F.lit(0.0)) + F.col(f"{c}_saved") * F.col("shared")
         return F.when(F.col(f"{c}_all") > 0, own / F.col(f"{c}_all")).otherwise(F.col("shared"))
 
     def saving(c: str) -> Column:
-        return F.when(F.col(f"{c}_all") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_all")).otherwise(F.lit(1.0))
+        return F.when(F.col(f"{c}_all") > 0, F.col(f"{c}_saved") / F.col(f"{c}_all")).otherwise(F.lit(1.0))
 
     seen = (
         known.join(sums, "context")
@@ -179,13 +185,19 @@ def fit(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def evidence(texts: list[bytes], seen: np.ndarray, unseen: np.ndarray) -> np.ndarray:
-    """Difference of the log-likelihoods for each word; 0 without words."""
+    """Difference of the log-likelihoods for each word, as the logarithm of how far it is above nothing: 0 without
+    words or without evidence."""
     codes, owner, ends = expressions(texts)
     ratio = seen[_slot(codes, GRAM_BITS)].astype(np.float64)
     new = np.flatnonzero(np.isnan(ratio))
     ratio[new] = np.nan_to_num(unseen[_slot(codes[new] >> 8, CONTEXT_BITS)].astype(np.float64))
-    words = np.bincount(owner, ends, len(texts))
-    return np.bincount(owner, ratio, len(texts)) / np.maximum(words, 1)
+    word = np.cumsum(ends) - ends
+    n = int(ends.sum())
+    of_word = np.log1p(SHARE * np.expm1(np.clip(np.bincount(word, ratio, n), -50, 50)))
+    texts_of = owner[ends]
+    words = np.bincount(texts_of, minlength=len(texts))
+    mean = np.bincount(texts_of, of_word, len(texts)) / np.maximum(words, 1)
+    return np.log1p(np.maximum(mean, 0) / SCALE)
 
 
 def evidence_of(shared):
@@ -223,19 +235,18 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").alias("toxic"))
 
 
-def score(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """``docs`` with a score column, learned from those of the docs that have labels and are not held out."""
+def learn(docs: DataFrame, labels: DataFrame) -> Callable[[Column], Column]:
+    """A function from a text column to its score, learned from those docs that have labels and are not held out."""
     spark = docs.sparkSession
     marked = known_labels(labels)
     part = lambda folds: docs.filter(fold(F.col("doc_id")).isin(*folds)).select("doc_id", "text")
     model = fit(part(COUNT_FOLDS).join(marked, F.col("doc_id") == F.col("of")).select("text", "toxic"))
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, tuple(x.tobytes() for x in model)))
-    measure = evidence_of(shared)
-    bound = lambda x: F.greatest(F.least(x, F.lit(BOUND)), F.lit(-BOUND))
-    judged = part(CURVE_FOLDS).select("doc_id", F.round(bound(measure(F.col("text"))) * STEPS).alias("step"))
+    measure = evidence_of(spark.sparkContext.broadcast((uuid.uuid4().hex, tuple(x.tobytes() for x in model))))
+    bound = lambda text: F.greatest(F.least(measure(text), F.lit(BOUND)), F.lit(-BOUND))
+    judged = part(CURVE_FOLDS).select("doc_id", F.round(bound(F.col("text")) * STEPS).alias("step"))
     points = judged.join(marked, F.col("doc_id") == F.col("of")).groupBy("step", "toxic").count().collect()  # bounded by STEPS
     base, slope = curve([(r["step"] / STEPS, r["toxic"], r["count"]) for r in points])
-    return docs.withColumn(column, 1 / (1 + F.exp(-(F.lit(base) + F.lit(slope) * bound(measure(F.col("text")))))))
+    return lambda text: 1 / (1 + F.exp(-(F.lit(base) + F.lit(slope) * bound(text))))
 
 
 def op2(spark, folder):
@@ -243,6 +254,7 @@ def op2(spark, folder):
 
     Null and empty texts have evidence 0.  Repeated rows get equal scores.  Without labels all scores are near 0."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return score(docs, table(spark, folder, "labels"), "score").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    score = learn(docs, table(spark, folder, "labels"))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text")).alias("score")).withColumn(
+        "predicted", (F.col("score") >= THRESHOLD).cast("int")
     )
