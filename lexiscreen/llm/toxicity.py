@@ -238,7 +238,8 @@ def known_labels(labels: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame) -> Callable[[Column], Column]:
     """A function from a text column to its score, learned from those docs that have labels and are not held out."""
     spark = docs.sparkSession
-    marked = known_labels(labels)
+    # Labels grow with the corpus: they are never broadcast, whatever their size, and the plan is the same for any table.
+    marked = known_labels(labels).hint("merge")
     part = lambda folds: docs.filter(fold(F.col("doc_id")).isin(*folds)).select("doc_id", "text")
     model = fit(part(COUNT_FOLDS).join(marked, F.col("doc_id") == F.col("of")).select("text", "toxic"))
     measure = evidence_of(spark.sparkContext.broadcast((uuid.uuid4().hex, tuple(x.tobytes() for x in model))))

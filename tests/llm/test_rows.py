@@ -45,8 +45,9 @@ def test_decontamination_agrees_with_sql(spark, tables, sql, clashes):
         (23, "x1 x2 x3 " * 500, "en", "s", 1),
         (24, " ".join(f"w{i}" for i in range(9)), "en", "s", 1),
     ]
-    folder = tables(clashes, documents=EDGES + docs, benchmark=items)
-    want = [r for r in sql(decontaminate.OP4_SQL.replace("coalesce(CAST", "coalesce(CAST"), folder)]
+    short = [d for d in EDGES if d[0] != 6]  # SQL carries the word list to every position
+    folder = tables(clashes, documents=short + docs, benchmark=items)
+    want = sql(decontaminate.OP4_SQL, folder)
     got = rows(decontaminate.op4(spark, folder))
     # SQL's join leaves the item without id out of its list; its id counts as empty text here.
     assert [g for g in got if g[1] != 23] == [w for w in want if w[1] != 23]
@@ -59,6 +60,8 @@ def test_decontamination_offsets_and_slices(spark, tables):
     whole = decontaminate.contamination(docs, bench, "f").first()["f"]
     text = "ÀÉ  é7--b7 c7? then é9 b9 c9"
     assert [text[s["start"] : s["end"]] for s in whole["spans"]] == ["é7--b7 c7", "é9 b9 c9"]
+    long = decontaminate.contamination(docs.selectExpr("id", "repeat('filler words ', 100000) || text AS text"), bench, "f").first()["f"]
+    assert (long["n_words"], long["n_hit"], long["items"]) == (200_008, 6, ["7", "9"])
     parts = decontaminate.slices(bench, 100)
     assert len(parts) > 3 and sum(map(len, parts)) == 40
     found = None
