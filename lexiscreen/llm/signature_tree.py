@@ -7,9 +7,10 @@ a Jaccard similarity of at least num / den, in this order:
    shingle hash, so that linked sets agree in whole segments.  Sets that share a segment hang below one root, named by
    the smallest of them.  Shared passages alone do not bring sets together, as a segment holds shingles from anywhere.
 2. *Trees.*  Below a root, sets are leaves; inner nodes hold the OR of the bitmaps below them and the range of sizes.
-3. *Traversal.*  First every leaf meets a few pivots, one a round, so that groups of near copies become components
-   with few comparisons.  Then the trees are traversed against themselves, level by level, for pairs of nodes from
-   different components only.  A pair of nodes goes on if the overlap that bitmaps and sizes allow reaches the bound.
+3. *Traversal.*  First every leaf meets a pivot of its tree, in rounds, as long as rounds find links: groups of near
+   copies become components with few comparisons.  Then the trees are traversed against themselves, level by level,
+   for pairs of nodes from different components only.  A pair of nodes goes on if the overlap that bitmaps and sizes
+   allow reaches the bound.  The lowest inner nodes carry their leaves, and pairs of them are compared as bit matrices.
 4. Pairs of leaves that remain are compared exactly.
 
 Pairs already in one component cannot change the result and are not visited; no other pair is left out."""
@@ -27,9 +28,12 @@ from .common import saved, table
 
 #: Words of the bitmaps, of 64 bits each.
 BITMAP = 32
-#: Children of an inner node.
-FAN = 32
-PIVOTS = 4
+#: Leaves of a lowest inner node, and children of those above.
+BLOCK, FAN = 256, 32
+#: Rounds of pivots at most, and the part of a round's comparisons that must be links for another round.
+PIVOTS, WORTH = 8, 0.1
+#: Segments to spare, as a part of the shingles in which linked sets may differ.
+SPARE = 0.25
 #: Sizes up to the next number share their segments.
 GROWTH = 1.5
 
@@ -121,14 +125,15 @@ class Bands:
     def keys(self, hashes: np.ndarray) -> list[np.ndarray]:
         """Keys of the segments by which a set finds those linked with it.
 
-        Linked sets agree in more than ``spare`` segments.  Those with one shingle or none are weak: many sets have
-        them.  A set with at most ``spare`` weak segments agrees in a strong one and leaves the weak ones out."""
+        Linked sets agree in more than ``spare`` segments.  Every set leaves out its ``spare`` weakest ones, those
+        with the fewest shingles, as many sets have them.  The strongest segment in which two linked sets agree has
+        ``spare`` weaker ones in both, so both keep it."""
         out = []
         for band in self.of(len(hashes)):
             d = self.differ(band)
             if d == 0:
                 continue  # linked sets are equal
-            spare = 4 + (d + 1) // 16
+            spare = 3 + int(d * SPARE)
             k = d + 1 + spare
             segment = ((_mix(hashes + np.uint64(band * 1_000_003 + 11)) >> np.uint64(20)) % np.uint64(k)).astype(np.int64)
             counts = np.bincount(segment, minlength=k)
@@ -137,8 +142,7 @@ class Bands:
             there = np.flatnonzero(counts)
             sums[there] = np.add.reduceat(_mix(hashes[order]), (np.cumsum(counts) - counts)[there])
             labels = _mix(sums + _mix(np.arange(k, dtype=np.uint64) + np.uint64((band + 1) << 32)))
-            strong = counts > 1
-            out.append(labels[strong] if k - int(strong.sum()) <= spare else labels)
+            out.append(labels[np.lexsort((labels, counts))[spare:]])
         return out
 
 
@@ -211,7 +215,8 @@ def leaves(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["node", "n", "bits", "hashes"])
 
     texts = docs.select(F.col("doc_id").alias("d"), "text")
-    return texts.join(nodes, F.col("d").eqNullSafe(F.col("of_doc"))).select("node", "text").mapInArrow(build, schema)
+    # Nodes grow with the corpus and are never broadcast: the plan is the same at every size.
+    return texts.join(nodes.hint("merge"), F.col("d").eqNullSafe(F.col("of_doc"))).select("node", "text").mapInArrow(build, schema)
 
 
 def _missing(a: Column, b: Column) -> Column:
@@ -268,26 +273,34 @@ class Join:
         """(node, label) of all nodes with links: equal labels for equal components."""
         from pyspark.sql import Window
 
-        root = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-        below = segments(self.docs, self.width, self.num, self.den).select("node", root.alias("root")).filter("node <> root")
-        below = saved(below.distinct(), "join-roots")
+        of_key = Window.partitionBy("key").orderBy("node")
+        root = F.first("node").over(of_key.rowsBetween(Window.unboundedPreceding, 0))
+        second = F.dense_rank().over(of_key) == 2
+        below = segments(self.docs, self.width, self.num, self.den).select("node", root.alias("root"), second.cast("int").alias("second"))
+        below = below.filter("node <> root").groupBy("node", "root").agg(F.count("*").alias("shared"), F.sum("second").alias("keys"))
+        below = saved(below, "join-roots")
         asked = below.select("node").union(below.select(F.col("root").alias("node"))).distinct()
         self.leaf = saved(leaves(self.docs, saved(asked.join(nodes, "node"), "join-asked"), self.width), "join-leaves")
-        members = saved(below.union(below.select(F.col("root").alias("node"), "root").distinct()), "join-members")
+        roots = below.groupBy("root").agg(F.sum("keys").alias("shared")).select(F.col("root").alias("node"), "root", "shared")
+        members = saved(below.select("node", "root", "shared").union(roots), "join-members")
         links, labels = None, saved(asked.select("node", F.col("node").alias("label")), "join-labels")
         for turn in range(PIVOTS):
             marked = members.join(labels, "node")
+            first = -F.col("shared") if turn == 0 else F.xxhash64("node", F.lit(turn))
             pivot = marked.groupBy("root").agg(
-                F.min_by(F.struct(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("p"),
+                F.min_by(F.struct(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), F.struct(first, "node")).alias("p"),
                 F.min("label").alias("lo"), F.max("label").alias("hi"),
             ).filter("lo <> hi").select(F.col("root").alias("r"), "p.pivot", "p.pivot_label")
             met = marked.join(saved(pivot, "join-pivots"), F.col("root") == F.col("r")).filter("label <> pivot_label")
-            pairs = met.groupBy(F.col("node").alias("a")).agg(F.min_by("pivot", F.xxhash64("pivot", F.lit(turn))).alias("b"))
-            found = saved(self.linked(saved(pairs, "join-pairs")), "join-links")
-            if found.isEmpty():
+            # The pivot of the tree in which a leaf shares the most.
+            pairs = saved(met.groupBy(F.col("node").alias("a")).agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b")), "join-pairs")
+            found = saved(self.linked(pairs), "join-links")
+            n = found.count()
+            if n:
+                links = found if links is None else links.union(found)
+                labels = self.relabel(labels, links)
+            if n <= WORTH * pairs.count():
                 break
-            links = found if links is None else links.union(found)
-            labels = self.relabel(labels, links)
         found = saved(self.linked(self.traverse(members, labels)), "join-links")
         if not found.isEmpty():
             labels = self.relabel(labels, found if links is None else links.union(found))
@@ -305,14 +318,10 @@ class Join:
         mixed = marked.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("root").alias("r"))
         bits = self.leaf.select(F.col("node").alias("leaf"), "n", "bits")
         open_ = marked.join(saved(mixed, "tree-roots"), F.col("root") == F.col("r")).join(bits, F.col("node") == F.col("leaf"))
-        excess = F.col("n") - F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x))
-        level = open_.select(
-            "root", F.col("node").alias("id"), F.col("label").alias("lo"), F.col("label").alias("hi"),
-            F.col("n").alias("least"), F.col("n").alias("most"), excess.alias("excess"), "bits",
-        )
-        levels = [saved(_with_parent(level), "tree-level")]
+        blocks = saved(_blocks(open_.select("root", "node", "label", "n", "bits")), "tree-blocks")
+        levels = [saved(_with_parent(blocks.drop("leaves"), FAN), "tree-level")]
         while (levels[-1].groupBy("root").count().agg(F.max("count")).first()[0] or 0) > FAN:
-            levels.append(saved(_with_parent(_inner(levels[-1])), "tree-level"))
+            levels.append(saved(_with_parent(_inner(levels[-1]), FAN), "tree-level"))
         side = lambda level, s: level.select("root", F.col("parent").alias(f"{s}_parent"), F.struct("id", "lo", "hi", "least", "most", "excess", "bits").alias(s))
         pairs = side(levels[-1], "x").join(side(levels[-1], "y"), "root").filter("x.id <= y.id")
         for level in reversed(levels[:-1]):
@@ -320,7 +329,10 @@ class Join:
             ids = saved(ids, "tree-pairs")
             pairs = ids.join(side(level, "x"), ["root", "x_parent"]).join(side(level, "y"), ["root", "y_parent"])
             pairs = pairs.filter("x_parent <> y_parent OR x.id <= y.id")
-        found = pairs.filter(self.reachable()).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        near = saved(pairs.filter(self.reachable()).select("root", F.col("x.id").alias("x"), F.col("y.id").alias("y")), "tree-pairs")
+        held = lambda s: blocks.select("root", F.col("id").alias(s), F.col("leaves").alias(f"{s}_leaves"))
+        both = near.join(held("x"), ["root", "x"]).join(held("y"), ["root", "y"]).select((F.col("x") == F.col("y")).alias("same"), "x_leaves", "y_leaves")
+        found = both.mapInArrow(_matrices(self.num, self.den), "a bigint, b bigint")
         return saved(found.distinct(), "tree-leaves")
 
     def reachable(self) -> Column:
@@ -333,21 +345,69 @@ class Join:
         return apart & sizes & self.enough(most, F.col("x.least"), F.col("y.least"))
 
 
-def _with_parent(level: DataFrame) -> DataFrame:
-    """Nodes with the id of their inner node: those of one component are kept together, FAN to an inner node."""
-    same = level.groupBy("root", "lo").agg(F.ceil(F.count("*") / FAN).alias("same"))
-    every = level.groupBy("root").agg(F.ceil(F.count("*") / FAN).alias("every"))
+def _matrices(num: int, den: int):
+    """Pairs of leaves of different components that may be linked, from pairs of blocks."""
+
+    def block(leaves: pa.StructArray):
+        node, label, n, bits = leaves.flatten()
+        bits = bits.flatten().to_numpy(zero_copy_only=False).reshape(len(leaves), BITMAP)
+        ones = np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1).astype(np.float32)
+        return [c.to_numpy(zero_copy_only=False) for c in (node, label, n)] + [ones, ones.sum(axis=1)]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, left, right in zip(batch.column("same"), batch.column("x_leaves"), batch.column("y_leaves")):
+                node_a, label_a, n_a, ones_a, set_a = block(left.values)
+                node_b, label_b, n_b, ones_b, set_b = block(right.values)
+                for k in range(0, len(node_a), BLOCK):
+                    part = slice(k, k + BLOCK)
+                    common = ones_a[part] @ ones_b.T
+                    # Bits that the other lacks are shingles that it lacks.
+                    most = np.minimum(n_a[part, None] - (set_a[part, None] - common), n_b[None] - (set_b[None] - common))
+                    fits = (most * (num + den) >= num * (n_a[part, None] + n_b[None])) & (label_a[part, None] != label_b[None])
+                    if same.as_py():
+                        fits &= node_a[part, None] < node_b[None]
+                    i, j = np.nonzero(fits)
+                    for at in range(0, len(i), 100_000):
+                        a, b = node_a[part][i[at : at + 100_000]], node_b[j[at : at + 100_000]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return compare
+
+
+def _blocks(leaves: DataFrame) -> DataFrame:
+    """The lowest inner nodes, with their leaves: about BLOCK a node, those of one component together."""
+    rows = leaves.withColumn("lo", F.col("label")).withColumn("id", F.col("node"))
+    excess = F.col("n") - F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x))
+    grouped = _with_parent(rows, BLOCK).groupBy("root", F.col("parent").alias("id")).agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(excess).alias("excess"),
+        F.collect_list(F.struct("node", "label", "n", "bits")).alias("leaves"), *_ors(),
+    )
+    return grouped.select("root", "id", "lo", "hi", "least", "most", "excess", "leaves", _bitmap())
+
+
+def _ors() -> list[Column]:
+    return [F.bit_or(F.get("bits", F.lit(i))).alias(f"b{i}") for i in range(BITMAP)]
+
+
+def _bitmap() -> Column:
+    return F.array(*[f"b{i}" for i in range(BITMAP)]).alias("bits")
+
+
+def _with_parent(level: DataFrame, fan: int) -> DataFrame:
+    """Nodes with the id of their inner node: those of one component are kept together, ``fan`` to an inner node."""
+    same = level.groupBy("root", "lo").agg(F.ceil(F.count("*") / fan).alias("same"))
+    every = level.groupBy("root").agg(F.ceil(F.count("*") / fan).alias("every"))
     place = F.xxhash64("lo", F.pmod(F.xxhash64("id"), F.col("same")))
     return level.join(same, ["root", "lo"]).join(every, "root").select(*level.columns, F.pmod(place, F.col("every")).alias("parent"))
 
 
 def _inner(level: DataFrame) -> DataFrame:
-    ors = [F.bit_or(F.get("bits", F.lit(i))).alias(f"b{i}") for i in range(BITMAP)]
     grouped = level.groupBy("root", F.col("parent").alias("id")).agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least"), F.max("most").alias("most"),
-        F.max("excess").alias("excess"), *ors,
+        F.max("excess").alias("excess"), *_ors(),
     )
-    return grouped.select("root", "id", "lo", "hi", "least", "most", "excess", F.array(*[f"b{i}" for i in range(BITMAP)]).alias("bits"))
+    return grouped.select("root", "id", "lo", "hi", "least", "most", "excess", _bitmap())
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -79,7 +79,8 @@ def test_join_agrees_with_brute_force(spark, tables, width, num, den):
 def test_tree_traversal_alone_finds_all_links(spark, tables, monkeypatch):
     """Without pivots and with few children a node, the trees have several levels and must find everything."""
     monkeypatch.setattr(signature_tree, "PIVOTS", 0)
-    monkeypatch.setattr(signature_tree, "FAN", 4)
+    monkeypatch.setattr(signature_tree, "FAN", 2)
+    monkeypatch.setattr(signature_tree, "BLOCK", 8)
     docs = planted(4, 2, (40, 60), (80, 120), (0, 3))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = signature_tree.near_groups(frame, 3, 90, 100).collect()
