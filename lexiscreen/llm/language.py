@@ -84,7 +84,8 @@ def phrases(pieces: np.ndarray, starts: np.ndarray, lengths: np.ndarray, moves:
         symbol = pieces[starts[:n] + step].astype(np.int32)
         there = moves[state[:n] + symbol]
         ended = there == 0
-        count[:n] += ended
+        if step:  # a phrase begins where the last one cannot go on, and behind a symbol that is in no phrase
+            count[:n] += ended | (state[:n] == 0)
         there[ended] = moves[symbol[ended]]
         state[:n] = there
     return count
