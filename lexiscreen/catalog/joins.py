@@ -64,7 +64,7 @@ BASE = q.with_(q.RULES, q.LEMMAS, NEAR)
 
 
 def annotated(spark, folder):
-    words = tokens(src.documents(spark, folder).filter(IN_SCOPE), **check.WINDOW)
+    words = tokens(src.documents(spark, folder).filter(IN_SCOPE), **check.window(packs.rules(spark)))
     words = words.filter(matching.is_checkable(F.col("lang"), F.col("tok")))
     return matching.annotate(words, packs.lemmas(spark))
 

@@ -74,7 +74,6 @@ _add(
         F.regexp_replace(F.concat(tok(), F.lit("_advanced")), "_advanced$", "").alias("base"),
         F.concat(tok(), F.lit("_advanced")).alias("advanced"),
     ],
-    "n > 2", "n > 2",
 )
 _add(
     "f35_a_an",
@@ -115,34 +114,18 @@ _add(
     lambda: [w.utf16_length(tok()).cast("long").alias("utf16")],
 )
 
-FEMININE = {
-    "word IN ('antichoc', 'cajun', 'chic', 'kaki', 'standard', 'tout-terrain', 'zen')": "word",
-    "ends_with(word, 'f')": "left(word, -1) || 've'",
-    "ends_with(word, 'teur')": "left(word, -4) || 'trice'",
-    "ends_with(word, 'er')": "left(word, -2) || 'ère'",
-    "regexp_matches(word, '(roux|faux)$')": "left(word, -1) || 'sse'",
-    "ends_with(word, 'doux')": "left(word, -1) || 'ce'",
-    "ends_with(word, 'vieux')": "left(word, -2) || 'ille'",
-    "ends_with(word, 'x')": "left(word, -1) || 'se'",
-    "regexp_matches(word, '(érieur|majeur|mineur|meilleur)$')": "word || 'e'",
-    "ends_with(word, 'eur')": "left(word, -1) || 'se'",
-    "regexp_matches(word, '(inquiet|complet|désuet|replet|cret)$')": "left(word, -2) || 'ète'",
-    "ends_with(word, 'et')": "word || 'te'",
-    "ends_with(word, 'gu')": "word || 'ë'",
-    "regexp_matches(word, '(el|en|on|eil|ul)$')": "word || right(word, 1) || 'e'",
-    "ends_with(word, 'eau')": "left(word, -2) || 'lle'",
-    "ends_with(word, 'anc')": "word || 'he'",
-    "ends_with(word, 'e') OR ends_with(word, 'a')": "word",
-}
-
-
 @query(
     "f28_french_feminine",
-    VOCAB + "SELECT word, CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in FEMININE.items())
-    + " ELSE word || 'e' END AS feminine FROM (SELECT DISTINCT lower(tok) AS word FROM vocabulary WHERE lang = 'fr' AND length(tok) > 4)",
+    q.with_(
+        q.VOCABULARY,
+        "endings AS " + literal.values("rank, ending, cut, added", [(k, *e) for k, e in enumerate(french.feminine_endings())]),
+        "one_form AS " + literal.values("w", [(w_,) for w_ in fixed.FRENCH_INVARIABLE]),
+    )
+    + """SELECT word, CASE WHEN word IN (SELECT w FROM one_form) THEN word ELSE (SELECT arg_min(left(word, length(word) - cut) || added, rank) FROM endings WHERE ends_with(word, ending)) END AS feminine
+     FROM (SELECT DISTINCT lower(tok) AS word FROM vocabulary WHERE lang = 'fr')""",
 )
 def f28(spark, folder):
-    rows = vocab(spark, folder, "lang = 'fr' AND length(tok) > 4").select(F.lower("tok").alias("word")).distinct()
+    rows = vocab(spark, folder, "lang = 'fr'").select(F.lower("tok").alias("word")).distinct()
     return rows.select("word", french.feminine_adjective(F.col("word")).alias("feminine"))
 
 

@@ -16,11 +16,11 @@ from .registry import query
 @query(
     "u01_lookup_union",
     q.with_(q.LEMMAS, q.VOCABULARY)
-    + "SELECT lang, form, lemma FROM lemmas UNION SELECT lang, lower(tok), lower(tok) FROM vocabulary WHERE lang = 'fr' AND n > 5",
+    + "SELECT lang, form, lemma FROM lemmas UNION SELECT lang, lower(tok), lower(tok) FROM vocabulary WHERE lang = 'fr'",
 )
 def u01(spark, folder):
     pins = packs.lemmas(spark).select("lang", "form", "lemma")
-    nouns = vocabulary(tokens(src.documents(spark, folder).filter("lang = 'fr'"))).filter("n > 5")
+    nouns = vocabulary(tokens(src.documents(spark, folder).filter("lang = 'fr'")))
     return pins.union(nouns.select("lang", F.lower("tok"), F.lower("tok"))).distinct()
 
 

@@ -3,6 +3,9 @@ built from what was found."""
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,37 +13,31 @@ from pyspark.sql import types as T
 
 from ..functions.words import word_count
 
+_FLUSH = 10_000
 LEVELS = ("overall", "corporate_rules", "openly_discriminating", "basic", "advanced")
-_ENDS = (". ", "! ", "? ", "\n")
 
 
-def _cuts(text: str, size: int):
-    """(start, part): after a sentence that ends in the second half of a part,
-    else after a blank, else at ``size``."""
-    at = 0
-    while len(text) - at > size:
-        window = text[at : at + size]
-        cut = max(window.rfind(e) + len(e) if e in window else 0 for e in _ENDS)
-        if cut <= size // 2:
-            cut = window.rfind(" ") + 1 or size
-        yield at, window[:cut]
-        at += cut
-    if at < len(text):
-        yield at, text[at:]
+def part_pattern(size: int) -> re.Pattern:
+    """What a part looks like: all that is left if it fits; else the longest run beyond half the size that closes a
+    sentence; else the longest run that closes a word; else ``size`` characters."""
+    closed = r"(?:(?<=[.!?] )|(?<=\n))"
+    return re.compile(rf"(?s).{{1,{size}}}\Z|.{{{size // 2 + 1},{size}}}{closed}|.{{1,{size}}}(?<= )|.{{1,{size}}}")
 
 
 def parts(texts: DataFrame, size: int, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """One row per part: ``keep``, ``part_no``, ``part_start``, ``text``.  Where
-    a part ends depends on the one before, so it is cut over Arrow batches."""
+    a part ends depends on the one before, so it is cut over Arrow batches, and
+    written in bounded ones."""
 
     def run(batches):
+        pattern = part_pattern(size)
         for batch in batches:
-            rows = [
-                (row, no, start, part)
+            found = (
+                (row, no, m.start(), m[0])
                 for row, text in enumerate(batch.column("_text").to_pylist())
-                for no, (start, part) in enumerate(_cuts(text or "", size))
-            ]
-            if rows:
+                for no, m in enumerate(pattern.finditer(text or ""))
+            )
+            while rows := list(islice(found, _FLUSH)):
                 row, no, start, part = zip(*rows)
                 kept = [batch.column(c).take(pa.array(row)) for c in keep]
                 yield pa.RecordBatch.from_arrays(

@@ -8,9 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Grams below this count carry no evidence and keep the profile small.
-MIN_COUNT = 3
-
 
 def _words(texts: DataFrame, *keep: str) -> DataFrame:
     """(keep, w, m): words of a text and how often."""
@@ -34,7 +31,7 @@ def grams(texts: DataFrame, *keep: str) -> DataFrame:
 def profile(texts: DataFrame) -> DataFrame:
     """(lang, gram, n, logp): counts with add-one smoothing over the grams of
     the language."""
-    counts = grams(texts, "lang").filter(F.col("n") >= MIN_COUNT)
+    counts = grams(texts, "lang")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     joined = counts.join(totals, "lang")
     return joined.select("lang", "gram", "n", F.log((F.col("n") + 1) / (F.col("total") + F.col("kinds"))).alias("logp"))
@@ -72,7 +69,7 @@ def _grams_sql(key: str) -> str:
 
 
 def profile_sql() -> str:
-    return f"SELECT lang, gram, n FROM {_grams_sql('lang')} WHERE n >= {MIN_COUNT}"
+    return f"SELECT lang, gram, n FROM {_grams_sql('lang')}"
 
 
 def scores_sql() -> str:

@@ -31,7 +31,7 @@ def keyed(rules: DataFrame) -> DataFrame:
         "*",
         F.size(words).alias("n_words"),
         F.element_at(words, 1).alias("first_token"),
-        F.lower(F.array_join(F.slice(words, 2, 99), " ")).alias("tail"),
+        F.lower(F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")).alias("tail"),
     )
 
 
@@ -172,6 +172,6 @@ def pattern_matches(matches: DataFrame, lemmas: DataFrame, pattern: str) -> Data
     run = F.array_join(F.transform("c", lambda s: s["c"]), "")
     kept = runs.filter(
         F.substring(run, F.lit(1), F.col("n_prev")).rlike(before + "$")
-        & F.substring(run, F.col("n_prev") + 2, F.lit(99)).rlike("^" + after)
+        & F.substring(run, F.col("n_prev") + 2, F.length(run)).rlike("^" + after)
     )
     return matches.join(kept.select("doc_id", "i", "rule_id"), ["doc_id", "i", "rule_id"], "left_semi")

@@ -127,32 +127,37 @@ def vocabulary(token_table: DataFrame) -> DataFrame:
     return token_table.groupBy("lang", "tok").agg(F.count("*").alias("n"))
 
 
+_PY_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]|[^.!?\n]+")
+
+
 def sentences(texts: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), text: str = "text") -> DataFrame:
     """Sentence spans: up to and including a boundary character, blank ones
-    dropped, leading spaces not counted.  Cut and summed in the row."""
-    cut = F.regexp_extract_all(F.col(text), F.lit(r"[^.!?\n]*[.!?\n]|[^.!?\n]+"), F.lit(0))
-    spans = F.aggregate(
-        cut,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<start:int,end:int,sentence:string>>").alias("acc")),
-        lambda state, s: F.struct(
-            (state["n"] + F.length(s)).alias("n"),
-            F.concat(
-                state["acc"],
-                F.array(
-                    F.struct(
-                        (state["n"] + F.length(s) - F.length(F.ltrim(s))).alias("start"),
-                        (state["n"] + F.length(s)).alias("end"),
-                        F.ltrim(s).alias("sentence"),
-                    )
-                ),
-            ).alias("acc"),
-        ),
-        lambda state: F.filter(state["acc"], lambda s: s["sentence"].rlike(f"[^{BLANKS}]")),
-    )
-    # The outer generator keeps the optimizer from adding a pushed-down "array is
-    # not empty" filter, which would evaluate the whole cut a second time.
-    return (
-        texts.select(*keep, F.posexplode_outer(spans).alias("sent_no", "s"))
-        .filter("s IS NOT NULL")
-        .select(*keep, "sent_no", "s.*")
-    )
+    dropped, leading spaces not counted.  One pass over a text, in bounded batches."""
+    names = [*keep, "sent_no", "start", "end", "sentence"]
+
+    def run(batches):
+        for batch in batches:
+            rows, found = [], []
+
+            def emit():
+                numbers, starts, ends, said = zip(*found)
+                kept = [batch.column(c).take(pa.array(rows)) for c in keep]
+                spans = [pa.array(c, pa.int32()) for c in (numbers, starts, ends)]
+                return pa.RecordBatch.from_arrays([*kept, *spans, pa.array(said, pa.string())], names=names)
+
+            for row, value in enumerate(batch.column("_text").to_pylist()):
+                number = 0
+                for m in _PY_SENTENCE.finditer(value or ""):
+                    said = m[0].lstrip(" ")
+                    if said.strip(_PY_BLANKS):
+                        rows.append(row)
+                        found.append((number, m.end() - len(said), m.end(), said))
+                        number += 1
+                    if len(found) >= _FLUSH:
+                        yield emit()
+                        rows, found = [], []
+            if found:
+                yield emit()
+
+    fields = [T.StructField(n, T.IntegerType()) for n in ("sent_no", "start", "end")] + [T.StructField("sentence", T.StringType())]
+    return texts.select(*keep, F.col(text).alias("_text")).mapInArrow(run, T.StructType([texts.schema[c] for c in keep] + fields))

@@ -11,12 +11,19 @@ from ..operators.tokens import tokens
 from ..packs import rules as packs
 
 SUPPORTED = ("en", "de", "fr")
-WINDOW = dict(prev=5, next=6)
+#: Pieces before and after a token that the checks around a match look at.
+BEFORE, AFTER = 5, 6
+
+
+def window(rules: DataFrame) -> dict[str, int]:
+    """The neighbours a token row carries: as many as the longest rule of the pack needs."""
+    longest = rules.agg(F.max(F.size(F.split("words", " ")))).first()[0] or 1
+    return dict(prev=BEFORE, next=max(AFTER, longest - 1))
 
 
 def matched(texts: DataFrame, rules: DataFrame, lemmas: DataFrame, addons=None) -> DataFrame:
     """Every verified rule match, before false positives and ranking."""
-    words = tokens(texts.filter(F.col("lang").isin(*SUPPORTED)), **WINDOW)
+    words = tokens(texts.filter(F.col("lang").isin(*SUPPORTED)), **window(rules))
     # Nearly every word is its own lemma: the pins and the pack are small, so
     # both joins run inside the scan's stage.
     annotated = matching.annotate(words, lemmas)

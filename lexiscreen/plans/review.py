@@ -21,10 +21,10 @@ def limits(spark, rows=None) -> DataFrame:
 
 
 def findings_by_part(texts: DataFrame, spark, size: int) -> tuple[DataFrame, DataFrame]:
-    """Parts and their findings, both keyed by ``part`` = text and part number.
+    """Parts and their findings, both keyed by ``part``, a struct of text and part number.
     Parts are rows, so one long text is screened by many tasks."""
     cut = guardrail.parts(texts, size)
-    cut = cut.withColumn("part", F.col("doc_id") * 1000000 + F.col("part_no"))
+    cut = cut.withColumn("part", F.struct("doc_id", "part_no"))
     found = check.findings(
         cut.select(F.col("part").alias("doc_id"), "lang", "text"), spark, disabled=list(fixed.INCLUSIVE_CATEGORIES)
     )
@@ -34,7 +34,7 @@ def findings_by_part(texts: DataFrame, spark, size: int) -> tuple[DataFrame, Dat
 def review(texts: DataFrame, spark, size: int = 1000, limit_rows=None) -> DataFrame:
     """(doc_id, words, verdict, failed_on)."""
     cut, found = findings_by_part(texts, spark, size)
-    by_text = found.withColumn("doc_id", (F.col("part") / 1000000).cast("long"))
+    by_text = found.withColumn("doc_id", F.col("part.doc_id"))
     counts = guardrail.level_counts(by_text)
     words = cut.groupBy("doc_id").agg(F.sum(w.word_count(F.col("text"))).alias("words"))
     return guardrail.verdicts(words, counts, limits(spark, limit_rows))

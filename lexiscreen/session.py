@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 #: Runtime settings that change plans, not results.  AQE splits skewed join
 #: partitions and turns shuffled joins into broadcasts from measured sizes;
@@ -29,6 +30,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("lexiscreen.scan.tasks", cpus)
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
@@ -39,22 +41,14 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; only
-    where none is named (tests on one machine) a temporary one is made."""
+    where none is named and all runs in one process, as in tests, a temporary one is made."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="lexiscreen-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that later stages
-    read files and survive the loss of an executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint()

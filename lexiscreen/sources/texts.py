@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Below this many bytes a source is spread over all cores before text work.
-#: Larger sources have splits enough, and their text is never shuffled.
-SPREAD_BELOW = 256 * 1024 * 1024
+#: Session setting: so many tasks for text work, whatever the source's size.  Unset, as on a cluster, a source is read
+#: in the splits its files have, and no text is shuffled.
+SCAN_TASKS = "lexiscreen.scan.tasks"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,12 +15,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(texts: DataFrame) -> DataFrame:
-    """Spread a source that fits a few splits over the cores; decided by the
-    optimizer's size estimate, so a large source is left as it lies."""
-    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= SPREAD_BELOW:
-        return texts
-    return texts.repartition(texts.sparkSession.sparkContext.defaultParallelism)
+    """The source in SCAN_TASKS tasks, if that is set: for files of one row group on one machine."""
+    tasks = texts.sparkSession.conf.get(SCAN_TASKS, None)
+    return texts.repartition(int(tasks)) if tasks else texts
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lexiscreen.functions import words as w
-from lexiscreen.operators.guardrail import _cuts
+from lexiscreen.operators.guardrail import part_pattern
 from lexiscreen.operators.tokens import sentences, tokens
 from lexiscreen.sources import texts as src
 
@@ -46,7 +46,7 @@ def test_sentences(spark):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab. !?\n", max_size=120), st.integers(min_value=2, max_value=30))
 def test_parts_are_the_text(text, size):
-    cut = list(_cuts(text, size))
+    cut = [(m.start(), m[0]) for m in part_pattern(size).finditer(text)]
     assert "".join(part for _, part in cut) == text
     assert all(len(part) <= size and text[at : at + len(part)] == part for at, part in cut)
 
