@@ -245,13 +245,10 @@ class Join:
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) pairs of nodes that are links, compared first by size and bitmap, then exactly."""
-        one = self.leaf.select(F.col("node").alias("a"), F.struct("n", "bits").alias("x"))
-        two = self.leaf.select(F.col("node").alias("b"), F.struct("n", "bits").alias("y"))
-        near = pairs.join(one, "a").join(two, "b").filter(self.possible("x", "y")).select("a", "b")
-        whole = lambda name, as_: self.leaf.select(F.col("node").alias(name), F.col("hashes").alias(as_))
-        both = near.join(whole("a", "p"), "a").join(whole("b", "q"), "b")
-        overlap = F.size(F.array_intersect("p", "q"))
-        return both.filter(self.enough(overlap, F.size("p"), F.size("q"))).select("a", "b")
+        one = self.leaf.select(F.col("node").alias("a"), F.struct("n", "bits", "hashes").alias("x"))
+        two = self.leaf.select(F.col("node").alias("b"), F.struct("n", "bits", "hashes").alias("y"))
+        near = pairs.join(one, "a").join(two, "b").filter(self.possible("x", "y"))
+        return near.filter(self.enough(F.size(F.array_intersect("x.hashes", "y.hashes")), F.col("x.n"), F.col("y.n"))).select("a", "b")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id)."""
@@ -283,9 +280,8 @@ class Join:
         self.leaf = saved(leaves(self.docs, saved(asked.join(nodes, "node"), "join-asked"), self.width), "join-leaves")
         roots = below.groupBy("root").agg(F.sum("keys").alias("shared")).select(F.col("root").alias("node"), "root", "shared")
         members = saved(below.select("node", "root", "shared").union(roots), "join-members")
-        links, labels = None, saved(asked.select("node", F.col("node").alias("label")), "join-labels")
+        links, marked = None, members.withColumn("label", F.col("node"))
         for turn in range(PIVOTS):
-            marked = members.join(labels, "node")
             first = -F.col("shared") if turn == 0 else F.xxhash64("node", F.lit(turn))
             pivot = marked.groupBy("root").agg(
                 F.min_by(F.struct(F.col("node").alias("pivot"), F.col("label").alias("pivot_label")), F.struct(first, "node")).alias("p"),
@@ -293,36 +289,31 @@ class Join:
             ).filter("lo <> hi").select(F.col("root").alias("r"), "p.pivot", "p.pivot_label")
             met = marked.join(saved(pivot, "join-pivots"), F.col("root") == F.col("r")).filter("label <> pivot_label")
             # The pivot of the tree in which a leaf shares the most.
-            pairs = saved(met.groupBy(F.col("node").alias("a")).agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b")), "join-pairs")
-            found = saved(self.linked(pairs), "join-links")
+            best = F.max_by(F.struct(F.col("pivot").alias("b"), F.col("pivot_label").alias("to")), F.struct("shared", "pivot")).alias("p")
+            pairs = saved(met.groupBy(F.col("node").alias("a")).agg(best).select("a", "p.b", "p.to"), "join-pairs")
+            found = saved(self.linked(pairs.select("a", "b")), "join-links")
             n = found.count()
             if n:
+                # Leaves take the label of the pivot they are linked with: equal labels are one component.
+                moved = found.join(pairs, ["a", "b"]).select(F.col("a").alias("node"), "to")
+                marked = saved(marked.join(moved, "node", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "join-marked")
                 links = found if links is None else links.union(found)
-                labels = self.relabel(labels, links)
             if n <= WORTH * pairs.count():
                 break
-        found = saved(self.linked(self.traverse(members, labels)), "join-links")
-        if not found.isEmpty():
-            labels = self.relabel(labels, found if links is None else links.union(found))
-        return labels
-
-    def relabel(self, labels: DataFrame, links: DataFrame) -> DataFrame:
-        roots = components(links)
-        return saved(
-            labels.select("node").join(roots, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "join-labels"
-        )
+        found = saved(self.linked(self.traverse(marked)), "join-links")
+        return components(found if links is None else links.union(found))
 
-    def traverse(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """(a, b): leaves below one root, of different components, that may be linked."""
-        marked = members.join(labels, "node")
+    def traverse(self, marked: DataFrame) -> DataFrame:
+        """(a, b): leaves below one root, of different labels, that may be linked."""
         mixed = marked.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("root").alias("r"))
         bits = self.leaf.select(F.col("node").alias("leaf"), "n", "bits")
         open_ = marked.join(saved(mixed, "tree-roots"), F.col("root") == F.col("r")).join(bits, F.col("node") == F.col("leaf"))
         blocks = saved(_blocks(open_.select("root", "node", "label", "n", "bits")), "tree-blocks")
-        levels = [saved(_with_parent(blocks.drop("leaves"), FAN), "tree-level")]
+        levels = [blocks.drop("leaves")]
         while (levels[-1].groupBy("root").count().agg(F.max("count")).first()[0] or 0) > FAN:
-            levels.append(saved(_with_parent(_inner(levels[-1]), FAN), "tree-level"))
-        side = lambda level, s: level.select("root", F.col("parent").alias(f"{s}_parent"), F.struct("id", "lo", "hi", "least", "most", "excess", "bits").alias(s))
+            levels[-1] = saved(_with_parent(levels[-1], FAN), "tree-level")
+            levels.append(saved(_inner(levels[-1]), "tree-level"))
+        side = lambda level, s: level.select("root", *[F.col(c).alias(f"{s}_{c}") for c in level.columns if c == "parent"], F.struct("id", "lo", "hi", "least", "most", "excess", "bits").alias(s))
         pairs = side(levels[-1], "x").join(side(levels[-1], "y"), "root").filter("x.id <= y.id")
         for level in reversed(levels[:-1]):
             ids = pairs.filter(self.reachable()).select("root", F.col("x.id").alias("x_parent"), F.col("y.id").alias("y_parent"))
