@@ -67,26 +67,26 @@ def s02(spark, folder):
     return lexicon.forms(wide, ["base"], ["sg_gen", "pl_nom"]).distinct()
 
 
-CONLLU = r"""blocks AS (SELECT conv_id * 1000 + turn AS sent, list_slice(string_split(text, ' '), 1, len(string_split(text, ' '))) AS ws, text FROM conversations WHERE NOT contains(text, chr(10)) AND text <> '')"""
+CONLLU = r"""blocks AS (SELECT conv_id, turn, string_split(text, ' ') AS ws, text FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations) WHERE text <> '')"""
 
 
 @query(
     "s07_conllu_scan",
     "WITH " + CONLLU
-    + """, rows AS (SELECT sent, text AS sentence, unnest(ws) AS form, unnest(range(1, len(ws) + 1)) AS k, len(ws) AS size FROM blocks)
-     SELECT sent, sentence, form, CASE WHEN k = 1 AND size > 2 THEN NULL ELSE CASE WHEN length(form) > 3 THEN 'NOUN' ELSE 'X' END END AS upos FROM rows WHERE NOT (k IN (2) AND size > 2) AND form <> ''""",
+    + """, rows AS (SELECT conv_id, turn, text AS sentence, unnest(ws) AS form, unnest(range(1, len(ws) + 1)) AS k, len(ws) AS size FROM blocks)
+     SELECT conv_id, turn, sentence, form, CASE WHEN k = 1 AND size > 2 THEN NULL ELSE CASE WHEN length(form) > 3 THEN 'NOUN' ELSE 'X' END END AS upos FROM rows WHERE NOT (k IN (2) AND size > 2) AND form <> ''""",
 )
 def s07(spark, folder):
-    """The turns written as treebank blocks (words 1-2 as one multiword range)
+    """The turns, line breaks as blanks, written as treebank blocks (words 1-2 as one multiword range)
     and read back."""
-    turns = src.table(spark, folder, "conversations").filter("NOT contains(text, '\n') AND text <> ''")
+    turns = src.table(spark, folder, "conversations").withColumn("text", F.replace("text", F.lit("\n"), F.lit(" "))).filter("text <> ''")
     ws = F.split("text", " ")
     row = lambda w, k: F.concat_ws("\t", k + 1, w, w, F.when(F.length(w) > 3, "NOUN").otherwise("X"))
     rows = F.array_join(F.transform(F.filter(F.transform(ws, lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda s: s["w"] != ""), lambda s: row(s["w"], s["k"])), "\n")
     whole = F.when(F.size(ws) > 2, F.concat(F.lit("1-2\t"), ws[0], F.lit("\t_\t_\n"))).otherwise("")
     block = F.concat(F.lit("# text = "), F.col("text"), F.lit("\n"), whole, rows)
-    parsed = conllu.parse(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent"), block.alias("block")))
-    return parsed.select("sent", "sentence", "form", "upos")
+    parsed = conllu.parse(turns.select(F.struct("conv_id", "turn").alias("sent"), block.alias("block")))
+    return parsed.select("sent.conv_id", "sent.turn", "sentence", "form", "upos")
 
 
 @query(

@@ -31,4 +31,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Files of a treebank; the reader splits at blank lines, so a sentence is a
     row and a file of any size is read by many tasks."""
     blocks = spark.read.option("lineSep", "\n\n").text(path)
-    return parse(blocks.select(F.xxhash64("value").alias("sent"), F.col("value").alias("block")))
+    # Blank lines of files with carriage returns are cut here; every block has a number of its own, equal ones too.
+    block = F.explode(F.split("value", "\r\n(?:\r\n)+")).alias("block")
+    return parse(blocks.select(block).select(F.monotonically_increasing_id().alias("sent"), F.replace("block", F.lit("\r"), F.lit("")).alias("block")))
