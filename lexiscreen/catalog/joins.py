@@ -47,13 +47,13 @@ candidates AS (
   FROM annotated a JOIN keyed k ON k.lang = a.lang AND k.rtype = 'default'
     AND k.first_token = CASE WHEN k.lower_case THEN lower(CASE WHEN k.lemmatize THEN a.lemma ELSE a.tok END)
       ELSE CASE WHEN k.lemmatize THEN a.lemma ELSE a.tok END END
-  WHERE """ + CHECKABLE.replace("(lang", "(a.lang") + r"""),
+  WHERE (coalesce(k.word_type, '') = '' OR a.word_type IS NULL OR a.word_type = k.word_type) AND """ + CHECKABLE.replace("(lang", "(a.lang") + r"""),
 suffixes AS (
   SELECT a.doc_id, a.lang, a.i, a.tok, a.ws, a.start, a."end" AS tok_end, a.n1, a.w1, a.left5, a.right5, a.lemma, a.is_plural,
     k.rule_id, k.words, k.n_words, k.tail, k.lemmatize, k.rule_word_type, k.pluralization, k.explanation, k.subcategories, k.is_hr
   FROM annotated a JOIN keyed k ON k.lang = a.lang AND k.rtype = 'suffix' AND length(k.first_token) >= 4
     AND ends_with(lower(a.tok), lower(k.first_token))
-  WHERE a.lang = 'de' AND length(tok) >= 4
+  WHERE a.lang = 'de' AND length(tok) >= 4 AND (coalesce(k.word_type, '') = '' OR a.word_type IS NULL OR a.word_type = k.word_type)
     AND NOT (length(regexp_replace(tok, '[^\p{Lu}]', '', 'g')) > 1
       AND length(tok) - length(replace(tok, '-', '')) < length(regexp_replace(tok, '[^\p{Lu}]', '', 'g')) - 1)),
 matched AS (

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import langid
+from ..operators import langid, matching
 from ..operators.tokens import tokens, vocabulary
+from ..packs import rules as packs
 from ..sources import texts as src
-from . import sql as q
-from .registry import query
+from . import joins, setops, sql as q  # noqa: F401  their queries are read below
+from .registry import ORACLES, QUERIES, query
 
 
 @query(
@@ -84,3 +85,35 @@ def t08(spark, folder):
     )
     best = F.array_min(F.filter(options, lambda o: o["lang"].isin("en", "de", "fr")))
     return rows.select("event_id", F.coalesce(best["lang"], F.lit("en")).alias("lang"))
+
+
+@query(
+    "t04_result_order",
+    ORACLES["u02_findings_union"].replace("SELECT doc_id, start::BIGINT AS start, text, 1 AS origin", "SELECT doc_id, start, text, origin, row_number() OVER (PARTITION BY doc_id ORDER BY origin, start, text) AS place FROM (SELECT doc_id, start::BIGINT AS start, text, 1 AS origin", 1)
+    + ")",
+)
+def t04(spark, folder):
+    """Findings of a text in the order of a result: matches of other tools first, then by their start."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("origin", "start", "text"))
+    return QUERIES["u02_findings_union"](spark, folder).withColumn("place", place)
+
+
+@query("t05_log_newest", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations")
+def t05(spark, folder):
+    """A user's log read newest last: the age of every entry, 1 for the newest."""
+    turns = src.table(spark, folder, "conversations")
+    return turns.select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))).alias("age"))
+
+
+@query(
+    "t07_substring_order",
+    "SELECT lang, tok, rule_id FROM (" + ORACLES["j03_substring_join"].replace("SELECT v.lang, v.tok, v.n, r.rule_id", "SELECT v.lang, v.tok, r.words, r.rule_id")
+    + ") QUALIFY row_number() OVER (PARTITION BY lang, tok ORDER BY length(words) DESC, rule_id) = 1",
+)
+def t07(spark, folder):
+    """The substring rule that decides for a word: the longest that is in it, then the first."""
+    rules = packs.rules(spark)
+    hits = matching.substring_hits(vocabulary(tokens(src.documents(spark, folder))), rules)
+    lengths = rules.select("rule_id", F.length("words").alias("size"))
+    best = F.max_by("rule_id", F.struct("size", -F.col("rule_id"))).alias("rule_id")
+    return hits.join(lengths, "rule_id").groupBy("lang", "tok").agg(best)

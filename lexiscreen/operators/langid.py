@@ -56,10 +56,15 @@ def scores(texts: DataFrame, model: DataFrame, floor: float = -14.0) -> DataFram
     return mean.join(total, "doc_id").select("doc_id", "lang", (F.col("e") / F.col("z")).alias("score"))
 
 
-def best(scored: DataFrame, k: int = 5, least: float = 0.2) -> DataFrame:
-    """The best language of a text where it scores at least ``least``."""
-    ranked = scored.filter(F.col("score") >= least).groupBy("doc_id").agg(F.max(F.struct("score", "lang")).alias("b"))
-    return ranked.select("doc_id", F.col("b.lang").alias("lang"), F.round("b.score", 6).alias("score"))
+def best(scored: DataFrame, k: int = 5, least: float = 0.2, first: float = 0.3, close: float = 0.9) -> DataFrame:
+    """(doc_id, place, lang, score): of the ``k`` best languages with ``least`` or more, the first if it has ``first``,
+    and each other that has ``close`` times the first's score.  A list holds the languages of the model at most."""
+    ranked = scored.filter(F.col("score") >= least).groupBy("doc_id").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("score", "lang")), asc=False), 1, k).alias("r")
+    )
+    rows = ranked.select("doc_id", F.col("r")[0]["score"].alias("top"), F.posexplode("r").alias("place", "x"))
+    kept = F.when(F.col("place") == 0, F.col("x.score") >= first).otherwise(F.col("x.score") >= close * F.col("top"))
+    return rows.filter(kept).select("doc_id", "place", "x.lang", F.round("x.score", 6).alias("score"))
 
 
 def _grams_sql(key: str) -> str:
@@ -79,4 +84,6 @@ def scores_sql() -> str:
     grams AS {_grams_sql('doc_id')}, sizes AS (SELECT doc_id, sum(n) AS size FROM grams GROUP BY doc_id),
     mean AS (SELECT doc_id, lang, exp(sum(n * (logp + 14.0)) / any_value(size)) AS e FROM grams JOIN model USING (gram) JOIN sizes USING (doc_id) GROUP BY doc_id, lang),
     scored AS (SELECT doc_id, lang, e / sum(e) OVER (PARTITION BY doc_id) AS score FROM mean)
-    SELECT doc_id, arg_max(lang, score) AS lang, round(max(score), 6) AS score FROM scored WHERE score >= 0.2 GROUP BY doc_id"""
+    SELECT doc_id, (r - 1)::INT AS place, lang, round(score, 6) AS score FROM (
+      SELECT *, row_number() OVER best AS r, max(score) OVER (PARTITION BY doc_id) AS top FROM scored WHERE score >= 0.2 WINDOW best AS (PARTITION BY doc_id ORDER BY score DESC, lang DESC))
+    WHERE r <= 5 AND CASE WHEN r = 1 THEN score >= 0.3 ELSE score >= 0.9 * top END"""

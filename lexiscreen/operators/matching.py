@@ -75,7 +75,7 @@ def candidates(tokens: DataFrame, rules: DataFrame, addons: list[str] | None = N
     first = F.col("first_token")
     default = keyed(allowed(rules, "default", addons)).withColumn("probe", F.lower(first))
     suffix = keyed(allowed(rules, "suffix", addons)).filter(F.length(first) >= 4).withColumn("probe", _last4("first_token"))
-    pack = default.unionByName(suffix).drop("word_type", "is_plural")
+    pack = default.unionByName(suffix).withColumnRenamed("word_type", "_rule_type").drop("is_plural")
     # First the cheap question, for every token: does any probe exist?  Three
     # small outer joins stay in one generated stage and copy nothing; only the
     # few tokens that answer yes are unfolded into probes.
@@ -104,7 +104,10 @@ def candidates(tokens: DataFrame, rules: DataFrame, addons: list[str] | None = N
     form = F.when(F.col("lower_case"), F.lower(form)).otherwise(form)
     fits = F.when(F.col("rtype") == "default", form == first).otherwise(F.lower("tok").endswith(F.lower(first)))
     stage = F.when(F.col("rtype") == "default", 1).otherwise(2).alias("stage")
-    return probes.join(pack, ["lang", "rtype", "probe"]).filter(fits).select("*", stage)
+    # A rule for a word type leaves out tokens that are known to be of another.
+    asked_type = F.coalesce("_rule_type", F.lit(""))
+    typed = (asked_type == "") | F.col("word_type").isNull() | (F.col("word_type") == asked_type)
+    return probes.join(pack, ["lang", "rtype", "probe"]).filter(fits & typed).drop("_rule_type").select("*", stage)
 
 
 def phrase_matches(candidates: DataFrame) -> DataFrame:
