@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..packs import fixed
-from .tokens import piece_token
+from .tokens import PIECE, piece_token
 
 SPAN = ("doc_id", "lang", "i", "start", "tok")
 
@@ -25,8 +25,13 @@ def annotate(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     return joined.withColumn("lemma", F.coalesce("_lemma", "tok")).drop("_form", "_lemma")
 
 
+def rule_words() -> Column:
+    """The tokens of a rule's text, cut like any other text."""
+    return F.transform(F.regexp_extract_all("words", F.lit(PIECE), F.lit(0)), piece_token)
+
+
 def keyed(rules: DataFrame) -> DataFrame:
-    words = F.split("words", " ")
+    words = rule_words()
     return rules.select(
         "*",
         F.size(words).alias("n_words"),

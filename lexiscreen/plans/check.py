@@ -17,7 +17,7 @@ BEFORE, AFTER = 5, 6
 
 def window(rules: DataFrame) -> dict[str, int]:
     """The neighbours a token row carries: as many as the longest rule of the pack needs."""
-    longest = rules.agg(F.max(F.size(F.split("words", " ")))).first()[0] or 1
+    longest = rules.agg(F.max(F.size(matching.rule_words()))).first()[0] or 1
     return dict(prev=BEFORE, next=max(AFTER, longest - 1))
 
 

@@ -132,3 +132,70 @@ def test_queries_agree_with_plain_sql(spark, folder, prefix):
         if name.startswith(prefix) and name in sql:
             text, _, _ = tool.compare(spark, con, folder, name, function, sql[name])
             assert text.startswith("ok"), (name, text)
+
+
+def test_long_rules_and_contractions(spark):
+    """A rule is cut like a text, and the neighbourhood is as long as the longest rule."""
+    from lexiscreen.packs import literal, rules as packs
+    from lexiscreen.plans import check
+
+    said = ["don't stop", "one two three four five six seven eight nine ten eleven twelve", "well-known don't stop"]
+    rows = [(900 + k, "en", s, "default", True, False, "", "culture", "default", None, False, None, None, None) for k, s in enumerate(said)]
+    rules = literal.frame(spark, packs.RULE_COLUMNS, rows)
+    texts = [(9_000_000_000_000_000_000 + k, "en", f"Please {s}, now.") for k, s in enumerate(said)]
+    df = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    got = {(r.doc_id - 9_000_000_000_000_000_000, r.rule_id, r.text) for r in check.matched(df, rules, packs.lemmas(spark)).collect()}
+    assert got == {(0, 900, said[0]), (1, 901, said[1]), (2, 902, said[2]), (2, 900, said[0])}
+
+
+def test_review_takes_any_id(spark):
+    from lexiscreen.plans import review
+
+    df = spark.createDataFrame([(9_000_000_000_000_000_000, "en", "the cat and that. " * 200)], "doc_id long, lang string, text string")
+    row = review.review(df, spark).first()
+    assert row.doc_id == 9_000_000_000_000_000_000 and row.words == 800 and row.verdict == "fail"
+
+
+def test_cluster_needs_a_shared_folder():
+    import pytest
+
+    from lexiscreen.session import checkpoint_dir
+
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: Conf)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session)
+
+
+def test_language_rules(spark):
+    from lexiscreen.operators import langid
+
+    scores = [(1, "en", 0.5), (1, "de", 0.46), (1, "fr", 0.2), (2, "en", 0.28), (2, "de", 0.27), (3, "en", 0.9)]
+    got = langid.best(spark.createDataFrame(scores, "doc_id int, lang string, score double"))
+    assert sorted((r.doc_id, r.place, r.lang) for r in got.collect()) == [(1, 0, "en"), (1, 1, "de"), (2, 1, "de"), (3, 0, "en")]
+
+
+def test_treebank_with_carriage_returns(spark, tmp_path):
+    from lexiscreen.sources import conllu
+
+    one = "# text = a b\r\n1\ta\ta\tNOUN\r\n2\tb\tb\tVERB\r\n\r\n"
+    (tmp_path / "x.conllu").write_text(one * 3, newline="")
+    got = conllu.read(spark, str(tmp_path / "x.conllu")).collect()
+    assert len(got) == 6 and len({r.sent for r in got}) == 3
+
+
+def test_ipv6_is_masked(spark):
+    from pyspark.sql import functions as F
+
+    from lexiscreen.functions import privacy
+
+    df = spark.createDataFrame([("at 2001:db8::ff00:42:8329 or http://[fe80::1:2]:80/x, std::vector 12:30",)], "t string")
+    assert df.select(privacy.mask(F.col("t"))).first()[0] == "at <URL> or <URL> std::vector <NUMBER>:<NUMBER>"
