@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SAMPLES = 64
+#: Rows of a part, and parts at most.  Parts are sorted and streamed, so a large one costs time and no memory.
+ROWS_A_PART, MOST_PARTS = 4096, 20_000
 _TERMS = 2048
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _STEPS = 1 << 16
@@ -150,11 +152,12 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     return placed.select("place.part", "place.borrowed", "doc_id", "text")
 
 
-def fingerprints(docs: DataFrame, rows_a_part: int = 4096) -> DataFrame:
+def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of (doc_id, text) rows, of their edited texts, and the likeness to both the edited and the next
     text.  Texts are shuffled once, by ranges of ids, and stream through their part in order."""
     spark = docs.sparkSession
-    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.select("doc_id").count() // rows_a_part))
+    rows = docs.select("doc_id").count()
+    parts = min(MOST_PARTS, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_PART)))
     order = ["part", "borrowed", F.desc_nulls_last("doc_id"), "text"]
     dealt = _dealt(docs, parts).repartition(-(-parts // 4), "part").sortWithinPartitions(*order)
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
