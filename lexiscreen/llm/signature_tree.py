@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
@@ -244,11 +244,16 @@ class Join:
         return self.enough(most, c(a, "n"), c(b, "n"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) pairs of nodes that are links, compared first by size and bitmap, then exactly."""
-        one = self.leaf.select(F.col("node").alias("a"), F.struct("n", "bits", "hashes").alias("x"))
-        two = self.leaf.select(F.col("node").alias("b"), F.struct("n", "bits", "hashes").alias("y"))
-        near = pairs.join(one, "a").join(two, "b").filter(self.possible("x", "y"))
-        return near.filter(self.enough(F.size(F.array_intersect("x.hashes", "y.hashes")), F.col("x.n"), F.col("y.n"))).select("a", "b")
+        """The (a, b) pairs of nodes that are links: sizes and bitmaps first, then, for the nodes that are left, the
+        shingles themselves."""
+        rough = lambda name, as_: self.leaf.select(F.col("node").alias(name), F.struct("n", "bits").alias(as_))
+        near = pairs.join(rough("a", "x"), "a").join(rough("b", "y"), "b").filter(self.possible("x", "y")).select("a", "b")
+        near = saved(near, "join-near")
+        needed = saved(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-needed")
+        exact = self.leaf.select("node", "hashes").join(needed, "node", "left_semi")
+        whole = lambda name, as_: exact.select(F.col("node").alias(name), F.col("hashes").alias(as_))
+        both = near.join(whole("a", "p"), "a").join(whole("b", "q"), "b")
+        return both.filter(self.enough(F.size(F.array_intersect("p", "q")), F.size("p"), F.size("q"))).select("a", "b")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id)."""
@@ -268,8 +273,6 @@ class Join:
 
     def labels(self, nodes: DataFrame) -> DataFrame:
         """(node, label) of all nodes with links: equal labels for equal components."""
-        from pyspark.sql import Window
-
         of_key = Window.partitionBy("key").orderBy("node")
         root = F.first("node").over(of_key.rowsBetween(Window.unboundedPreceding, 0))
         second = F.dense_rank().over(of_key) == 2
@@ -295,7 +298,7 @@ class Join:
             n = found.count()
             if n:
                 # Leaves take the label of the pivot they are linked with: equal labels are one component.
-                moved = found.join(pairs, ["a", "b"]).select(F.col("a").alias("node"), "to")
+                moved = found.join(pairs, ["a", "b"]).select(F.col("a").alias("node"), "to").distinct()
                 marked = saved(marked.join(moved, "node", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "join-marked")
                 links = found if links is None else links.union(found)
             if n <= WORTH * pairs.count():
