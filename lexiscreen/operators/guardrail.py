@@ -91,19 +91,12 @@ def quoted(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, changes, rephrase, issues): findings with suggestions as JSON, then
     those with an explanation only.  Bounded by the text the findings lie in."""
     has = F.size("alternatives") > 0
-    alternative = F.transform(
-        "alternatives",
-        lambda a: F.when(a["is_remove"], F.lit('{"remove":true}')).otherwise(
-            F.concat(F.lit('{"alt":"'), a["alt"], F.lit('"}'))
-        ),
+    listed = F.transform(
+        "alternatives", lambda a: F.struct(F.when(~a["is_remove"], a["alt"]).alias("alt"), F.when(a["is_remove"], True).alias("remove"))
     )
-    change = F.concat(
-        F.lit('{"issue":"'), F.col("text"), F.lit('","alternatives":['), F.array_join(alternative, ","), F.lit("]}")
-    )
-    rephrase = F.concat(
-        F.lit('{"issue":"'), F.col("text"), F.lit('","alternatives":[],"explanation":"'), F.col("explanation"), F.lit('"}')
-    )
-    rows = findings.select(key, "start", has.alias("has"), F.when(has, change).otherwise(rephrase).alias("item"))
+    why = F.when(~has, F.col("explanation"))
+    entry = F.to_json(F.struct(F.col("text").alias("issue"), listed.alias("alternatives"), why.alias("explanation")))
+    rows = findings.select(key, "start", has.alias("has"), F.when(has | F.col("explanation").isNotNull(), entry).alias("item"))
     listed = rows.filter("item IS NOT NULL").groupBy(key).agg(
         F.count_if("has").alias("changes"),
         F.array_sort(F.collect_list(F.struct((~F.col("has")).alias("later"), "start", "item"))).alias("_items"),
@@ -139,17 +132,15 @@ def outcomes(texts: DataFrame, findings: DataFrame, limits: DataFrame, block: Co
         *counts,
         F.array_sort(F.collect_list(F.struct("start", note_entry(False).alias("entry")))).alias("_e"),
     )
-    # One row of limits; a level without a limit stays NULL and never fails.
-    pivoted = limits.groupBy().agg(
-        *[F.max(F.when(F.col("level") == n, F.col("max_count"))).alias(f"{n}_count") for n in LEVELS],
-        *[F.max(F.when(F.col("level") == n, F.col("max_ratio"))).alias(f"{n}_ratio") for n in LEVELS],
-    )
-    rows = texts.withColumn("_words", word_count(F.col("text"))).join(per_text, "doc_id", "left").join(pivoted, F.lit(True))
+    # A row a level at most; a level without a limit never fails.
+    bounds = {r["level"]: (r["max_count"], r["max_ratio"]) for r in limits.groupBy("level").agg(F.max("max_count").alias("max_count"), F.max("max_ratio").alias("max_ratio")).collect()}
+    rows = texts.withColumn("_words", word_count(F.col("text"))).join(per_text, "doc_id", "left")
     failed = F.lit(False)
-    for name in LEVELS:
-        by_count = F.col(name) >= F.col(f"{name}_count")
-        by_ratio = (F.col("_words") > 0) & (F.col(name) / F.col("_words") >= F.col(f"{name}_ratio"))
-        failed = failed | F.coalesce(by_count, F.lit(False)) | F.coalesce(by_ratio, F.lit(False))
+    for name, (count, ratio) in sorted(bounds.items()):
+        if count is not None:
+            failed = failed | F.coalesce(F.col(name) >= count, F.lit(False))
+        if ratio is not None:
+            failed = failed | F.coalesce((F.col("_words") > 0) & (F.col(name) / F.col("_words") >= ratio), F.lit(False))
     noted = F.when(F.col("_e").isNotNull(), F.array_join(F.transform("_e", lambda s: s["entry"]), "; "))
     return rows.select(
         "doc_id", "text", noted.alias("note"), F.when(failed, "fail").otherwise("pass").alias("verdict"), (failed & block).alias("blocked")

@@ -199,3 +199,16 @@ def test_ipv6_is_masked(spark):
 
     df = spark.createDataFrame([("at 2001:db8::ff00:42:8329 or http://[fe80::1:2]:80/x, std::vector 12:30",)], "t string")
     assert df.select(privacy.mask(F.col("t"))).first()[0] == "at <URL> or <URL> std::vector <NUMBER>:<NUMBER>"
+
+
+def test_issue_lists_are_json(spark):
+    import json
+
+    kind = "array<struct<ord:int,alt:string,is_remove:boolean,is_inspiration:boolean,label:string>>"
+    rows = [(1, 0, 'say "x\\y"', [(1, 'a "b"', False, False, None), (2, None, True, False, None)], None), (1, 9, "z", [], 'why "not"'), (1, 12, "q", [], None)]
+    df = spark.createDataFrame(rows, f"doc_id int, start int, text string, alternatives {kind}, explanation string")
+    got = guardrail.quoted(df).first()
+    assert got.changes == 1 and json.loads(got.issues) == [
+        {"issue": 'say "x\\y"', "alternatives": [{"alt": 'a "b"'}, {"remove": True}]},
+        {"issue": "z", "alternatives": [], "explanation": 'why "not"'},
+    ]
