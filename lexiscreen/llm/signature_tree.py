@@ -11,7 +11,7 @@ a Jaccard similarity of at least num / den, in this order:
    copies become components with few comparisons.  Then the trees are traversed against themselves, level by level,
    for pairs of nodes from different components only.  A pair of nodes goes on if the overlap that bitmaps and sizes
    allow reaches the bound.  The lowest inner nodes carry their leaves, and pairs of them are compared as bit matrices.
-4. Pairs of leaves that remain are compared exactly.
+4. Pairs of leaves that remain are compared by signatures as wide as their sets, then exactly.
 
 Pairs already in one component cannot change the result and are not visited; no other pair is left out."""
 
@@ -105,6 +105,33 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return bits.view(np.int64)
 
 
+def signature(hashes: np.ndarray) -> bytes:
+    """A bitmap of eight bits or more a shingle; its size is a power of two, so that a larger one folds to a smaller."""
+    bits = 1 << max(9, (8 * len(hashes) - 1).bit_length())
+    at = _mix(hashes + np.uint64(13)) & np.uint64(bits - 1)
+    marks = np.zeros(bits, np.uint8)
+    marks[at.astype(np.int64)] = 1
+    return np.packbits(marks).tobytes()
+
+
+def most_overlap(n_a: int, a: bytes, n_b: int, b: bytes) -> int:
+    """The most shingles that two sets can share: a bit that the other lacks is a shingle that it lacks."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    lacks = lambda p, q: int(np.bitwise_count(p & ~q).sum())
+    return min(n_a - lacks(x, y), n_b - lacks(y, x))
+
+
+def _may_link(num: int, den: int):
+    @F.arrow_udf("boolean")
+    def may_link(n_a: pa.Array, a: pa.Array, n_b: pa.Array, b: pa.Array) -> pa.Array:
+        rows = zip(n_a.to_pylist(), a.to_pylist(), n_b.to_pylist(), b.to_pylist())
+        return pa.array([most_overlap(p, x, q, y) * (num + den) >= num * (p + q) for p, x, q, y in rows], pa.bool_())
+
+    return may_link
+
+
 class Bands:
     """Classes of set sizes, with the number of segments that linked sets of a class need."""
 
@@ -191,9 +218,10 @@ def segments(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def leaves(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, n, bits, hashes) of the given (node, of_doc) nodes, from the text of one of their rows."""
-    schema = "node bigint, n bigint, bits array<bigint>, hashes array<bigint>"
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    """(node, n, bits, signature, hashes) of the given (node, of_doc) nodes, from the text of one of their rows."""
+    schema = "node bigint, n bigint, bits array<bigint>, signature binary, hashes array<bigint>"
+    names = ["node", "n", "bits", "signature", "hashes"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -206,24 +234,19 @@ def leaves(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 if node_of(hashes) != node:
                     continue  # another text with the same id
                 seen.add(node)
-                rows.append((node, len(hashes), bitmap(hashes), hashes.view(np.int64)))
+                rows.append((node, len(hashes), bitmap(hashes), signature(hashes), hashes.view(np.int64)))
                 waiting += len(hashes)
                 if waiting > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["node", "n", "bits", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                     rows, waiting = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["node", "n", "bits", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     texts = docs.select(F.col("doc_id").alias("d"), "text")
     # Nodes grow with the corpus and are never broadcast: the plan is the same at every size.
     return texts.join(nodes.hint("merge"), F.col("d").eqNullSafe(F.col("of_doc"))).select("node", "text").mapInArrow(build, schema)
 
 
-def _missing(a: Column, b: Column) -> Column:
-    """Bits of a that b lacks: at least so many shingles of a are not in b."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
-
-
 def _common(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
 
@@ -237,17 +260,13 @@ class Join:
     def enough(self, overlap: Column, size_a: Column, size_b: Column) -> Column:
         return overlap * (self.num + self.den) >= self.num * (size_a + size_b)
 
-    def possible(self, a: str, b: str) -> Column:
-        """Whether two leaves may be linked: their bitmaps bound the overlap from above."""
-        c = lambda side, name: F.col(f"{side}.{name}")
-        most = F.least(c(a, "n") - _missing(c(a, "bits"), c(b, "bits")), c(b, "n") - _missing(c(b, "bits"), c(a, "bits")))
-        return self.enough(most, c(a, "n"), c(b, "n"))
-
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) pairs of nodes that are links: sizes and bitmaps first, then, for the nodes that are left, the
+        """The (a, b) pairs of nodes that are links: sizes and signatures first, then, for the nodes that are left, the
         shingles themselves."""
-        rough = lambda name, as_: self.leaf.select(F.col("node").alias(name), F.struct("n", "bits").alias(as_))
-        near = pairs.join(rough("a", "x"), "a").join(rough("b", "y"), "b").filter(self.possible("x", "y")).select("a", "b")
+        signed = lambda name, as_: self.leaf.select(F.col("node").alias(name), F.struct("n", "signature").alias(as_))
+        both = pairs.join(signed("a", "x"), "a").join(signed("b", "y"), "b")
+        fits = _may_link(self.num, self.den)("x.n", "x.signature", "y.n", "y.signature")
+        near = both.select("a", "b", fits.alias("fits")).filter("fits").select("a", "b")
         near = saved(near, "join-near")
         needed = saved(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-needed")
         exact = self.leaf.select("node", "hashes").join(needed, "node", "left_semi")
