@@ -7,8 +7,9 @@ rare words say little.  A toxic text is mostly ordinary words: its likelihood ta
 a small probability, and else from the ordinary one.  A text's evidence is the difference of the log-likelihoods for
 each word; a logistic curve fitted on labelled texts that the models have not seen turns it into a score.
 
-Counts are Spark aggregates over every labelled text of the folds in use.  The finished model is a table of fixed
-size: log-ratios by hash slot, whatever the size of the corpus."""
+Counts are Spark aggregates over every labelled text of the folds in use.  The finished model holds the log-ratio of
+every expression and context that was counted, under its full code: 12 bytes each, so it grows with the distinct
+expressions, and a code that it does not hold was never counted."""
 
 from __future__ import annotations
 
@@ -31,8 +32,6 @@ OWN_DISCOUNT, DISCOUNT = 1.5, 0.75
 SHARE = 0.005
 #: Evidence is fitted on a logarithmic scale that begins here.
 SCALE = 0.001
-#: Slots of the model: 16 MB for expressions, 4 MB for contexts, in half precision.
-GRAM_BITS, CONTEXT_BITS = 23, 21
 #: Folds the counts and the curve are learned from; fold 2 is held out.
 COUNT_FOLDS, CURVE_FOLDS = (0, 1), (3,)
 #: Steps of the evidence for each unit, and its bound, when the curve is fitted.
@@ -42,7 +41,9 @@ THRESHOLD = 0.3
 #: Letters, digits and everything beyond ASCII spell words, lower-cased; zero ends a word.
 SPELL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0 for b in range(256))
 _END = 1
-_models: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+#: Codes in order and their ratios.
+Ratios = tuple[np.ndarray, np.ndarray]
+_models: dict[str, tuple[Ratios, Ratios]] = {}
 
 
 def expressions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,13 +66,6 @@ def expressions(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return codes, np.searchsorted(begins, places, "right") - 1, ends
 
 
-def _slot(codes: np.ndarray, bits: int) -> np.ndarray:
-    x = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, toxic, n) of a task's labelled texts."""
     keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -127,8 +121,8 @@ def _shared(grams: DataFrame) -> DataFrame:
 
 
 def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (gram, toxic, ordinary): log-ratios (gram, n, ratio) of seen expressions, and (context, n, ratio) of what
-    an unseen byte after a context says."""
+    """From (gram, toxic, ordinary): log-ratios (gram, ratio) of seen expressions, and (context, ratio) of what an
+    unseen byte after a context says."""
     known = grams.withColumn("context", _context(F.col("gram")))
     sums = saved(
         known.groupBy("context").agg(
@@ -149,29 +143,30 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = (
         known.join(sums, "context")
         .join(shared, _suffix(F.col("gram"), BACKOFF[0]) == F.col("code"))
-        .select("gram", (F.col("toxic") + F.col("ordinary")).alias("n"), (F.log(chance("toxic")) - F.log(chance("ordinary"))).alias("ratio"))
-    )
-    unseen = sums.select(
-        "context", (F.col("toxic_all") + F.col("ordinary_all")).alias("n"), (F.log(saving("toxic")) - F.log(saving("ordinary"))).alias("ratio")
+        .select("gram", (F.log(chance("toxic")) - F.log(chance("ordinary"))).alias("ratio"))
     )
+    unseen = sums.select("context", (F.log(saving("toxic")) - F.log(saving("ordinary"))).alias("ratio"))
     return seen, unseen
 
 
-def _slots(rows: DataFrame, code: str, bits: int) -> np.ndarray:
-    """The table as an array; codes that share a slot share their mean, weighted by count.  NaN: no code."""
+def _by_code(rows: DataFrame, code: str) -> Ratios:
+    """The table as arrays, ordered by code."""
+    got = rows.select(code, F.col("ratio").cast("float")).toArrow()
+    codes, values = got.column(code).to_numpy(), got.column("ratio").to_numpy()
+    order = np.argsort(codes)
+    return codes[order], values[order]
 
-    @F.arrow_udf("bigint")
-    def slot(codes: pa.Array) -> pa.Array:
-        return pa.array(_slot(codes.to_numpy(zero_copy_only=False), bits))
 
-    means = rows.groupBy(slot(F.col(code)).alias("slot")).agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).cast("float").alias("ratio"))
-    got = means.toArrow()  # one row a slot at most
-    values = np.full(1 << bits, np.nan, np.float16)
-    values[got.column("slot").to_numpy()] = got.column("ratio").to_numpy()
-    return values
+def _look_up(codes: np.ndarray, model: Ratios) -> np.ndarray:
+    """The ratio of each code; NaN: the model does not hold it.  Codes in order are found fastest."""
+    keys, values = model
+    if not len(keys):
+        return np.full(len(codes), np.nan)
+    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    return np.where(keys[at] == codes, values[at], np.nan).astype(np.float64)
 
 
-def fit(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def fit(texts: DataFrame) -> tuple[Ratios, Ratios]:
     """The model, from (text, toxic)."""
     counts = texts.mapInArrow(count, "gram bigint, toxic bigint, n bigint")
     grams = saved(
@@ -181,16 +176,18 @@ def fit(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         "toxicity-grams",
     )
     seen, unseen = ratios(grams)
-    return _slots(seen, "gram", GRAM_BITS), _slots(unseen, "context", CONTEXT_BITS)
+    return _by_code(seen, "gram"), _by_code(unseen, "context")
 
 
-def evidence(texts: list[bytes], seen: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+def evidence(texts: list[bytes], seen: Ratios, unseen: Ratios) -> np.ndarray:
     """Difference of the log-likelihoods for each word, as the logarithm of how far it is above nothing: 0 without
     words or without evidence."""
     codes, owner, ends = expressions(texts)
-    ratio = seen[_slot(codes, GRAM_BITS)].astype(np.float64)
+    distinct, place = np.unique(codes, return_inverse=True)
+    ratio = _look_up(distinct, seen)
     new = np.flatnonzero(np.isnan(ratio))
-    ratio[new] = np.nan_to_num(unseen[_slot(codes[new] >> 8, CONTEXT_BITS)].astype(np.float64))
+    ratio[new] = np.nan_to_num(_look_up(distinct[new] >> 8, unseen))
+    ratio = ratio[place]
     word = np.cumsum(ends) - ends
     n = int(ends.sum())
     of_word = np.log1p(SHARE * np.expm1(np.clip(np.bincount(word, ratio, n), -50, 50)))
@@ -206,7 +203,7 @@ def evidence_of(shared):
         name, model = shared.value
         if name not in _models:
             _models.clear()
-            _models[name] = tuple(np.frombuffer(x, np.float16) for x in model)
+            _models[name] = tuple((np.frombuffer(codes, np.int64), np.frombuffer(values, np.float32)) for codes, values in model)
         found = [evidence([t or b"" for t in block], *_models[name]) for _, block in blocks(texts)]
         return pa.array(np.concatenate(found) if found else np.zeros(0))
 
@@ -242,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Callable[[Column], Column]:
     marked = known_labels(labels).hint("merge")
     part = lambda folds: docs.filter(fold(F.col("doc_id")).isin(*folds)).select("doc_id", "text")
     model = fit(part(COUNT_FOLDS).join(marked, F.col("doc_id") == F.col("of")).select("text", "toxic"))
-    measure = evidence_of(spark.sparkContext.broadcast((uuid.uuid4().hex, tuple(x.tobytes() for x in model))))
+    measure = evidence_of(spark.sparkContext.broadcast((uuid.uuid4().hex, tuple((codes.tobytes(), values.tobytes()) for codes, values in model))))
     bound = lambda text: F.greatest(F.least(measure(text), F.lit(BOUND)), F.lit(-BOUND))
     judged = part(CURVE_FOLDS).select("doc_id", F.round(bound(F.col("text")) * STEPS).alias("step"))
     points = judged.join(marked, F.col("doc_id") == F.col("of")).groupBy("step", "toxic").count().collect()  # bounded by STEPS

@@ -131,6 +131,17 @@ def test_toxicity_edges(spark, tables):
     assert toxicity.op2(spark, tables(labels=labels)).count() == 0
 
 
+def test_toxicity_model_holds_full_codes(spark):
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(9))
+    texts = [(" ".join(word("abcdefghijklmnop") for _ in range(400)), k % 2) for k in range(40)]
+    model = toxicity.fit(spark.createDataFrame(texts, "text string, toxic int"))
+    # No expression of these words was counted, and of their contexts only the one that begins a word: they are all alike.
+    strange = ["z" + word("qrstuvwxy") for _ in range(5000)]
+    alone = toxicity.evidence([w.encode() for w in strange], *model)
+    assert set(alone.tolist()) == {alone[0]}
+
+
 def exact_likeness(a, b):
     a, b = Counter(spaced(a)), Counter(spaced(b))
     return sum((a & b).values()) / max(1, sum((a | b).values()))
