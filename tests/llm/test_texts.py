@@ -259,3 +259,19 @@ def test_secrets_agree_with_brute_force(spark, tables):
     assert sum(f"random:4:{4 + len(k)}" in by[108 + i] for i, k in enumerate(keys)) >= 27
     assert by[108 + len(keys)] == "" and by[6] == ""
     assert secret_scan.op10(spark, tables()).count() == 0
+
+
+def test_keys_of_one_letter_case_are_secrets(spark, tables):
+    rng = random.Random(12)
+    small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for letters in (small, large) for n in (32, 64, 256) for _ in range(20)]
+    plain = [
+        "donaudampfschifffahrtsgesellschaftskapitaen", "RECHTSSCHUTZVERSICHERUNGSGESELLSCHAFTEN", "anticonstitutionnellement", "acgt" * 10, "ELECTROENCEFALOGRAFISTA",
+        "supercalifragilisticexpialidocious", "thequickwaythatpeoplewriteordinarysentenceswithoutspaces", "zzqqxxjjzzqqxxjjzzqqxxjjzzqqxxjj",
+    ]
+    docs = [(k, f"see {t} here", "en", "s", 1) for k, t in enumerate(keys + plain)]
+    by = {r.doc_id: r.spans for r in secret_scan.op10(spark, tables(documents=docs)).collect()}
+    found = [f"random:4:{4 + len(t)}" in by[k] for k, t in enumerate(keys)]
+    of = lambda n: [f for f, t in zip(found, keys) if len(t) == n]
+    assert sum(of(32)) >= 24 and sum(of(64)) >= 36 and sum(of(256)) >= 38
+    assert not any(by[len(keys) + k] for k in range(len(plain)))
