@@ -421,9 +421,9 @@ def a05(spark, folder):
 
 @query("c08_word_edits")
 def c08(spark, folder):
-    """Edit script from each text to its masked version."""
+    """Edit script from each sentence to its masked version."""
     docs = src.documents(spark, folder)
-    pairs = sentences(docs).filter(F.col("sentence").rlike("[0-9@]")).select(
+    pairs = sentences(docs).select(
         F.concat_ws("-", "doc_id", "sent_no").alias("doc_id"), F.col("sentence").alias("before"), privacy.mask(F.col("sentence")).alias("after")
     )
     return edits.word_edits(pairs)

@@ -212,3 +212,16 @@ def test_issue_lists_are_json(spark):
         {"issue": 'say "x\\y"', "alternatives": [{"alt": 'a "b"'}, {"remove": True}]},
         {"issue": "z", "alternatives": [], "explanation": 'why "not"'},
     ]
+
+
+def test_word_edits_cover_every_sentence(spark, tmp_path):
+    from lexiscreen.catalog import QUERIES
+
+    texts = [(1, "See localhost today."), (2, "Nothing to hide."), (3, "Call 123 now.")]
+    rows = [(k, t, "en", "s", len(t)) for k, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.ord, r.op, r.text) for r in QUERIES["c08_word_edits"](spark, str(tmp_path)).collect())
+    by = {k: [(op, text) for key, _, op, text in got if key.startswith(f"{k}-")] for k, _ in texts}
+    assert by[1] == [("keep", "See "), ("delete", "localhost"), ("insert", "<URL>"), ("keep", " today.")]
+    assert by[2] == [("keep", "Nothing to hide.")]
+    assert ("insert", "<NUMBER>") in by[3]
