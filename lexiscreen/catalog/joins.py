@@ -204,32 +204,6 @@ def j10(spark, folder):
     return masculine.join(words, ["lang", "tok"]).select("lang", "masculine", F.col("tok").alias("feminine"), "n")
 
 
-NAMES_SQL = r"""names AS (SELECT doc_id, start, "end", tok FROM near WHERE regexp_matches(tok, '^\p{Lu}\p{Ll}+$')
-    AND sent = (SELECT NULL) IS NULL AND p1 IS NOT NULL AND NOT regexp_matches(p1, '[.!?]$'))"""
-
-
-@query(
-    "j11_span_overlap",
-    q.with_(NEAR.split(",\nannotated AS")[0])
-    + r"""SELECT a.doc_id, count(*) AS n, min(e.start)::BIGINT AS first FROM
-      (SELECT doc_id, start, start + length(tok) + length(ws) + length(n1) AS "end" FROM near WHERE n1 IS NOT NULL AND length(tok) > 8) a
-      JOIN (SELECT doc_id, start, "end" FROM near WHERE regexp_matches(tok, '^\p{Lu}\p{L}{6,}$')) e
-      ON a.doc_id = e.doc_id AND a.start < e."end" AND e.start < a."end" GROUP BY a.doc_id""",
-)
-def j11(spark, folder):
-    """Long-word spans (as a spell checker would flag) against capitalised spans."""
-    words = tokens(src.documents(spark, folder), next=1)
-    following = F.regexp_extract(F.get("next", F.lit(0)), f"^[^{q.BLANKS}]*", 0)
-    flagged = words.filter("length(tok) > 8 AND size(next) = 1").select(
-        "doc_id", "start", (F.col("end") + F.length("ws") + F.length(following)).alias("end")
-    )
-    spans = words.filter(F.col("tok").rlike(r"^\p{Lu}\p{L}{6,}$")).select(
-        F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e")
-    )
-    on = (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))
-    return flagged.join(spans, on).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("_s").cast("long").alias("first"))
-
-
 SENTENCES = r"""cut AS (SELECT doc_id, lang, unnest(ss) AS s, unnest(range(len(ss))) AS k
     FROM (SELECT doc_id, lang, regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+') AS ss FROM documents)),
 sentences AS (

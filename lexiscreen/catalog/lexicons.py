@@ -145,19 +145,6 @@ def j25(spark, folder):
     return best.select("written", F.col("b.tok").alias("hit"), F.col("b.tier").alias("tier"))
 
 
-@query(
-    "j13_covered_spans",
-    q.with_(q.RULES, q.LEMMAS, NEAR)
-    + """SELECT t.doc_id, t.start::INT AS start, t.tok FROM tokens t WHERE t.lang = 'en' AND lower(t.tok) IN ('the', 'that') AND NOT EXISTS (
-      SELECT 1 FROM matched m WHERE m.n_words > 1 AND m.doc_id = t.doc_id AND m.start <= t.start AND t."end" <= m.start + length(m.text))""",
-)
-def j13(spark, folder):
-    docs = src.documents(spark, folder).filter("lang = 'en'")
-    spans = tokens(docs).filter(F.lower("tok").isin("the", "that")).select("doc_id", "start", "end", "tok")
-    found = check.matched(docs, packs.rules(spark), packs.lemmas(spark)).filter("n_words > 1")
-    return suppress.without_covered(spans, found.select("doc_id", "start", "end")).select("doc_id", "start", "tok")
-
-
 @query("j15_context_check")
 def j15(spark, folder):
     """Matches of context-dependent rules whose sentence the model does not

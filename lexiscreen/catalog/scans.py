@@ -29,26 +29,6 @@ def s06(spark, folder):
     return markup.flatten(pages).select("page_id", F.md5("text").alias("text_hash"), F.length("text").cast("long").alias("n"))
 
 
-@query(
-    "j12_markup_anti",
-    "WITH " + RUNS
-    + r""", flat AS (SELECT page_id, string_agg(CASE WHEN is_markup THEN repeat(' ', length(r)) ELSE r END, '' ORDER BY k) AS t FROM runs GROUP BY page_id),
-     words AS (SELECT page_id, m.r AS w, m.stop - length(m.r) AS start FROM (SELECT * FROM runs WHERE NOT is_markup) m)
-     SELECT page_id, count(*) AS n FROM words WHERE length(w) > 0 GROUP BY page_id""",
-)
-def j12(spark, folder):
-    """Text runs that overlap no markup span, by an interval anti-join on the page."""
-    pages = src.spread(src.table(spark, folder, "pages"))
-    every = pages.select("page_id", F.explode_outer(F.regexp_extract_all("html", F.lit(markup.RUN), F.lit(0))).alias("r"))
-    spans = markup.spans(pages).withColumnRenamed("page_id", "doc_id")
-    lengths = markup.flatten(pages).select(F.col("page_id").alias("doc_id"), F.length("html").alias("size"))
-    # Gaps between markup spans are the text runs; both come from the same cut.
-    ends = spans.select("doc_id", F.col("end").alias("start")).union(lengths.select("doc_id", F.lit(0)))
-    candidates = ends.distinct().join(lengths, "doc_id").filter("start < size").select("doc_id", "start", (F.col("start") + 1).alias("end"))
-    kept = suppress.without_overlaps(candidates, spans)
-    return kept.groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n"))
-
-
 @query(
     "s02_load_lexicon",
     q.with_(q.VOCABULARY)

@@ -1,12 +1,13 @@
-"""False positives: window, interval and equality anti-joins.  Interval
-conditions always come with equality on the document, so they are hash joins
-with a residual condition, never nested loops."""
+"""False positives: window, interval and equality anti-joins.  Spans meet spans
+in one ordered pass per text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sweep
+
 
 def window_text(ignore_case: bool = True) -> tuple[Column, Column, Column]:
     """The text of five tokens on either side, and where the token lies in it."""
@@ -41,16 +42,12 @@ def without_false_positives(matches: DataFrame, false_positives: DataFrame) -> D
 
 def without_overlaps(findings: DataFrame, spans: DataFrame) -> DataFrame:
     """Drop findings that overlap a span of the same document."""
-    s = spans.select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    on = (findings["doc_id"] == s["doc_id"]) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))
-    return findings.join(s, on, "left_anti")
+    return sweep.touched(findings, spans, "_hit").filter("NOT _hit").drop("_hit")
 
 
 def without_covered(spans: DataFrame, findings: DataFrame) -> DataFrame:
     """Drop spans that lie inside a finding of the same document."""
-    f = findings.select("doc_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    on = (spans["doc_id"] == f["doc_id"]) & (F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e"))
-    return spans.join(f, on, "left_anti")
+    return sweep.inside(spans, findings, "_hit").filter("NOT _hit").drop("_hit")
 
 
 def without_ignored(findings: DataFrame, ignored: DataFrame, keys: tuple[str, ...] = ("text",)) -> DataFrame:
