@@ -43,26 +43,6 @@ def j09(spark, folder):
     return words.join(forms, "key").groupBy("tok").agg(F.min_by("base", rank).alias("base"))
 
 
-ALT_FORMS = [("Mensch", "sg_nom", "Mensch"), ("Mensch", "sg_gen", "Menschen"), ("Mensch", "pl_nom", "Menschen"), ("Person", "sg_nom", "Person")]
-
-
-@query(
-    "f36_inflect_alternative",
-    q.with_(q.VOCABULARY, FORMS, "alts AS " + literal.values("alt, form_name, alt_form", ALT_FORMS))
-    + """SELECT DISTINCT v.tok, f.base, f.form_name, b.alt, coalesce(a.alt_form, b.alt) AS suggestion FROM vocabulary v JOIN forms f ON f.form = v.tok
-      CROSS JOIN (SELECT DISTINCT alt FROM alts) b LEFT JOIN alts a ON a.alt = b.alt AND a.form_name = f.form_name WHERE v.lang = 'de'""",
-)
-def f36(spark, folder):
-    """The alternative in the form of the matched word: word to form name, then
-    the same cell of the alternative, its base where the cell is missing."""
-    words = vocab(spark, folder, "lang = 'de'").select("tok")
-    named = words.join(form_table(spark, folder), F.col("tok") == F.col("form")).select("tok", "base", "form_name")
-    alts = literal.frame(spark, "alt, form_name, alt_form", ALT_FORMS)
-    options = F.array(*[F.lit(a) for a in sorted({r[0] for r in ALT_FORMS})])
-    rows = named.withColumn("alt", F.explode(options)).join(alts, ["alt", "form_name"], "left")
-    return rows.select("tok", "base", "form_name", "alt", F.coalesce("alt_form", "alt").alias("suggestion"))
-
-
 @query(
     "f25_noun_lookup",
     q.with_(q.VOCABULARY)
