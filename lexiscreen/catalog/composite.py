@@ -19,20 +19,6 @@ from .registry import query
 _NAMES = lambda: F.array_join(F.transform(F.filter("alternatives", lambda a: ~a["is_remove"]), lambda a: a["alt"]), " / ")
 
 
-@query(
-    "c01_check",
-    screening() + ",\n" + GRADED
-    + """\nSELECT doc_id, lang, start, start + length(text) AS "end", text, rule_id, category, subcategory, proficiency_level, gravity,
-       coalesce(names, '') AS alternatives FROM graded""",
-)
-def c01(spark, folder):
-    found = check.findings(src.documents(spark, folder), spark)
-    return found.select(
-        "doc_id", "lang", "start", "end", "text", "rule_id", "category", "subcategory", "proficiency_level", "gravity",
-        _NAMES().alias("alternatives"),
-    )
-
-
 REVIEWED = (
     screening(off=str(list(fixed.INCLUSIVE_CATEGORIES)))
     .replace("FROM documents", "FROM (SELECT doc_id * 1000000 + part_no AS doc_id, lang, part AS text FROM cut_docs)")

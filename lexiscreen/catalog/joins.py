@@ -103,17 +103,19 @@ def j04(spark, folder):
     return found.filter("n_words > 1").select("doc_id", "start", "end", "text", "rule_id")
 
 
+PATTERNS = {"l|article": "article", "l|v": "v"}
+PATTERN_SQL = "CASE r.pattern " + " ".join(f"WHEN '{p}' THEN coalesce(l.word_type = '{t}', false)" for p, t in PATTERNS.items()) + " END"
+
+
 @query(
     "j05_pattern_join",
     q.with_(q.RULES, q.LEMMAS, NEAR)
-    + """SELECT m.doc_id, m.i, m.rule_id FROM matched m
-    JOIN lemmas l ON l.lang = m.lang AND l.form = lower(m.n1)
-    WHERE m.rule_id IN (12, 44) AND l.word_type = 'article'""",
+    + f"""SELECT m.doc_id, m.i, m.rule_id FROM matched m JOIN rules r ON r.rule_id = m.rule_id AND r.pattern IS NOT NULL
+    LEFT JOIN lemmas l ON l.lang = m.lang AND l.form = lower(m.n1) WHERE {PATTERN_SQL}""",
 )
 def j05(spark, folder):
     found = matching.phrase_matches(matching.candidates(annotated(spark, folder), packs.rules(spark)))
-    chosen = found.filter(F.col("rule_id").isin(12, 44))
-    return matching.pattern_matches(chosen, packs.lemmas(spark), "l|article").select("doc_id", "i", "rule_id")
+    return matching.pattern_matches(found.filter("pattern IS NOT NULL"), packs.lemmas(spark)).select("doc_id", "i", "rule_id")
 
 
 NUMBER = """CASE WHEN NOT (ends_with(tok, 'e') AND ends_with(lemma, 'er')) AND is_plural THEN 'plural'
@@ -297,7 +299,7 @@ SEVERITY = """severity AS (
   SELECT key || adv AS subcategory, coalesce(parent, key) AS category, icon, label_en, label_de,
     CASE WHEN level IS NULL THEN CASE WHEN parent = 'orthography' THEN 'orthography' END
       WHEN level = 'openly_discriminating' THEN level WHEN inclusive THEN 'inclusive' ELSE 'unconscious_bias' END AS proficiency_level,
-    CASE WHEN inclusive THEN NULL WHEN level IS NULL AND coalesce(parent <> 'orthography', true) THEN 2.0
+    CASE WHEN key = 'corporate_rules' AND adv = '' THEN 0.9 WHEN inclusive THEN NULL WHEN level IS NULL AND coalesce(parent <> 'orthography', true) THEN 2.0
       WHEN level IS NULL OR level = 'openly_discriminating' THEN 1.0 WHEN adv <> '' THEN 3.0 ELSE 2.0 END::DOUBLE AS gravity
   FROM taxonomy LEFT JOIN levels USING (level) CROSS JOIN (VALUES (''), ('_advanced')) v(adv))"""
 ENABLED = """enabled AS (

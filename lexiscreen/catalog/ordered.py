@@ -52,14 +52,6 @@ def w02(spark, folder):
     return check.findings(src.documents(spark, folder), spark).select("doc_id", "start", "end", "text", "rule_id")
 
 
-@query(
-    "w03_stage_priority",
-    screening() + "SELECT stage, rule_id, count(*) AS n FROM ranked GROUP BY ALL",
-)
-def w03(spark, folder):
-    return check.ranked(src.documents(spark, folder), spark).groupBy("stage", "rule_id").agg(F.count("*").alias("n"))
-
-
 _ARTS = "arts AS " + literal.values("art", [(a,) for a in sorted({x for r in fixed.article_rows() for x in (r[1], r[2], r[3], r[4]) if x} | {a for a, _ in fixed.FRENCH_MASCULINE + fixed.FRENCH_FEMININE} | {"the", "a", "an"})])
 
 
@@ -133,32 +125,6 @@ def w07(spark, folder):
     return runs.filter("size >= 2").select("doc_id", "start", "size", kind.alias("subcategory"))
 
 
-_BULLET = r"^[ \t]*(?:[-*•‣⁃⁌⁍◘◦⦾⦿]|[0-9]+[).:])"
-
-
-@query(
-    "w08_long_sentence",
-    rf"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
-    placed AS (SELECT *, sum(regexp_matches(line, '{_BULLET}')::INT) OVER (PARTITION BY doc_id ORDER BY k) AS part FROM lines),
-    parts AS (SELECT doc_id, part, sum(length(line) - length(replace(line, ' ', ''))) AS blanks, max(part) OVER (PARTITION BY doc_id) AS last FROM placed GROUP BY doc_id, part)
-    SELECT doc_id, part::BIGINT AS part, blanks::BIGINT AS blanks FROM parts WHERE blanks > 30 OR (part = last AND blanks >= 30)""",
-)
-def w08(spark, folder):
-    """Parts between bullet lines with more than thirty blanks (the last part
-    with thirty).  Lines are numbered within a row, so nothing is shuffled."""
-    docs = src.documents(spark, folder)
-    lines = F.split("text", "\n")
-    bullets = F.transform(lines, lambda x: F.when(x.rlike(_BULLET), 1).otherwise(0))
-    blanks = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))))
-    rows = docs.select("doc_id", F.posexplode_outer(F.arrays_zip(bullets.alias("b"), blanks.alias("n"))).alias("k", "x"))
-    # Lines of one text are few; the running bullet count is a window over them.
-    part = F.sum("x.b").over(Window.partitionBy("doc_id").orderBy("k"))
-    sums = rows.select("doc_id", part.alias("part"), F.col("x.n").alias("n")).groupBy("doc_id", "part").agg(F.sum("n").alias("blanks"))
-    last = F.max("part").over(Window.partitionBy("doc_id"))
-    kept = sums.withColumn("last", last).filter("blanks > 30 OR (part = last AND blanks >= 30)")
-    return kept.select("doc_id", F.col("part").cast("long").alias("part"), F.col("blanks").cast("long").alias("blanks"))
-
-
 _SIZE = 200
 PARTS = rf"""cuts(doc_id, part_no, part_start, rest, part) AS (
   SELECT doc_id, -1::BIGINT, 0::BIGINT, text, '' FROM source

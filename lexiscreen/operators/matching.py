@@ -70,17 +70,23 @@ def _last4(word: str) -> Column:
     return F.lower(F.expr(f"right({word}, 4)"))
 
 
-def candidates(tokens: DataFrame, rules: DataFrame, addons: list[str] | None = None) -> DataFrame:
+def candidates(tokens: DataFrame, rules: DataFrame, addons: list[str] | None = None, shapes: Column | None = None) -> DataFrame:
     """Default and suffix rules in one join on (language, rule type, probe).
 
     A default rule's probe is its first word in lower case, tried against the
     token and its lemma and then verified in the case the rule asks for.  A
     suffix rule's probe is the last four letters of its first word, verified as
-    a suffix; a first word shorter than that is never a candidate."""
+    a suffix; a first word shorter than that is never a candidate.
+
+    ``shapes`` is an array of (key, said, written) that a token has by its form alone: rules of type ``shape`` are found
+    by such a key, ``said`` is the text they match and ``written`` what could stand instead."""
     first = F.col("first_token")
     default = keyed(allowed(rules, "default", addons)).withColumn("probe", F.lower(first))
     suffix = keyed(allowed(rules, "suffix", addons)).filter(F.length(first) >= 4).withColumn("probe", _last4("first_token"))
-    pack = default.unionByName(suffix).withColumnRenamed("word_type", "_rule_type").drop("is_plural")
+    pack = default.unionByName(suffix)
+    if shapes is not None:
+        pack = pack.unionByName(keyed(allowed(rules, "shape", addons)).withColumn("probe", F.col("words")))
+    pack = pack.withColumnRenamed("word_type", "_rule_type").drop("is_plural")
     # First the cheap question, for every token: does any probe exist?  Three
     # small outer joins stay in one generated stage and copy nothing; only the
     # few tokens that answer yes are unfolded into probes.
@@ -96,18 +102,27 @@ def candidates(tokens: DataFrame, rules: DataFrame, addons: list[str] | None = N
         .join(known("default", "_tok"), ["lang", "_tok"], "left")
         .join(known("default", "_lemma"), ["lang", "_lemma"], "left")
         .join(known("suffix", "_suffix"), ["lang", "_suffix"], "left")
-        .filter("_tok_known OR _lemma_known OR _suffix_known")
-        .filter(is_checkable(F.col("lang"), F.col("tok")))
     )
+    said = F.coalesce(F.col("_tok_known") | F.col("_lemma_known") | F.col("_suffix_known"), F.lit(False))
+    said = said & is_checkable(F.col("lang"), F.col("tok"))
+    asking = asking.withColumn("_said", said) if shapes is not None else asking.filter(said)
+    if shapes is not None:
+        asking = asking.withColumn("_shapes", shapes).filter("_said OR size(_shapes) > 0")
     probe = lambda rtype, column: F.when(
         F.col(f"{column}_known"), F.struct(F.lit(rtype).alias("rtype"), F.col(column).alias("probe"))
     )
     suffix_probe = F.when(~looks_like_name(F.col("tok")), probe("suffix", "_suffix"))
     asked = F.array_distinct(F.array_compact(F.array(probe("default", "_tok"), probe("default", "_lemma"), suffix_probe)))
+    if shapes is not None:
+        none = F.lit(None).cast("string")
+        full = lambda rtype, key, text, new: F.struct(rtype.alias("rtype"), key.alias("probe"), text.alias("said"), new.alias("written"))
+        plain = F.transform(asked, lambda p: full(p["rtype"], p["probe"], none, none))
+        formed = F.transform("_shapes", lambda x: full(F.lit("shape"), x["key"], x["said"], x["written"]))
+        asked = F.concat(F.when(F.col("_said"), plain).otherwise(F.slice(plain, 1, 0)), formed)
     probes = asking.select(*tokens.columns, F.explode(asked).alias("_p")).select("*", "_p.*").drop("_p")
     form = F.when(F.col("lemmatize"), F.col("lemma")).otherwise(F.col("tok"))
     form = F.when(F.col("lower_case"), F.lower(form)).otherwise(form)
-    fits = F.when(F.col("rtype") == "default", form == first).otherwise(F.lower("tok").endswith(F.lower(first)))
+    fits = F.when(F.col("rtype") == "default", form == first).when(F.col("rtype") == "suffix", F.lower("tok").endswith(F.lower(first))).otherwise(True)
     stage = F.when(F.col("rtype") == "default", 1).otherwise(2).alias("stage")
     # A rule for a word type leaves out tokens that are known to be of another.
     asked_type = F.coalesce("_rule_type", F.lit(""))
@@ -121,9 +136,10 @@ def phrase_matches(candidates: DataFrame) -> DataFrame:
     rest = F.slice("next", F.lit(1), F.col("n_words") - 1)
     said = F.array_join(F.transform(rest, lambda p: F.lower(F.translate(piece_token(p), "’", "'"))), " ")
     text = piece_token(F.concat(F.col("tok"), F.col("ws"), F.array_join(rest, "")))
+    formed = F.col("said") if "said" in candidates.columns else F.lit(None).cast("string")
     return (
-        candidates.filter((F.col("n_words") == 1) | (said == F.translate("tail", "’", "'")))
-        .withColumn("text", F.when(F.col("n_words") == 1, F.col("tok")).otherwise(text))
+        candidates.filter(formed.isNotNull() | (F.col("n_words") == 1) | (said == F.translate("tail", "’", "'")))
+        .withColumn("text", F.when(formed.isNotNull(), formed).when(F.col("n_words") == 1, F.col("tok")).otherwise(text))
         .withColumn("end", F.col("start") + F.length("text"))
         .withColumn("skip", F.col("i") + F.col("n_words"))
     )
@@ -154,32 +170,37 @@ TYPE_CODES = {
 }
 
 
-def pattern_regex(part: str) -> str:
+def pattern_regex(part: Column) -> Column:
     """`article|adv*` as a regular expression over type letters."""
-    return "".join(
-        TYPE_CODES.get(t.removesuffix("*"), "x") + ("*" if t.endswith("*") else "") for t in part.split("|") if t
+    code = F.create_map(*[F.lit(x) for kv in TYPE_CODES.items() for x in kv])
+    letter = lambda t: F.concat(
+        F.coalesce(F.try_element_at(code, F.regexp_replace(t, r"\*$", "")), F.lit("x")), F.when(t.endswith("*"), "*").otherwise("")
     )
+    return F.array_join(F.transform(F.filter(F.split(part, r"\|"), lambda t: t != ""), letter), "")
 
 
-def pattern_matches(matches: DataFrame, lemmas: DataFrame, pattern: str) -> DataFrame:
-    """Keep matches whose neighbours have the word types of ``pattern`` around
-    the lemma `l`.  Only rows that already matched are unfolded, each into its
-    bounded neighbourhood, so the regrouping is small."""
-    before, after = (pattern_regex(p) for p in f"|{pattern}|".split("|l|"))
+def pattern_matches(matches: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Keep matches whose rule has no ``pattern``, or whose neighbours have the word types of it around the lemma `l`.
+    Only rows that already matched are unfolded, each into its bounded neighbourhood, so the regrouping is small."""
     code = F.create_map(*[F.lit(x) for kv in TYPE_CODES.items() for x in kv])
-    near = matches.select(
-        "doc_id", "lang", "i", "rule_id", F.posexplode(F.concat("prev", F.array("tok"), "next")).alias("k", "p"),
-        F.size("prev").alias("n_prev"),
+    whole = F.concat(F.lit("|"), F.col("pattern"), F.lit("|"))
+    side = lambda k: pattern_regex(F.get(F.split(whole, r"\|l\|", 2), F.lit(k)))
+    asked = matches.filter("pattern IS NOT NULL").select("doc_id", "lang", "i", "rule_id", "pattern", "prev", "tok", "next")
+    near = asked.select(
+        "doc_id", "lang", "i", "rule_id", side(0).alias("_before"), side(1).alias("_after"),
+        F.posexplode(F.concat("prev", F.array("tok"), "next")).alias("k", "p"), F.size("prev").alias("n_prev"),
     )
     pins = lemmas.select("lang", F.col("form").alias("_form"), "word_type")
     typed = near.withColumn("_form", F.lower(piece_token(F.col("p")))).join(pins, ["lang", "_form"], "left")
-    runs = typed.groupBy("doc_id", "i", "rule_id").agg(
+    runs = typed.groupBy("doc_id", "i", "rule_id", "_before", "_after").agg(
         F.array_sort(F.collect_list(F.struct("k", F.coalesce(code[F.col("word_type")], F.lit("x")).alias("c")))).alias("c"),
         F.max("n_prev").alias("n_prev"),
     )
     run = F.array_join(F.transform("c", lambda s: s["c"]), "")
-    kept = runs.filter(
-        F.substring(run, F.lit(1), F.col("n_prev")).rlike(before + "$")
-        & F.substring(run, F.col("n_prev") + 2, F.length(run)).rlike("^" + after)
+    ahead = F.substring(run, F.lit(1), F.col("n_prev")).alias("ahead")
+    behind = F.substring(run, F.col("n_prev") + 2, F.length(run)).alias("behind")
+    kept = runs.select("doc_id", "i", "rule_id", ahead, behind, "_before", "_after").filter(
+        F.regexp(F.col("ahead"), F.concat("_before", F.lit("$"))) & F.regexp(F.col("behind"), F.concat(F.lit("^"), "_after"))
     )
-    return matches.join(kept.select("doc_id", "i", "rule_id"), ["doc_id", "i", "rule_id"], "left_semi")
+    plain = matches.filter("pattern IS NULL")
+    return plain.unionByName(matches.filter("pattern IS NOT NULL").join(kept.select("doc_id", "i", "rule_id"), ["doc_id", "i", "rule_id"], "left_semi"))

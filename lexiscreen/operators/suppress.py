@@ -40,6 +40,33 @@ def without_false_positives(matches: DataFrame, false_positives: DataFrame) -> D
     return joined.filter(~F.exists(F.coalesce("phrases", none), covers)).drop("phrases", "_whole", "_start", "_end")
 
 
+#: Phrases in which a word has another meaning: master of a subject, lead on or a life, let alone, of a kind, quick call.
+_WORD = r"\p{L}+"
+PHRASES = "|".join(
+    (
+        rf"masters? of {_WORD}",
+        rf"(?:leads?|leading|led) (?:{_WORD} )?(?:on|down|up|to|away|back|along|with|off|by|in|nowhere)\b",
+        rf"(?:leads?|leading|led) (?:{_WORD} ){{0,2}}life\b",
+        r"(?:let|lets|letting) alone\b",
+        rf"of (?:{_WORD} )?kind\b",
+        r"quick (?:calls?|checks?|exits?|meetings?)\b",
+    )
+)
+#: Tokens of the longest such phrase before its last one.
+REACH = 4
+
+
+def in_phrase() -> Column:
+    """Whether an English match begins inside a phrase with another meaning, unless the phrase is the rule's own text."""
+    hit = F.lit(False)
+    for k in range(REACH + 1):
+        lead = F.array_join(F.slice("prev", F.greatest(F.size("prev") - k + 1, F.lit(1)), F.lit(k)), "") if k else F.lit("")
+        said = F.lower(F.regexp_extract(F.concat(lead, "tok", "ws", F.array_join("next", "")), f"(?i)^(?:{PHRASES})", 0))
+        here = (F.length(said) > F.length(lead)) & (said != F.lower("words"))
+        hit = hit | (here & (F.size("prev") >= k))
+    return (F.col("lang") == "en") & hit
+
+
 def without_overlaps(findings: DataFrame, spans: DataFrame) -> DataFrame:
     """Drop findings that overlap a span of the same document."""
     return sweep.touched(findings, spans, "_hit").filter("NOT _hit").drop("_hit")

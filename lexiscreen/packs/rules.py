@@ -26,7 +26,7 @@ RULES = [
     (9, "en", "to", "default", True, False, "", "", "default", None, False, None, None, None),
     (10, "en", "is and", "default", True, False, "", "function", "default", None, False, None, None, None),
     (11, "en", "colour", "default", True, False, "", "spelling", "default", None, False, None, None, None),
-    (12, "en", "and", "default", True, False, "", "plain_language", "default", "conj|l|conj", False, None, None, None),
+    (12, "en", "and", "default", True, False, "", "plain_language", "default", "l|article", False, None, None, None),
     (21, "de", "der", "default", True, False, "", "gender_identity", "default", None, False, None, None, "article"),
     (22, "de", "die", "default", True, False, "", "titles", "plural_only", None, False, 1, None, None),
     (23, "de", "und die", "default", True, False, "", "filler|titles", "default", None, False, None, None, "long"),
@@ -43,7 +43,7 @@ RULES = [
     (41, "fr", "le", "default", True, False, "", "gender_identity", "singular_only", None, False, None, None, "article"),
     (42, "fr", "la", "default", True, False, "", "titles", "default", None, False, 1, None, None),
     (43, "fr", "de la", "default", True, False, "", "filler", "default", None, False, None, None, "long"),
-    (44, "fr", "qui", "default", True, True, "pron", "plain_language", "default", None, False, None, None, None),
+    (44, "fr", "qui", "default", True, True, "pron", "plain_language", "default", "l|v", False, None, None, None),
     (45, "fr", "pour les", "default", True, False, "", "function", "default", None, False, None, None, None),
     (46, "fr", "être", "default", True, True, "v", "culture", "default", None, False, None, None, None),
 ]
@@ -115,10 +115,56 @@ TAXONOMY = [
     ("slur", "origin", "openly_discriminating", "⛔", "Slur", None, 12),
     ("orthography", None, None, "🔤", "Orthography", "Rechtschreibung", 13),
     ("spelling", "orthography", None, "🔡", "Spelling", None, 14),
+    ("gender_specific_abbreviation", "gender-orientation", "basic", "🔣", "Abbreviation", None, 15),
+    ("gendered_denominations_ending", "gender-orientation", "basic", "✳", "Gender format", "Genderform", 16),
+    ("d_and_i", "gender-orientation", "promoting", "🤲", "Inclusive form", "Inklusive Form", 17),
+    ("sexual_orientation", "gender-orientation", "basic", "💞", "Orientation", None, 18),
+    ("access", None, None, "♿", "Access", "Zugang", 19),
+    ("ability", "access", "basic", "👓", "Ability", None, 20),
+    ("belief", "origin", "basic", "🛐", "Belief", "Glaube", 21),
+    ("sports_terms", "origin", "basic", "🏏", "Sports", None, 22),
+    ("military_source", "origin", "basic", "🕊", "Military", None, 23),
+    ("offensive_language", "origin", "openly_discriminating", "🛑", "Offence", None, 24),
+    ("corporate_rules", None, None, "🏢", "House rules", "Hausregeln", 25),
 ]
 LEVEL_COLUMNS = "level, inclusive"
 LEVELS = [("basic", False), ("promoting", True), ("openly_discriminating", False)]
 
+#: Columns that the whole check adds to a rule: the stage it runs in, the configuration it belongs to, its label.
+SCREEN_COLUMNS = RULE_COLUMNS + ", stage, config_id, label_type"
+STAGES = {"french ending": 0, "french pair": 1, "term": 2, "abbreviation": 3, "emoji": 4, "hashtag": 5, "rule": 6, "suffix": 7, "substring": 8, "german ending": 9, "long word": 10, "long sentence": 11}
+#: What a word is reported for by its shape: id, language, key, stage, subcategories.
+SHAPE_RULES = [
+    (901, "fr", "french own form", "french ending", "d_and_i"),
+    (902, "fr", "french other form", "french ending", "gendered_denominations_ending_advanced"),
+    (903, "fr", "french pair", "french pair", "gendered_denominations_ending_advanced"),
+    (904, "en", "abbreviation", "abbreviation", "gender_specific_abbreviation"),
+    (905, "de", "abbreviation", "abbreviation", "gender_specific_abbreviation"),
+    (906, "fr", "abbreviation", "abbreviation", "gender_specific_abbreviation"),
+    (907, "en", "hashtag", "hashtag", "plain_language"),
+    (908, "de", "hashtag", "hashtag", "plain_language"),
+    (909, "fr", "hashtag", "hashtag", "plain_language"),
+    (910, "de", "german own form", "german ending", "d_and_i"),
+    (911, "de", "german other form", "german ending", "gendered_denominations_ending_advanced"),
+    (912, "en", "long word", "long word", "plain_language"),
+    (913, "de", "long word", "long word", "plain_language"),
+    (914, "fr", "long word", "long word", "plain_language"),
+]
+EMOJI_RULE, SENTENCE_RULE = 920, 921
+#: Words that a configuration wants replaced: id, configuration, language, words, what to write.
+TERMS = [(951, "src0", "en", "for the", "to the"), (952, "src0", "de", "und die", "sowie die"), (953, "src5", "fr", "pour", "afin de"), (954, "src7", "en", "with", "alongside")]
+#: Rules that hold for people only.
+PEOPLE_RULES = [(961, "en", "only", "filler"), (962, "en", "reed", "culture"), (963, "de", "nicht", "filler")]
+#: Settings of a writer or an organisation; what is not set is the default.
+CONFIG_COLUMNS = "config_id, disabled, ignored, german_format, french_format, most, hr"
+CONFIGS = [
+    ("src0", "culture", "of the|und", "*in", "·", 3, True),
+    ("src3", "plain_language", "", ":in", "·s", 1, False),
+    ("src5", "gender-orientation|filler_advanced", "le", "In", "/", 5, True),
+    ("src8", "", "", "(-)", ".", 0, False),
+]
+DEFAULT_CONFIG = (None, "", "", "*in", "·", 5, True)
+
 US_COLUMNS = "uk, us"
 US_SPELLING = [("thour", "thor"), ("our", "or"), ("colour", "color"), ("ise", "ize")]
 
@@ -131,6 +177,30 @@ def rules(spark: SparkSession) -> DataFrame:
     return _load(spark, RULE_COLUMNS, RULES)
 
 
+def screen_rows() -> list[tuple]:
+    """All rules of the whole check in one table."""
+    stage = {"default": "rule", "suffix": "suffix", "substring": "substring"}
+    rows = [(*r, STAGES[stage[r[3]]], None, None) for r in RULES]
+    shape = lambda i, lang, words, kind, sub, name, config=None, label=None: (
+        i, lang, words, kind, True, False, "", sub, "default", None, False, None, None, None, STAGES[name], config, label
+    )
+    rows += [shape(i, lang, key, "shape", sub, name) for i, lang, key, name, sub in SHAPE_RULES]
+    rows += [shape(i, lang, words, "default", "corporate_rules", "term", config) for i, config, lang, words, _ in TERMS]
+    return rows + [shape(i, lang, words, "default", sub, "rule", None, "not_for_people") for i, lang, words, sub in PEOPLE_RULES]
+
+
+def screen_rules(spark: SparkSession) -> DataFrame:
+    return _load(spark, SCREEN_COLUMNS, screen_rows())
+
+
+def alternative_rows() -> list[tuple]:
+    return ALTERNATIVES + [(i, 1, new, False, False, False, "default", None, None) for i, _, _, _, new in TERMS]
+
+
+def configs(spark: SparkSession) -> DataFrame:
+    return _load(spark, CONFIG_COLUMNS, CONFIGS)
+
+
 def alternatives(spark: SparkSession) -> DataFrame:
     return _load(spark, ALTERNATIVE_COLUMNS, ALTERNATIVES)
 
