@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 
-#: Sample of a language: bytes at most, from so many of its labelled texts.  All samples together are bounded too.
-SAMPLE_BYTES, SAMPLE_TEXTS, ALL_SAMPLES = 32_768, 128, 1 << 20
+#: Sample of a language: bytes at most, from so many different labelled texts, so many code points of each.
+SAMPLE_BYTES, SAMPLE_TEXTS, SAMPLE_PIECE = 32_768, 128, 256
+#: All samples together have this many bytes at most: above 32 languages each gets an equal share.
+ALL_SAMPLES = 1 << 20
 PIECE = 256
 #: Texts are worked on in blocks of about so many bytes.
 BLOCK_BYTES = 4 << 20
@@ -157,19 +159,23 @@ def predictor(shared):
 
 
 def samples(docs: DataFrame) -> dict[str, bytes]:
-    """A bounded sample of each language: pieces of the SAMPLE_TEXTS labelled texts with the smallest hash.
-
-    Rows of the held-out fold, without label or without text are not looked at."""
-    ranked = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(
-        "lang", F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, SAMPLE_BYTES // SAMPLE_TEXTS).alias("piece")
-    )
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
-    rows = ranked.withColumn("k", first).filter(F.col("k") <= SAMPLE_TEXTS).orderBy("lang", "k").collect()
+    """A bounded sample of each language: a piece from anywhere in each of the SAMPLE_TEXTS labelled texts with the smallest
+    hash, until the language's bytes are full.
+
+    Equal texts count once.  The hash of a text says which of its pieces is taken, so openings that texts have in common
+    teach no more than the rest.  Rows of the held-out fold, without label or without text are not looked at."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.select("lang", F.xxhash64("text").alias("h"), "text")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = known.select("lang", "h").distinct().withColumn("k", first).filter(F.col("k") <= SAMPLE_TEXTS)
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_PIECE + 1, F.lit(1))).cast("int")
+    pieces = known.join(picked, ["lang", "h"]).select("lang", "k", F.substring("text", start + 1, F.lit(SAMPLE_PIECE)).alias("piece"))
+    rows = pieces.groupBy("lang", "k").agg(F.min("piece").alias("piece")).orderBy("lang", "k").collect()
     out: dict[str, bytes] = {}
+    each = min(SAMPLE_BYTES, ALL_SAMPLES // max(1, len({row["lang"] for row in rows})))
     for row in rows:
-        out[row["lang"]] = out.get(row["lang"], b"") + row["piece"].encode() + b" "
-    each = min(SAMPLE_BYTES, ALL_SAMPLES // max(1, len(out)))
-    return {lang: text.translate(NORMAL)[:each] for lang, text in out.items()}
+        out[row["lang"]] = (out.get(row["lang"], b"") + row["piece"].encode() + b" ")[:each]
+    return {lang: text.translate(NORMAL) for lang, text in out.items()}
 
 
 def op8(spark, folder):

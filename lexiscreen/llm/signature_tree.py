@@ -6,11 +6,14 @@ a Jaccard similarity of at least num / den, in this order:
 1. *Roots.*  Linked sets of similar size differ in at most d shingles.  Every set is dealt into k > d segments by
    shingle hash, so that linked sets agree in whole segments.  Sets that share a segment hang below one root, named by
    the smallest of them.  Shared passages alone do not bring sets together, as a segment holds shingles from anywhere.
-2. *Trees.*  Below a root, sets are leaves; inner nodes hold the OR of the bitmaps below them and the range of sizes.
+2. *Trees.*  Below a root, sets are leaves, in the order of their size and of their smallest shingle hashes, so that
+   sets that may be linked lie together.  Inner nodes hold the OR of the bitmaps below them and the range of sizes; the
+   lowest ones also a bitmap of 2^32 bits, kept as the places of its ones, that many sets do not fill up.
 3. *Traversal.*  First every leaf meets a pivot of its tree, in rounds, as long as rounds find links: groups of near
    copies become components with few comparisons.  Then the trees are traversed against themselves, level by level,
    for pairs of nodes from different components only.  A pair of nodes goes on if the overlap that bitmaps and sizes
-   allow reaches the bound.  The lowest inner nodes carry their leaves, and pairs of them are compared as bit matrices.
+   allow reaches the bound.  Pairs of lowest inner nodes whose wide bitmaps leave enough overlap are compared as bit
+   matrices of their leaves.
 4. Pairs of leaves that remain are compared by signatures as wide as their sets, then exactly.
 
 Pairs already in one component cannot change the result and are not visited; no other pair is left out."""
@@ -28,8 +31,10 @@ from .common import saved, table
 
 #: Words of the bitmaps, of 64 bits each.
 BITMAP = 32
-#: Leaves of a lowest inner node, and children of those above.
-BLOCK, FAN = 256, 32
+#: Leaves of a lowest inner node, the ones of its wide bitmap, about, and children of the nodes above.
+BLOCK, ONES, FAN = 256, 60_000, 32
+#: Sizes of one lowest inner node differ by this factor at most.
+STEP = 1.05
 #: Rounds of pivots at most, and the part of a round's comparisons that must be links for another round.
 PIVOTS, WORTH = 8, 0.1
 #: Segments to spare, as a part of the shingles in which linked sets may differ.
@@ -105,6 +110,11 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return bits.view(np.int64)
 
 
+def wide(hashes: np.ndarray) -> np.ndarray:
+    """Places of the ones of a bitmap of 2^32 bits, ascending."""
+    return np.unique((_mix(hashes + np.uint64(29)) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
 def signature(hashes: np.ndarray) -> bytes:
     """A bitmap of eight bits or more a shingle; its size is a power of two, so that a larger one folds to a smaller."""
     bits = 1 << max(9, (8 * len(hashes) - 1).bit_length())
@@ -178,17 +188,23 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row; node is null for empty sets."""
-
+def _measure(width: int):
     @F.arrow_udf("struct<n:bigint,node:bigint>")
     def measure(texts: pa.Array) -> pa.Array:
-        found = [shingles(t.as_buffer().to_pybytes(), width) if t.is_valid else np.zeros(0, np.uint64) for t in texts]
-        return pa.StructArray.from_arrays(
-            [pa.array([len(h) for h in found], pa.int64()), pa.array([node_of(h) if len(h) else None for h in found], pa.int64())], ["n", "node"]
-        )
+        sizes, nodes = [], []
+        for t in texts:
+            found = shingles(t.as_buffer().to_pybytes(), width) if t.is_valid else np.zeros(0, np.uint64)
+            sizes.append(len(found))
+            nodes.append(node_of(found) if len(found) else None)
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["n", "node"])
+
+    return measure
 
-    return docs.select("doc_id", measure(F.col("text")).alias("m")).select("doc_id", F.col("m.n").alias("n_shingles"), "m.node")
+
+def sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, row, n_shingles, node) of every row; ``row`` is a hash of the text, node is null for empty sets."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), _measure(width)(F.col("text")).alias("m"))
+    return rows.select("doc_id", "row", F.col("m.n").alias("n_shingles"), "m.node")
 
 
 def segments(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -218,7 +234,10 @@ def segments(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def leaves(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, n, bits, signature, hashes) of the given (node, of_doc) nodes, from the text of one of their rows."""
+    """(node, n, bits, signature, hashes) of the given (node, of_doc) nodes, from the text of one of their rows.
+
+    An id with several texts, null among them, has several nodes: there the text's own node is part of the key, so that no
+    text meets another one's node."""
     schema = "node bigint, n bigint, bits array<bigint>, signature binary, hashes array<bigint>"
     names = ["node", "n", "bits", "signature", "hashes"]
     types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
@@ -243,8 +262,15 @@ def leaves(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     texts = docs.select(F.col("doc_id").alias("d"), "text")
+    crowded = saved(nodes.groupBy("of_doc").agg(F.count("*").alias("many")).filter("many > 1 OR of_doc IS NULL").select(F.col("of_doc").alias("c")), "join-crowded")
+    single = nodes.join(crowded, F.col("of_doc").eqNullSafe(F.col("c")), "left_anti")
+    several = nodes.join(crowded, F.col("of_doc").eqNullSafe(F.col("c")), "left_semi")
     # Nodes grow with the corpus and are never broadcast: the plan is the same at every size.
-    return texts.join(nodes.hint("merge"), F.col("d").eqNullSafe(F.col("of_doc"))).select("node", "text").mapInArrow(build, schema)
+    found = texts.join(single.hint("merge"), F.col("d") == F.col("of_doc")).select("node", "text")
+    if not crowded.isEmpty():
+        own = texts.join(crowded, F.col("d").eqNullSafe(F.col("c")), "left_semi").withColumn("own", _measure(width)(F.col("text"))["node"])
+        found = found.union(own.join(several.hint("merge"), (F.col("own") == F.col("node")) & F.col("d").eqNullSafe(F.col("of_doc"))).select("node", "text"))
+    return found.mapInArrow(build, schema)
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -275,7 +301,8 @@ class Join:
         return both.filter(self.enough(F.size(F.array_intersect("p", "q")), F.size("p"), F.size("q"))).select("a", "b")
 
     def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id)."""
+        """(doc_id, row, n_shingles, component_id, component): ``component`` is a number of each component, null for empty
+        sets."""
         rows = saved(sets(self.docs, self.width), "join-sets")
         first = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("of_doc"))
         nodes = saved(first, "join-nodes")
@@ -283,12 +310,15 @@ class Join:
         tagged = nodes.join(labels, "node", "left").select("node", "of_doc", F.coalesce("label", "node").alias("label"))
         least = saved(tagged.groupBy("label").agg(F.min("of_doc").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n"), "join-components")
         named = saved(
-            tagged.join(least, "label", "left").select(F.col("node").alias("of_node"), F.coalesce("component_id", "of_doc").alias("component_id")),
+            tagged.join(least, "label", "left").select(
+                F.col("node").alias("of_node"), F.coalesce("component_id", "of_doc").alias("component_id"), F.col("label").alias("component")
+            ),
             "join-named",
         )
         full = rows.filter("node IS NOT NULL").join(named, F.col("node") == F.col("of_node"))
-        alone = rows.filter("node IS NULL").withColumn("component_id", F.col("doc_id"))
-        return full.select("doc_id", "n_shingles", "component_id").union(alone.select("doc_id", "n_shingles", "component_id"))
+        alone = rows.filter("node IS NULL").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
+        columns = ["doc_id", "row", "n_shingles", "component_id", "component"]
+        return full.select(*columns).union(alone.select(*columns))
 
     def labels(self, nodes: DataFrame) -> DataFrame:
         """(node, label) of all nodes with links: equal labels for equal components."""
@@ -325,27 +355,39 @@ class Join:
         found = saved(self.linked(self.traverse(marked)), "join-links")
         return components(found if links is None else links.union(found))
 
-    def traverse(self, marked: DataFrame) -> DataFrame:
-        """(a, b): leaves below one root, of different labels, that may be linked."""
+    def blocks(self, marked: DataFrame) -> DataFrame:
+        """The lowest inner nodes of all trees with leaves of different labels."""
         mixed = marked.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("root").alias("r"))
-        bits = self.leaf.select(F.col("node").alias("leaf"), "n", "bits")
+        bits = self.leaf.select(F.col("node").alias("leaf"), "n", "bits", "hashes")
         open_ = marked.join(saved(mixed, "tree-roots"), F.col("root") == F.col("r")).join(bits, F.col("node") == F.col("leaf"))
-        blocks = saved(_blocks(open_.select("root", "node", "label", "n", "bits")), "tree-blocks")
-        levels = [blocks.drop("leaves")]
+        return saved(_blocks(open_.select("root", "node", "label", "n", "bits", "hashes")), "tree-blocks")
+
+    def block_pairs(self, blocks: DataFrame) -> DataFrame:
+        """(same, x_leaves, y_leaves) of the pairs of lowest inner nodes that bitmaps and sizes do not rule out."""
+        levels = [blocks.drop("leaves", "wide")]
         while (levels[-1].groupBy("root").count().agg(F.max("count")).first()[0] or 0) > FAN:
-            levels[-1] = saved(_with_parent(levels[-1], FAN), "tree-level")
+            levels[-1] = saved(_with_parent(levels[-1]), "tree-level")
             levels.append(saved(_inner(levels[-1]), "tree-level"))
-        side = lambda level, s: level.select("root", *[F.col(c).alias(f"{s}_{c}") for c in level.columns if c == "parent"], F.struct("id", "lo", "hi", "least", "most", "excess", "bits").alias(s))
-        pairs = side(levels[-1], "x").join(side(levels[-1], "y"), "root").filter("x.id <= y.id")
+        fields = ["band", "part", "lo", "hi", "least", "most", "excess", "bits"]
+        side = lambda level, s: level.select("root", *[F.col(c).alias(f"{s}_{c}") for c in level.columns if c.startswith("parent")], F.struct(*fields).alias(s))
+        first = F.struct("x.band", "x.part") <= F.struct("y.band", "y.part")
+        pairs = side(levels[-1], "x").join(side(levels[-1], "y"), "root").filter(first)
         for level in reversed(levels[:-1]):
-            ids = pairs.filter(self.reachable()).select("root", F.col("x.id").alias("x_parent"), F.col("y.id").alias("y_parent"))
-            ids = saved(ids, "tree-pairs")
-            pairs = ids.join(side(level, "x"), ["root", "x_parent"]).join(side(level, "y"), ["root", "y_parent"])
-            pairs = pairs.filter("x_parent <> y_parent OR x.id <= y.id")
-        near = saved(pairs.filter(self.reachable()).select("root", F.col("x.id").alias("x"), F.col("y.id").alias("y")), "tree-pairs")
-        held = lambda s: blocks.select("root", F.col("id").alias(s), F.col("leaves").alias(f"{s}_leaves"))
-        both = near.join(held("x"), ["root", "x"]).join(held("y"), ["root", "y"]).select((F.col("x") == F.col("y")).alias("same"), "x_leaves", "y_leaves")
-        found = both.mapInArrow(_matrices(self.num, self.den), "a bigint, b bigint")
+            parents = [F.col(f"{s}.{c}").alias(f"{s}_parent_{c}") for s in ("x", "y") for c in ("band", "part")]
+            ids = saved(pairs.filter(self.reachable()).select("root", *parents), "tree-pairs")
+            pairs = ids.join(side(level, "x"), ["root", "x_parent_band", "x_parent_part"]).join(side(level, "y"), ["root", "y_parent_band", "y_parent_part"])
+            pairs = pairs.filter((F.col("x_parent_band") != F.col("y_parent_band")) | (F.col("x_parent_part") != F.col("y_parent_part")) | first)
+        names = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("x", "y") for c in ("band", "part")]
+        near = saved(pairs.filter(self.reachable()).select("root", *names), "tree-pairs")
+        held = lambda s: blocks.select("root", F.col("band").alias(f"{s}_band"), F.col("part").alias(f"{s}_part"), F.struct("least", "most", "loss", "wide", "leaves").alias(s))
+        both = near.join(held("x"), ["root", "x_band", "x_part"]).join(held("y"), ["root", "y_band", "y_part"])
+        same = (F.col("x_band") == F.col("y_band")) & (F.col("x_part") == F.col("y_part"))
+        kept = both.filter(same | _may_meet(self.num, self.den)("x.least", "x.most", "x.loss", "x.wide", "y.least", "y.most", "y.loss", "y.wide"))
+        return kept.select(same.alias("same"), F.col("x.leaves").alias("x_leaves"), F.col("y.leaves").alias("y_leaves"))
+
+    def traverse(self, marked: DataFrame) -> DataFrame:
+        """(a, b): leaves below one root, of different labels, that may be linked."""
+        found = self.block_pairs(self.blocks(marked)).mapInArrow(_matrices(self.num, self.den), "a bigint, b bigint")
         return saved(found.distinct(), "tree-leaves")
 
     def reachable(self) -> Column:
@@ -388,15 +430,51 @@ def _matrices(num: int, den: int):
     return compare
 
 
+def _may_meet(num: int, den: int):
+    """Whether leaves below two lowest inner nodes may be linked: the ones their wide bitmaps share, and the shingles lost to
+    a place that two of a set have in common, are the most that any two of them share."""
+
+    @F.arrow_udf("boolean")
+    def may_meet(
+        least_a: pa.Array, most_a: pa.Array, loss_a: pa.Array, a: pa.Array, least_b: pa.Array, most_b: pa.Array, loss_b: pa.Array, b: pa.Array
+    ) -> pa.Array:
+        out = []
+        rows = zip(*(c.to_pylist() for c in (least_a, most_a, loss_a, least_b, most_b, loss_b)))
+        for k, (la, ma, xa, lb, mb, xb) in enumerate(rows):
+            ones = [side[k].values.to_numpy(zero_copy_only=False) for side in (a, b)]
+            common = len(np.intersect1d(*ones, assume_unique=True)) + min(xa, xb)
+            out.append(min(common, ma, mb) * (num + den) >= num * (la + lb))
+        return pa.array(out, pa.bool_())
+
+    return may_meet
+
+
+def _ones(hashes: Column) -> Column:
+    @F.arrow_udf("array<int>")
+    def places(sets: pa.Array) -> pa.Array:
+        return pa.array([wide(s.values.to_numpy(zero_copy_only=False).view(np.uint64)) for s in sets], pa.list_(pa.int32()))
+
+    return places(hashes)
+
+
 def _blocks(leaves: DataFrame) -> DataFrame:
-    """The lowest inner nodes, with their leaves: about BLOCK a node, those of one component together."""
-    rows = leaves.withColumn("lo", F.col("label")).withColumn("id", F.col("node"))
+    """The lowest inner nodes, with their leaves.
+
+    A node is a band of sizes and a part of it; a band has so many parts that one holds about BLOCK leaves, or fewer if
+    they are large.  Sets go to the part of their smallest shingle hash: near copies mostly have the same."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(STEP)))).cast("int")
+    rows = leaves.withColumn("band", band).withColumn("lead", F.xxhash64(F.array_min("hashes")))
+    rows = rows.withColumn("ones", _ones(F.col("hashes"))).drop("hashes")
+    sizes = rows.groupBy("root", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ONES)).alias("parts"))
     excess = F.col("n") - F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x))
-    grouped = _with_parent(rows, BLOCK).groupBy("root", F.col("parent").alias("id")).agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(excess).alias("excess"),
+    rows = rows.join(sizes, ["root", "band"]).withColumn("part", F.pmod("lead", "parts"))
+    grouped = rows.groupBy("root", "band", "part").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.max(excess).alias("excess"), F.max(F.col("n") - F.size("ones")).alias("loss"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("ones")))).alias("wide"),
         F.collect_list(F.struct("node", "label", "n", "bits")).alias("leaves"), *_ors(),
-    )
-    return grouped.select("root", "id", "lo", "hi", "least", "most", "excess", "leaves", _bitmap())
+    )
+    return grouped.select("root", "band", "part", "lo", "hi", "least", "most", "excess", "loss", "wide", "leaves", _bitmap())
 
 
 def _ors() -> list[Column]:
@@ -407,20 +485,21 @@ def _bitmap() -> Column:
     return F.array(*[f"b{i}" for i in range(BITMAP)]).alias("bits")
 
 
-def _with_parent(level: DataFrame, fan: int) -> DataFrame:
-    """Nodes with the id of their inner node: those of one component are kept together, ``fan`` to an inner node."""
-    same = level.groupBy("root", "lo").agg(F.ceil(F.count("*") / fan).alias("same"))
-    every = level.groupBy("root").agg(F.ceil(F.count("*") / fan).alias("every"))
-    place = F.xxhash64("lo", F.pmod(F.xxhash64("id"), F.col("same")))
-    return level.join(same, ["root", "lo"]).join(every, "root").select(*level.columns, F.pmod(place, F.col("every")).alias("parent"))
+def _with_parent(level: DataFrame) -> DataFrame:
+    """Nodes with the band and part of their inner node: parts that follow one another, then bands."""
+    widest = level.groupBy("root", "band").agg(F.max("part").alias("_last")).groupBy("root").agg(F.max("_last").alias("_last"))
+    several = F.col("_last") > 0
+    band = F.when(several, F.col("band")).otherwise(F.floor(F.col("band") / FAN)).cast("int")
+    part = F.when(several, F.floor(F.col("part") / FAN)).otherwise(0).cast("long")
+    return level.join(widest, "root").withColumn("parent_band", band).withColumn("parent_part", part).drop("_last")
 
 
 def _inner(level: DataFrame) -> DataFrame:
-    grouped = level.groupBy("root", F.col("parent").alias("id")).agg(
+    grouped = level.groupBy("root", F.col("parent_band").alias("band"), F.col("parent_part").alias("part")).agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least"), F.max("most").alias("most"),
         F.max("excess").alias("excess"), *_ors(),
     )
-    return grouped.select("root", "id", "lo", "hi", "least", "most", "excess", _bitmap())
+    return grouped.select("root", "band", "part", "lo", "hi", "least", "most", "excess", _bitmap())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -456,8 +535,31 @@ def near_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id that links reach.  Null texts and texts without words have no shingles and
-    are linked with nothing.  Rows of one id are judged by their own texts; null ids take part but name no group."""
-    return Join(docs, width, num, den).run()
+    are linked with nothing.  Rows of one id are judged by their own texts; null ids take part but name no group.  A text
+    is read whole, as arrays of its bytes, which take some sixty times its size while it is cut."""
+    return Join(docs, width, num, den).run().select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """One row of each component of ``docs``: that with the smallest doc_id, null last, and of equal ids that with the
+    smallest hash of its text, then any one of the equal rows.  Rows without shingles all stay.
+
+    What goes are keys (doc_id, hash of the text), so only keys that go, or that have several rows, meet the texts."""
+    found = Join(docs, width, num, den).run()
+    keys = saved(found.filter("component IS NOT NULL").groupBy("component", "doc_id", "row").agg(F.count("*").alias("rows")), "thin-keys")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
+    first = saved(keys.groupBy("component").agg(F.min(order).alias("o")).select(F.col("component").alias("of"), "o"), "thin-first")
+    ranked = keys.join(first, F.col("component") == F.col("of")).withColumn("kept", order.eqNullSafe(F.col("o")))
+    gone = saved(ranked.filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct(), "thin-gone")
+    again = saved(ranked.filter("kept AND rows > 1").select(F.col("doc_id").alias("many_id"), F.col("row").alias("many_row")), "thin-repeated")
+    own = F.xxhash64(docs["text"])
+    here = lambda keys, a, b: docs["doc_id"].eqNullSafe(keys[a]) & (own == keys[b])
+    left = docs.join(gone, here(gone, "gone_id", "gone_row"), "left_anti")
+    if again.isEmpty():
+        return left
+    once = left.join(again, left["doc_id"].eqNullSafe(again["many_id"]) & (F.xxhash64(left["text"]) == again["many_row"]), "left_anti")
+    several = left.join(again, left["doc_id"].eqNullSafe(again["many_id"]) & (F.xxhash64(left["text"]) == again["many_row"]), "left_semi")
+    return once.unionAll(several.dropDuplicates(["doc_id", "text"]))
 
 
 def op3(spark, folder):

@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,9 @@ COLUMNS = [*HEADERS, "payload"]
 #: A writer begins a new file after so many bytes; a reader takes files of about as many to a partition.
 FILE_BYTES = 64 << 20
 _PEEK = 1 << 14
+_HEX_SHA1 = re.compile("[0-9a-f]{40}")
+#: The profile of a revisit whose payload is the same.
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MARK = b"SL"
 
 
@@ -58,22 +63,45 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+_CONTROL = re.compile(r"[\x00-\x1f\x7f%]")
+_ESCAPED = re.compile("%([0-9A-F]{2})")
+
+
+def _plain(value: str) -> bool:
+    """Whether a header can hold the text as it is written."""
+    return value == value.strip() and not any(ord(c) < 32 or ord(c) == 127 for c in value)
+
+
 def _escape(value: str) -> str:
-    """Header text: percent signs and control characters as percent and two digits."""
-    return "".join(f"%{ord(c):02X}" if c == "%" or ord(c) < 32 or ord(c) == 127 else c for c in value)
+    """Percent signs, control characters and blanks at the ends as percent and two digits."""
+    inner = value.strip(" ")
+    ends = len(value) - len(value.lstrip(" ")), len(value) - len(value.rstrip(" ")) if inner else 0
+    return "%20" * ends[0] + _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", inner) + "%20" * ends[1]
 
 
 def _unescape(value: str) -> str:
-    head, *rest = value.split("%")
-    return head + "".join(chr(int(x[:2], 16)) + x[2:] for x in rest)
+    return _ESCAPED.sub(lambda m: chr(int(m[1], 16)), value)
+
+
+def _number(value: str | None) -> int | None:
+    """A count in a header; None for whatever else stands there."""
+    return int(value) if value and value.isascii() and value.isdigit() else None
 
 
 def encode(record: dict) -> bytes:
-    """A record as one gzip member: 16 bytes of gzip header and extra field, deflated data, checksum, length."""
+    """A record as one gzip member: 16 bytes of gzip header and extra field, deflated data, checksum, length.
+
+    Headers are written as they are; a record with a value that no header can hold says so, and all its values are escaped."""
     payload = record.get("payload")
     body = b"" if payload is None else bytes(payload)
-    lines = ["WARC/1.1"]
-    lines += [f"{name}: {_escape(str(record[c]))}" for c, name in HEADERS.items() if record.get(c) is not None]
+    values = {c: str(record[c]) for c in HEADERS if record.get(c) is not None}
+    if _HEX_SHA1.fullmatch(values.get("payload_digest", "")):
+        values["payload_digest"] = f"sha1:{values['payload_digest']}"
+    plain = all(map(_plain, values.values()))
+    lines = ["WARC/1.1", f"WARC-Date: {datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}"]
+    lines += [f"{HEADERS[c]}: {v if plain else _escape(v)}" for c, v in values.items()]
+    lines += [] if plain else ["X-Encoded: 1"]
+    lines += [f"WARC-Profile: {REVISIT}"] if values.get("record_type") == "revisit" else []
     lines += [f"X-Payload: {'none' if payload is None else 'here'}", f"Content-Length: {len(body)}"]
     data = "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
     deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
@@ -84,8 +112,19 @@ def encode(record: dict) -> bytes:
 
 
 def parse_headers(block: bytes) -> dict[str, str]:
-    pairs = (line.partition(":") for line in block.decode("utf-8", "replace").split("\r\n")[1:])
-    return {name.strip().lower(): _unescape(value.strip()) for name, _, value in pairs if name.strip()}
+    """Headers by name in lower case, as they are written; those of a record that says it is escaped are decoded.  A line
+    that begins with a blank goes on with the one before; what is no header is left out.  Nothing here is an error."""
+    found: list[list[str]] = []
+    for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and found:
+            found[-1][1] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            found.append([name.strip().lower(), value.strip()])
+    headers = {name: value for name, value in found if name}
+    if headers.get("x-encoded") == "1":
+        headers = {name: _unescape(value) for name, value in headers.items()}
+    return headers
 
 
 class _Member:
@@ -195,13 +234,17 @@ class WarcReader(DataSourceReader):
                     if not headers:
                         member.leave(body, 0)
                         continue
-                    length = int(headers.get("content-length", 0))
+                    length = _number(headers.get("content-length"))
+                    if length is None:  # to the member's end; the end of a plain file's record is not known
+                        length = len(member.take(body, 1 << 62)) if not member.plain else 0
                     row = {c: headers.get(name.lower()) for c, name in HEADERS.items()}
+                    if _HEX_SHA1.fullmatch((row["payload_digest"] or "").removeprefix("sha1:")):
+                        row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
                     if all(row[c] in wanted for c, wanted in self.tests):
                         here = self.wants_payload and headers.get("x-payload") != "none"
                         payload = member.take(body, length) if here else None
-                        count = row["payload_bytes"]
-                        row["payload_bytes"] = length if count is None else int(count)
+                        count = _number(row["payload_bytes"])
+                        row["payload_bytes"] = length if count is None else count
                         yield (*[row[c] for c in HEADERS], payload)
                     member.leave(body, length)
 

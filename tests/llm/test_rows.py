@@ -133,6 +133,34 @@ def test_warc_filters_and_foreign_files(spark, tables, tmp_path):
     assert got.filter("record_type = 'metadata'").count() == 1
 
 
+def test_warc_headers_as_written(spark, tmp_path):
+    """Whatever stands in a header of a foreign file is read as it is, and nothing there stops the job."""
+    odd = ["http://x/50%off", "http://x/100%", "http://x/a%20b", "http://x/%zz%41", "caf\xe9"]
+    lines = [f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {u}\r\nContent-Length: 1\r\n\r\nz\r\n\r\n".encode("latin-1") for u in odd]
+    lines.append(b"WARC/1.0\r\nWARC-Type: folded\r\nno header\r\n: none\r\nWARC-Target-URI: http://x/\r\n  more\r\nContent-Length: 2\r\nWARC-Payload-Length: many\r\n\r\nab\r\n\r\n")
+    (tmp_path / "a.warc").write_bytes(b"".join(lines))
+    import gzip
+
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"WARC/1.0\r\nWARC-Type: endless\r\nContent-Length: lots\r\n\r\nabc\r\n\r\n"))
+    warc.register(spark)
+    got = {(r.record_type, r.target_uri): r.payload_bytes for r in spark.read.format("warc").load(str(tmp_path)).collect()}
+    assert {u for t, u in got if t == "response"} == {*odd[:4], "caf\ufffd"}
+    assert got["folded", "http://x/ more"] == 2 and got["endless", None] == 7
+
+
+@pytest.mark.parametrize("value", ["http://x/50%off", "http://b/%41", "a\r\nX: y", " both ends  ", "tab\there %0A", "", "é\x7f", "  "])
+def test_warc_headers_round_trip(value):
+    import zlib
+
+    record = {"record_id": "r", "record_type": "revisit", "target_uri": value, "payload_digest": "0" * 40}
+    data = zlib.decompress(warc.encode(record), 31)
+    head = data.split(b"\r\n\r\n")[0]
+    headers = warc.parse_headers(head)
+    assert headers["warc-target-uri"] == value and headers["warc-date"].endswith("Z") and "warc-profile" in headers
+    assert headers["warc-payload-digest"] == "sha1:" + "0" * 40
+    assert (b"X-Encoded" in head) == (value not in ("http://x/50%off", "http://b/%41", ""))
+
+
 def _shard(key, n):
     def value(s):
         h = xxhash.xxh64_intdigest(struct.pack("<i", s), seed=xxhash.xxh64_intdigest(struct.pack("<q", key), seed=42) if key is not None else 42)

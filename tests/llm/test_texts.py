@@ -87,6 +87,50 @@ def test_tree_traversal_alone_finds_all_links(spark, tables, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(near_by_brute_force(docs, 3, 90, 100))
 
 
+def test_trees_rule_out_most_pairs_of_blocks(spark, monkeypatch):
+    """Unrelated sets below one root: bitmaps and sizes leave only blocks that meet themselves."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(signature_tree, "BLOCK", 16)
+    rng = random.Random(11)
+    docs = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(102))) for k in range(1200)]
+    docs += [(2000 + k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 400)))) for k in range(400)]
+    base = docs[0][1].split()
+    docs.append((5000, " ".join([*base[:-1], "other"])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    join = signature_tree.Join(frame, 3, 90, 100)
+    nodes = signature_tree.saved(signature_tree.sets(frame, 3).groupBy("node").agg(F.min("doc_id").alias("of_doc")), "t")
+    join.leaf = signature_tree.saved(signature_tree.leaves(frame, nodes, 3), "t")
+    marked = nodes.select(F.lit(1).cast("long").alias("root"), "node", F.col("node").alias("label"))
+    blocks = join.blocks(marked)
+    count = blocks.count()
+    pairs = join.block_pairs(blocks)
+    assert count > 80 and pairs.filter("NOT same").count() < 0.02 * count * (count - 1) / 2
+    found = join.linked(pairs.mapInArrow(signature_tree._matrices(90, 100), "a bigint, b bigint").distinct()).collect()
+    near = dict(nodes.select("of_doc", "node").collect())
+    assert {tuple(sorted(r)) for r in found} == {tuple(sorted((near[0], near[5000])))}
+
+
+def test_one_of_each_keeps_exactly_one_row(spark, tables):
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(200))
+    near, other = text + " x", " ".join(f"v{k}" for k in range(50))
+    docs = [(5, text), (5, text), (5, near), (3, near), (None, text), (None, text), (None, other), (8, other), (8, other), (9, None), (9, None), (7, "")]
+    frame = spark.read.parquet(tables(True, documents=[(*d, "en", "s", 1) for d in docs]) + "/documents.parquet")
+    got = signature_tree.one_of_each(frame, 5, 80, 100)
+    assert got.columns == frame.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(3, near), (8, other), (9, None), (9, None), (7, "")], key=repr)
+    alone = spark.createDataFrame([(None, text), (None, near)], "doc_id long, text string")
+    assert signature_tree.one_of_each(alone, 5, 80, 100).count() == 1
+
+
+def test_rows_without_id_do_not_meet_in_pairs(spark):
+    docs = [(None, f"text number {k} with some words of its own {k * 7}") for k in range(300)]
+    docs += [(1, f"other {k} words {k}") for k in range(100)]
+    got = signature_tree.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90, 100)
+    assert got.count() == 400
+
+
 def test_join_of_nothing(spark, tables):
     assert signature_tree.op3(spark, tables()).count() == 0
     got = signature_tree.op3(spark, tables(documents=[(1, None, None, None, None), (2, "", None, None, None)])).collect()
