@@ -6,13 +6,14 @@ a Jaccard similarity of at least num / den, in this order:
 1. *Roots.*  Linked sets of similar size differ in at most d shingles.  Every set is dealt into k > d segments by
    shingle hash, so that linked sets agree in whole segments.  Sets that share a segment hang below one root, named by
    the smallest of them.  Shared passages alone do not bring sets together, as a segment holds shingles from anywhere.
-2. *Trees.*  Below a root, sets are leaves, in the order of their size and of their smallest shingle hashes, so that
-   sets that may be linked lie together.  Inner nodes hold the OR of the bitmaps below them and the range of sizes; the
-   lowest ones also a bitmap of 2^32 bits, kept as the places of its ones, that many sets do not fill up.
+2. *Trees.*  Below a root, sets are leaves, in the order of their size and of their smallest shingle hash, so that
+   sets that may be linked lie together.  Inner nodes hold the OR of the bitmaps below them and the range of sizes.  The
+   lowest ones also hold a bitmap of 2^32 bits, kept as the places of its ones, of the sets' smallest hashes only: so
+   many of each that linked sets have one in common.  Many sets do not fill it up.
 3. *Traversal.*  First every leaf meets a pivot of its tree, in rounds, as long as rounds find links: groups of near
    copies become components with few comparisons.  Then the trees are traversed against themselves, level by level,
    for pairs of nodes from different components only.  A pair of nodes goes on if the overlap that bitmaps and sizes
-   allow reaches the bound.  Pairs of lowest inner nodes whose wide bitmaps leave enough overlap are compared as bit
+   allow reaches the bound.  Pairs of lowest inner nodes whose wide bitmaps have a one in common are compared as bit
    matrices of their leaves.
 4. Pairs of leaves that remain are compared by signatures as wide as their sets, then exactly.
 
@@ -31,10 +32,10 @@ from .common import saved, table
 
 #: Words of the bitmaps, of 64 bits each.
 BITMAP = 32
-#: Leaves of a lowest inner node, the ones of its wide bitmap, about, and children of the nodes above.
-BLOCK, ONES, FAN = 256, 60_000, 32
-#: Sizes of one lowest inner node differ by this factor at most.
-STEP = 1.05
+#: Leaves of a lowest inner node, and the ones of its wide bitmap, about.
+BLOCK, ONES = 256, 20_000
+#: Bands of sizes and parts of them that the nodes above have as children, and the nodes a tree's top may have.
+BANDS, PARTS, FAN = 8, 16, 128
 #: Rounds of pivots at most, and the part of a round's comparisons that must be links for another round.
 PIVOTS, WORTH = 8, 0.1
 #: Segments to spare, as a part of the shingles in which linked sets may differ.
@@ -110,9 +111,13 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return bits.view(np.int64)
 
 
-def wide(hashes: np.ndarray) -> np.ndarray:
-    """Places of the ones of a bitmap of 2^32 bits, ascending."""
-    return np.unique((_mix(hashes + np.uint64(29)) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+def wide(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Places of a set's smallest hashes in a bitmap of 2^32 bits, ascending.
+
+    Linked sets share num / den of the larger one at least, so that either lacks fewer than the hashes taken here, and the
+    smallest that both have is among those of both."""
+    n = len(hashes)
+    return np.unique((hashes[: n - -(-n * num // den) + 1] >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -360,13 +365,13 @@ class Join:
         mixed = marked.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("root").alias("r"))
         bits = self.leaf.select(F.col("node").alias("leaf"), "n", "bits", "hashes")
         open_ = marked.join(saved(mixed, "tree-roots"), F.col("root") == F.col("r")).join(bits, F.col("node") == F.col("leaf"))
-        return saved(_blocks(open_.select("root", "node", "label", "n", "bits", "hashes")), "tree-blocks")
+        return saved(_blocks(open_.select("root", "node", "label", "n", "bits", "hashes"), self.num, self.den), "tree-blocks")
 
     def block_pairs(self, blocks: DataFrame) -> DataFrame:
         """(same, x_leaves, y_leaves) of the pairs of lowest inner nodes that bitmaps and sizes do not rule out."""
         levels = [blocks.drop("leaves", "wide")]
         while (levels[-1].groupBy("root").count().agg(F.max("count")).first()[0] or 0) > FAN:
-            levels[-1] = saved(_with_parent(levels[-1]), "tree-level")
+            levels[-1] = _with_parent(levels[-1])
             levels.append(saved(_inner(levels[-1]), "tree-level"))
         fields = ["band", "part", "lo", "hi", "least", "most", "excess", "bits"]
         side = lambda level, s: level.select("root", *[F.col(c).alias(f"{s}_{c}") for c in level.columns if c.startswith("parent")], F.struct(*fields).alias(s))
@@ -377,13 +382,16 @@ class Join:
             ids = saved(pairs.filter(self.reachable()).select("root", *parents), "tree-pairs")
             pairs = ids.join(side(level, "x"), ["root", "x_parent_band", "x_parent_part"]).join(side(level, "y"), ["root", "y_parent_band", "y_parent_part"])
             pairs = pairs.filter((F.col("x_parent_band") != F.col("y_parent_band")) | (F.col("x_parent_part") != F.col("y_parent_part")) | first)
+        keys = ["root", "x_band", "x_part", "y_band", "y_part"]
         names = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("x", "y") for c in ("band", "part")]
         near = saved(pairs.filter(self.reachable()).select("root", *names), "tree-pairs")
-        held = lambda s: blocks.select("root", F.col("band").alias(f"{s}_band"), F.col("part").alias(f"{s}_part"), F.struct("least", "most", "loss", "wide", "leaves").alias(s))
-        both = near.join(held("x"), ["root", "x_band", "x_part"]).join(held("y"), ["root", "y_band", "y_part"])
         same = (F.col("x_band") == F.col("y_band")) & (F.col("x_part") == F.col("y_part"))
-        kept = both.filter(same | _may_meet(self.num, self.den)("x.least", "x.most", "x.loss", "x.wide", "y.least", "y.most", "y.loss", "y.wide"))
-        return kept.select(same.alias("same"), F.col("x.leaves").alias("x_leaves"), F.col("y.leaves").alias("y_leaves"))
+        held = lambda s, c: blocks.select("root", F.col("band").alias(f"{s}_band"), F.col("part").alias(f"{s}_part"), F.col(c).alias(f"{s}_{c}"))
+        with_ = lambda rows, s, c: rows.join(held(s, c), ["root", f"{s}_band", f"{s}_part"])
+        apart = with_(with_(near.filter(~same), "x", "wide"), "y", "wide").filter(_meet(F.col("x_wide"), F.col("y_wide")))
+        apart = saved(apart.select(*keys), "tree-apart")
+        alone = with_(near.filter(same), "x", "leaves").select(F.lit(True).alias("same"), "x_leaves", F.col("x_leaves").alias("y_leaves"))
+        return alone.unionAll(with_(with_(apart, "x", "leaves"), "y", "leaves").select(F.lit(False).alias("same"), "x_leaves", "y_leaves"))
 
     def traverse(self, marked: DataFrame) -> DataFrame:
         """(a, b): leaves below one root, of different labels, that may be linked."""
@@ -430,51 +438,46 @@ def _matrices(num: int, den: int):
     return compare
 
 
-def _may_meet(num: int, den: int):
-    """Whether leaves below two lowest inner nodes may be linked: the ones their wide bitmaps share, and the shingles lost to
-    a place that two of a set have in common, are the most that any two of them share."""
+def _meet(x: Column, y: Column) -> Column:
+    """Whether two wide bitmaps have a one in common."""
 
     @F.arrow_udf("boolean")
-    def may_meet(
-        least_a: pa.Array, most_a: pa.Array, loss_a: pa.Array, a: pa.Array, least_b: pa.Array, most_b: pa.Array, loss_b: pa.Array, b: pa.Array
-    ) -> pa.Array:
-        out = []
-        rows = zip(*(c.to_pylist() for c in (least_a, most_a, loss_a, least_b, most_b, loss_b)))
-        for k, (la, ma, xa, lb, mb, xb) in enumerate(rows):
-            ones = [side[k].values.to_numpy(zero_copy_only=False) for side in (a, b)]
-            common = len(np.intersect1d(*ones, assume_unique=True)) + min(xa, xb)
-            out.append(min(common, ma, mb) * (num + den) >= num * (la + lb))
-        return pa.array(out, pa.bool_())
+    def meet(a: pa.Array, b: pa.Array) -> pa.Array:
+        ones = lambda side: side.values.to_numpy(zero_copy_only=False)
+        return pa.array([bool(len(np.intersect1d(ones(p), ones(q), assume_unique=True))) for p, q in zip(a, b)], pa.bool_())
 
-    return may_meet
+    return meet(x, y)
 
 
-def _ones(hashes: Column) -> Column:
+def _places(num: int, den: int):
     @F.arrow_udf("array<int>")
     def places(sets: pa.Array) -> pa.Array:
-        return pa.array([wide(s.values.to_numpy(zero_copy_only=False).view(np.uint64)) for s in sets], pa.list_(pa.int32()))
+        return pa.array([wide(s.values.to_numpy(zero_copy_only=False).view(np.uint64), num, den) for s in sets], pa.list_(pa.int32()))
 
-    return places(hashes)
+    return places
 
 
-def _blocks(leaves: DataFrame) -> DataFrame:
+def _blocks(leaves: DataFrame, num: int, den: int) -> DataFrame:
     """The lowest inner nodes, with their leaves.
 
-    A node is a band of sizes and a part of it; a band has so many parts that one holds about BLOCK leaves, or fewer if
-    they are large.  Sets go to the part of their smallest shingle hash: near copies mostly have the same."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(STEP)))).cast("int")
-    rows = leaves.withColumn("band", band).withColumn("lead", F.xxhash64(F.array_min("hashes")))
-    rows = rows.withColumn("ones", _ones(F.col("hashes"))).drop("hashes")
-    sizes = rows.groupBy("root", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ONES)).alias("parts"))
+    A tree of up to BLOCK leaves has one.  In a larger one a node is a band of sizes and a part of it: sets of bands that are
+    not neighbours are never linked.  A band has so many parts that one holds about BLOCK leaves, or fewer if they are
+    large.  Sets go to the part of their smallest shingle hash: near copies mostly have the same."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("int")
+    rows = leaves.withColumn("size_band", band).withColumn("lead", F.xxhash64(F.array_min("hashes")))
+    rows = rows.withColumn("ones", _places(num, den)(F.col("hashes"))).drop("hashes")
+    sizes = rows.groupBy("root", "size_band").agg(F.count("*").alias("c"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("ones")) / ONES)).alias("parts"))
+    whole = Window.partitionBy("root")
+    sizes = sizes.withColumn("small", (F.sum("c").over(whole) <= BLOCK) & (F.sum("parts").over(whole) <= F.count("*").over(whole)))
+    rows = rows.join(sizes.drop("c"), ["root", "size_band"])
+    rows = rows.withColumn("band", F.when(F.col("small"), 0).otherwise(F.col("size_band"))).withColumn("part", F.when(F.col("small"), 0).otherwise(F.pmod("lead", "parts")))
     excess = F.col("n") - F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x))
-    rows = rows.join(sizes, ["root", "band"]).withColumn("part", F.pmod("lead", "parts"))
     grouped = rows.groupBy("root", "band", "part").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"),
-        F.max(excess).alias("excess"), F.max(F.col("n") - F.size("ones")).alias("loss"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("ones")))).alias("wide"),
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(excess).alias("excess"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("small"), F.col("ones")))))).alias("wide"),
         F.collect_list(F.struct("node", "label", "n", "bits")).alias("leaves"), *_ors(),
     )
-    return grouped.select("root", "band", "part", "lo", "hi", "least", "most", "excess", "loss", "wide", "leaves", _bitmap())
+    return grouped.select("root", "band", "part", "lo", "hi", "least", "most", "excess", "wide", "leaves", _bitmap())
 
 
 def _ors() -> list[Column]:
@@ -486,12 +489,8 @@ def _bitmap() -> Column:
 
 
 def _with_parent(level: DataFrame) -> DataFrame:
-    """Nodes with the band and part of their inner node: parts that follow one another, then bands."""
-    widest = level.groupBy("root", "band").agg(F.max("part").alias("_last")).groupBy("root").agg(F.max("_last").alias("_last"))
-    several = F.col("_last") > 0
-    band = F.when(several, F.col("band")).otherwise(F.floor(F.col("band") / FAN)).cast("int")
-    part = F.when(several, F.floor(F.col("part") / FAN)).otherwise(0).cast("long")
-    return level.join(widest, "root").withColumn("parent_band", band).withColumn("parent_part", part).drop("_last")
+    """Nodes with the band and part of their inner node: BANDS bands that follow one another, PARTS parts of each."""
+    return level.withColumn("parent_band", F.floor(F.col("band") / BANDS).cast("int")).withColumn("parent_part", F.floor(F.col("part") / PARTS).cast("long"))
 
 
 def _inner(level: DataFrame) -> DataFrame:

@@ -79,8 +79,8 @@ def test_join_agrees_with_brute_force(spark, tables, width, num, den):
 def test_tree_traversal_alone_finds_all_links(spark, tables, monkeypatch):
     """Without pivots and with few children a node, the trees have several levels and must find everything."""
     monkeypatch.setattr(signature_tree, "PIVOTS", 0)
-    monkeypatch.setattr(signature_tree, "FAN", 2)
-    monkeypatch.setattr(signature_tree, "BLOCK", 8)
+    for name, value in (("FAN", 2), ("BANDS", 2), ("PARTS", 2), ("BLOCK", 8)):
+        monkeypatch.setattr(signature_tree, name, value)
     docs = planted(4, 2, (40, 60), (80, 120), (0, 3))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = signature_tree.near_groups(frame, 3, 90, 100).collect()
@@ -111,6 +111,22 @@ def test_trees_rule_out_most_pairs_of_blocks(spark, monkeypatch):
     assert {tuple(sorted(r)) for r in found} == {tuple(sorted((near[0], near[5000])))}
 
 
+def test_linked_sets_share_one_of_their_smallest_hashes():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for num, den in ((90, 100), (80, 100)):
+        for n in [*range(1, 40), 97, 500]:
+            for _ in range(5):
+                common = -(-n * num // den)
+                extra = int(common * den / num) - n if rng.random() < 0.5 else 0
+                a = rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64)
+                b = np.concatenate((rng.permutation(a)[:common], rng.integers(0, 1 << 63, max(0, extra), np.int64).astype(np.uint64)))
+                a, b = np.unique(a), np.unique(b)
+                if len(np.intersect1d(a, b)) * den >= num * len(np.union1d(a, b)):
+                    assert len(np.intersect1d(signature_tree.wide(a, num, den), signature_tree.wide(b, num, den)))
+
+
 def test_one_of_each_keeps_exactly_one_row(spark, tables):
     rng = random.Random(2)
     text = " ".join(f"w{rng.randrange(500)}" for _ in range(200))
