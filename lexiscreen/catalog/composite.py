@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,34 @@ REVIEW = REVIEWED.replace("WITH RECURSIVE ", "WITH RECURSIVE " + CUT + ",\n") +
 )
 
 
+_DETECTED = w.stopword_sql("c.part")
+_REASK = [p.replace("'", "''") for p in re.split(r"\{text\}|\{issues\}", fixed.REASK)]
+
+
 @query(
     "c02_guardrail_review",
-    REVIEW + "\nSELECT w.doc_id, w.words, CASE WHEN f.failed_on IS NULL THEN 'pass' ELSE 'fail' END AS verdict, f.failed_on FROM worded w LEFT JOIN failing f USING (doc_id)",
+    REVIEW.replace("d.lang FROM cuts c JOIN documents d ON d.doc_id = c.doc_id WHERE", f"{_DETECTED} AS lang FROM cuts c WHERE").replace(
+        "FROM cut_docs GROUP BY doc_id)", "FROM cut_docs WHERE lang IS NOT NULL GROUP BY doc_id)"
+    )
+    + f""",
+    spoken AS (SELECT doc_id, arg_min(lang, part_no) AS language FROM cut_docs WHERE lang IS NOT NULL GROUP BY doc_id),
+    shifted AS (SELECT g.*, g.doc_id // 1000000 AS whole, g.start + c.shift AS place FROM graded g JOIN (SELECT doc_id, part_no, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY part_no)::BIGINT - length(part) AS shift FROM cut_docs) c
+      ON c.doc_id = g.doc_id // 1000000 AND c.part_no = g.doc_id % 1000000),
+    spots AS (SELECT whole AS doc_id, string_agg(place || '-' || (place + length(text)) || ':' || subcategory, ',' ORDER BY place) AS found FROM shifted GROUP BY whole),
+    items AS (SELECT whole AS doc_id, place, n_alts > 0 AS has, CASE WHEN n_alts > 0 THEN '{{"issue":"' || text || '","alternatives":[' ||
+        CASE WHEN removals THEN '{{"remove":true}}' ELSE '{{"alt":"' || replace(names, ' / ', '"}},{{"alt":"') || '"}}' END || ']}}'
+       ELSE '{{"issue":"' || text || '","alternatives":[],"explanation":"' || explanation || '"}}' END AS item FROM shifted),
+    issues AS (SELECT doc_id, '[' || string_agg(item, ',' ORDER BY NOT has, place) || ']' AS issues FROM items WHERE item IS NOT NULL GROUP BY doc_id)
+    SELECT d.doc_id, s.language, coalesce(w.words, 0) AS words, CASE WHEN f.failed_on IS NULL THEN 'pass' ELSE 'fail' END AS verdict, f.failed_on, p.found,
+      CASE WHEN f.failed_on IS NOT NULL THEN md5('{_REASK[0]}' || to_json(d.text) || '{_REASK[1]}' || i.issues || '{_REASK[2]}') END AS reask
+    FROM documents d LEFT JOIN spoken s USING (doc_id) LEFT JOIN worded w USING (doc_id) LEFT JOIN failing f USING (doc_id) LEFT JOIN spots p USING (doc_id) LEFT JOIN issues i USING (doc_id)""",
 )
 def c02(spark, folder):
-    return review.review(src.documents(spark, folder), spark, limit_rows=LIMITS)
+    """Verdicts on texts that name no language: each part is checked in its own, findings keep their place in the whole text."""
+    docs = src.documents(spark, folder).withColumn("lang", F.lit(None).cast("string"))
+    rows = review.review(docs, spark, limit_rows=LIMITS)
+    spots = F.array_join(F.transform("found", lambda x: F.concat(x["start16"].cast("string"), F.lit("-"), x["end16"].cast("string"), F.lit(":"), x["subcategory"])), ",")
+    return rows.select("doc_id", "language", "words", "verdict", "failed_on", spots.alias("found"), F.md5("reask").alias("reask"))
 
 
 @query(

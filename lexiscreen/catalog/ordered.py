@@ -137,7 +137,7 @@ PARTS = rf"""cuts(doc_id, part_no, part_start, rest, part) AS (
 
 @query(
     "w09_chunk_parts",
-    q.with_("source AS (SELECT conv_id * 1000000 + turn AS doc_id, text FROM conversations WHERE role = 'assistant')", PARTS.format(size=_SIZE), recursive=True)
+    q.with_("source AS (SELECT conv_id || ':' || turn AS doc_id, text FROM conversations WHERE role = 'assistant')", PARTS.format(size=_SIZE), recursive=True)
     + "SELECT doc_id, part_no, part_start, part AS text FROM cuts WHERE part_no >= 0",
 )
 def w09(spark, folder):

@@ -85,3 +85,24 @@ def long_word(tok: Column) -> Column:
 
 def a_or_an(word: Column) -> Column:
     return F.concat(F.when(F.lower(F.substring(word, 1, 1)).isin(*"aeiou"), "an ").otherwise("a "), word)
+
+
+#: Frequent words by language, for texts that name none.
+STOPWORDS = {"en": "the of and is that with".split(), "de": "der die und das ist nicht".split(), "fr": "le la les et est que".split()}
+
+
+def stopword_language(text: Column) -> Column:
+    """The language with most of its frequent words in the text, the first of equal ones; NULL without any."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    count = lambda listed: F.size(F.filter(words, lambda x: x.isin(*listed)))
+    hits = [F.struct(count(listed).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, listed) in enumerate(STOPWORDS.items())]
+    best = F.array_max(F.array(*hits))
+    return F.when(best["n"] > 0, best["lang"])
+
+
+def stopword_sql(text: str) -> str:
+    """The same in plain SQL."""
+    count = lambda listed: f"len(list_filter(regexp_extract_all(lower({text}), '\\p{{L}}+'), lambda x: x IN {tuple(listed)}))"
+    counts = {lang: count(listed) for lang, listed in STOPWORDS.items()}
+    whens = " ".join(f"WHEN {n} THEN '{lang}'" for lang, n in counts.items())
+    return f"CASE greatest({', '.join(counts.values())}) WHEN 0 THEN NULL {whens} END"

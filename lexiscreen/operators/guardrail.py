@@ -4,6 +4,7 @@ built from what was found."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import islice
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.words import word_count
+from ..packs import fixed
 
 _FLUSH = 10_000
 LEVELS = ("overall", "corporate_rules", "openly_discriminating", "basic", "advanced")
@@ -87,9 +89,10 @@ def verdicts(words: DataFrame, counts: DataFrame, limits: DataFrame, key: str =
     return joined.select(key, "words", F.when(F.col("failed_on").isNull(), "pass").otherwise("fail").alias("verdict"), "failed_on")
 
 
-def quoted(findings: DataFrame, key: str = "doc_id") -> DataFrame:
+def quoted(findings: DataFrame, key: str = "doc_id", min_changes: int | None = None) -> DataFrame:
     """(key, changes, rephrase, issues): findings with suggestions as JSON, then
-    those with an explanation only.  Bounded by the text the findings lie in."""
+    those with an explanation only.  Bounded by the text the findings lie in.
+    With ``min_changes`` only texts that have more suggestions than that."""
     has = F.size("alternatives") > 0
     listed = F.transform(
         "alternatives", lambda a: F.struct(F.when(~a["is_remove"], a["alt"]).alias("alt"), F.when(a["is_remove"], True).alias("remove"))
@@ -102,7 +105,27 @@ def quoted(findings: DataFrame, key: str = "doc_id") -> DataFrame:
         F.array_sort(F.collect_list(F.struct((~F.col("has")).alias("later"), "start", "item"))).alias("_items"),
     )
     items = F.array_join(F.transform("_items", lambda s: s["item"]), ",")
-    return listed.select(key, "changes", F.concat(F.lit("["), items, F.lit("]")).alias("issues"))
+    kept = listed if min_changes is None else listed.filter(F.col("changes") > min_changes)
+    return kept.select(key, "changes", F.concat(F.lit("["), items, F.lit("]")).alias("issues"))
+
+
+def reask(text: Column, issues: Column) -> Column:
+    """The message that asks a model to mend its answer."""
+    before, between, after = re.split(r"\{text\}|\{issues\}", fixed.REASK)
+    quoted_text = F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+    return F.concat(F.lit(before), quoted_text, F.lit(between), issues, F.lit(after))
+
+
+def without_note(texts: DataFrame, notes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``texts`` (doc_id, text) whose last note, behind the mark, is just the one that the text before it gets: without
+    it.  Any other text behind a mark is part of the answer.  ``notes`` gives (doc_id, note) of some texts; only texts
+    with a mark are asked about."""
+    at = F.length("text") - F.locate(fixed.NOTE_MARK[::-1], F.reverse(F.col("text"))) + 1 - len(fixed.NOTE_MARK)
+    marked = texts.filter(F.col("text").contains(fixed.NOTE_MARK)).select("*", at.alias("_at"))
+    parts = marked.select(*texts.columns, F.substring("text", F.lit(1), F.col("_at")).alias("_answer"), F.substring("text", F.col("_at") + len(fixed.NOTE_MARK) + 1, F.length("text")).alias("_note"))
+    found = notes(parts.select(*[c for c in texts.columns if c != "text"], F.col("_answer").alias("text"))).select("doc_id", "note")
+    own = parts.join(found, "doc_id").filter("note = _note").select("doc_id", "_answer")
+    return texts.join(own, "doc_id", "left").withColumn("text", F.coalesce("_answer", "text")).drop("_answer")
 
 
 def note_entry(explain: bool) -> Column:

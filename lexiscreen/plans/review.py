@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as w
@@ -20,21 +20,56 @@ def limits(spark, rows=None) -> DataFrame:
     return frame.withColumn("max_count", F.col("max_count").cast("int")).withColumn("max_ratio", F.col("max_ratio").cast("double"))
 
 
-def findings_by_part(texts: DataFrame, spark, size: int) -> tuple[DataFrame, DataFrame]:
-    """Parts and their findings, both keyed by ``part``, a struct of text and part number.
-    Parts are rows, so one long text is screened by many tasks."""
-    cut = guardrail.parts(texts, size)
-    cut = cut.withColumn("part", F.struct("doc_id", "part_no"))
+def parted(texts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, part_no, part, lang, text, shift, shift16): parts are rows, so one long text is screened by many tasks.
+
+    ``part`` is a struct of text and part number; a part without a language is in the one its frequent words say.  What
+    a finding's offsets move by is counted in code points and in UTF-16 units."""
+    cut = guardrail.parts(texts, size).withColumn("part", F.struct("doc_id", "part_no"))
+    before = Window.partitionBy("doc_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    shift16 = F.coalesce(F.sum(w.utf16_length(F.col("text"))).over(before), F.lit(0)).cast("int")
+    lang = F.coalesce("lang", w.stopword_language(F.col("text")))
+    return cut.select("doc_id", "part_no", "part", lang.alias("lang"), "text", F.col("part_start").alias("shift"), shift16.alias("shift16"))
+
+
+def findings(texts: DataFrame, spark, size: int) -> tuple[DataFrame, DataFrame]:
+    """Parts, and their findings with ``start`` and ``end`` in the whole text and ``start16`` and ``end16`` in its UTF-16 units."""
+    cut = parted(texts, size)
     found = check.findings(
         cut.select(F.col("part").alias("doc_id"), "lang", "text"), spark, disabled=list(fixed.INCLUSIVE_CATEGORIES)
-    )
-    return cut, found.withColumnRenamed("doc_id", "part")
+    ).withColumnRenamed("doc_id", "part")
+    places = cut.select("part", F.col("text").alias("_text"), "shift", "shift16")
+    units = lambda at: F.col("shift16") + w.utf16_length(F.substring("_text", F.lit(1), at))
+    placed = found.join(places, "part").withColumns({"start16": units(F.col("start")), "end16": units(F.col("end"))})
+    placed = placed.withColumns({"start": F.col("start") + F.col("shift"), "end": F.col("end") + F.col("shift")})
+    return cut, placed.withColumn("doc_id", F.col("part.doc_id")).drop("part", "_text", "shift", "shift16")
 
 
 def review(texts: DataFrame, spark, size: int = 1000, limit_rows=None) -> DataFrame:
-    """(doc_id, words, verdict, failed_on)."""
-    cut, found = findings_by_part(texts, spark, size)
-    by_text = found.withColumn("doc_id", F.col("part.doc_id"))
-    counts = guardrail.level_counts(by_text)
-    words = cut.groupBy("doc_id").agg(F.sum(w.word_count(F.col("text"))).alias("words"))
-    return guardrail.verdicts(words, counts, limits(spark, limit_rows))
+    """(doc_id, language, words, verdict, failed_on, found, reask).
+
+    Parts whose language is not told or not supported are not checked, and their words do not count; a text without any
+    other passes, with no language.  ``found`` are the findings as (start16, end16, text, subcategory); ``reask`` is the
+    message to the model, for texts that fail."""
+    cut, found = findings(texts, spark, size)
+    counts = guardrail.level_counts(found)
+    asked = cut.filter(F.col("lang").isin(*check.SUPPORTED))
+    words = asked.groupBy("doc_id").agg(F.sum(w.word_count(F.col("text"))).alias("words"), F.min_by("lang", "part_no").alias("language"))
+    judged = guardrail.verdicts(words.select("doc_id", "words"), counts, limits(spark, limit_rows))
+    listed = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start16", "end16", "text", "subcategory"))).alias("found"))
+    issues = guardrail.quoted(found, min_changes=0).select("doc_id", "issues")
+    rows = texts.select("doc_id", "text").join(words.select("doc_id", "language"), "doc_id", "left").join(judged, "doc_id", "left")
+    rows = rows.join(listed, "doc_id", "left").join(issues, "doc_id", "left")
+    failed = F.col("failed_on").isNotNull()
+    return rows.select(
+        "doc_id", "language", F.coalesce("words", F.lit(0)).alias("words"), F.when(failed, "fail").otherwise("pass").alias("verdict"),
+        "failed_on", "found", F.when(failed, guardrail.reask(F.col("text"), F.col("issues"))).alias("reask"),
+    )
+
+
+def notes(texts: DataFrame, spark, explain: bool = False) -> DataFrame:
+    """(doc_id, note) of texts with findings that have alternatives; texts without a language are in that of their
+    frequent words."""
+    lang = w.stopword_language(F.col("text"))
+    texts = texts.withColumn("lang", F.coalesce("lang", lang) if "lang" in texts.columns else lang)
+    return guardrail.note(check.findings(texts, spark), explain)

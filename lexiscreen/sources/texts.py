@@ -29,7 +29,7 @@ def answers(spark: SparkSession, folder: str) -> DataFrame:
     """What the assistant wrote, one row per turn, keyed by ``doc_id``."""
     rows = table(spark, folder, "conversations").filter("role = 'assistant'")
     return spread(
-        rows.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("doc_id"), "conv_id", "turn", "text")
+        rows.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "conv_id", "turn", "text")
     )
 
 
