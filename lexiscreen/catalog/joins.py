@@ -166,33 +166,6 @@ def j07(spark, folder):
     return suppress.without_false_positives(found, packs.false_positives(spark)).select("doc_id", "i", "rule_id", "text")
 
 
-@query(
-    "j08_pattern_false_positives",
-    BASE
-    + """SELECT doc_id, i, rule_id FROM matched m WHERE NOT EXISTS (
-      SELECT 1 FROM annotated a WHERE a.doc_id = m.doc_id AND a.word_type = 'article' AND a.n1 IS NOT NULL
-        AND regexp_matches(a.n1, '^\\p{Lu}') AND a.start <= m.start AND m.start < a."end" + length(a.ws) + length(a.n1)
-        AND a.lemma <> string_split(m.words, ' ')[1])""".replace("\\\\", "\\"),
-)
-def j08(spark, folder):
-    """Spans "article + capitalised word" suppress matches that start inside
-    them, unless the rule is about the article itself."""
-    words = annotated(spark, folder)
-    following = F.get("next", F.lit(0))
-    token = F.regexp_extract(following, f"^[^{q.BLANKS}]*", 0)
-    spans = words.filter((F.col("word_type") == "article") & following.rlike(r"^\p{Lu}")).select(
-        "doc_id", F.col("start").alias("_s"), (F.col("end") + F.length("ws") + F.length(token)).alias("_e"),
-        F.col("lemma").alias("_lemma"),
-    )
-    found = check.matched(src.documents(spark, folder), packs.rules(spark), packs.lemmas(spark))
-    found = found.select("doc_id", "i", "start", "rule_id", "words")
-    on = (
-        (found["doc_id"] == spans["doc_id"]) & (F.col("_s") <= F.col("start")) & (F.col("start") < F.col("_e"))
-        & (F.col("_lemma") != F.element_at(F.split("words", " "), 1))
-    )
-    return found.join(spans, on, "left_anti").select("doc_id", "i", "rule_id")
-
-
 @query(
     "j10_female_form_probe",
     q.with_(q.VOCABULARY)

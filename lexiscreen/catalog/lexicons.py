@@ -221,28 +221,13 @@ def p07(spark, folder):
 @query(
     "p10_clause_start_guard",
     q.with_(q.RULES, q.LEMMAS, NEAR)
-    + r"""SELECT doc_id, i FROM annotated WHERE lang = 'de' AND lower(tok) = 'und' AND NOT regexp_matches(right(left5, 5), '^ {0,5}$') AND NOT regexp_matches(right(left5, 5), '[.!?:,][ \n]{0,5}$')""",
+    + r"""SELECT doc_id, i, tok, lower(tok) = 'aber' AND (regexp_matches(right(left5, 5), '^ {0,5}$') OR regexp_matches(right(left5, 5), '[.!?:,]\s{0,5}$')) AS is_ignored FROM annotated
+      WHERE lang = 'de' AND lower(tok) IN ('aber', 'und', 'oder')""",
 )
 def p10(spark, folder):
-    """A conjunction at the start of a sentence or clause is left alone."""
-    words = tokens(src.documents(spark, folder).filter("lang = 'de'"), prev=5).filter(F.lower("tok") == "und")
-    return words.filter(~check.at_clause_start()).select("doc_id", "i")
-
-
-MAPPING = [("TYPOS", "spelling"), ("CASING", "spelling"), ("STYLE", "plain_language")]
-
-
-@query(
-    "p18_category_map",
-    q.with_(q.VOCABULARY, "mapping AS " + literal.values("external, subcategory", MAPPING))
-    + """SELECT v.lang, coalesce(m.subcategory, 'orthography') AS subcategory, sum(v.n)::BIGINT AS n FROM (SELECT *, ['TYPOS', 'CASING', 'STYLE', 'GRAMMAR'][(length(tok) % 4 + 1)::INT] AS external FROM vocabulary WHERE length(tok) > 8) v
-      LEFT JOIN mapping m USING (external) GROUP BY ALL""",
-)
-def p18(spark, folder):
-    words = vocab(spark, folder, "length(tok) > 8")
-    external = F.element_at(F.array(*map(F.lit, ("TYPOS", "CASING", "STYLE", "GRAMMAR"))), F.length("tok") % 4 + 1)
-    joined = words.withColumn("external", external).join(literal.frame(spark, "external, subcategory", MAPPING), "external", "left")
-    return joined.groupBy("lang", F.coalesce("subcategory", F.lit("orthography")).alias("subcategory")).agg(F.sum("n").alias("n"))
+    """German conjunctions; of them `aber` is left alone at the start of a sentence or clause."""
+    words = tokens(src.documents(spark, folder).filter("lang = 'de'"), prev=5).filter(F.lower("tok").isin("aber", "und", "oder"))
+    return words.select("doc_id", "i", "tok", ((F.lower("tok") == "aber") & check.at_clause_start()).alias("is_ignored"))
 
 
 @query(
@@ -323,12 +308,12 @@ def f49(spark, folder):
 
 @query(
     "f50_redact_event",
-    """SELECT event_id, 'k=' || regexp_replace(regexp_extract(props, '"k": ?([0-9]+)', 1), '[0-9]+', '<NUMBER>', 'g') || ';page_index=' || user_id || ';url=<URL>' AS props FROM events WHERE event_type <> 'error'""",
+    """SELECT event_id, 'k=' || regexp_replace(regexp_extract(props, '"k": ?([0-9]+)', 1), '[0-9]+', '<NUMBER>', 'g') || ';page_index=' || user_id || ';url=<URL>' AS props FROM events""",
 )
 def f50(spark, folder):
     """Credentials dropped, the query string cut, other values masked; values
     under `_index` stay."""
-    e = src.table(spark, folder, "events").filter("event_type <> 'error'")
+    e = src.table(spark, folder, "events")
     raw = F.map_concat(
         F.from_json("props", "map<string,string>"),
         F.create_map(F.lit("authorization"), F.lit("secret"), F.lit("page_index"), F.col("user_id").cast("string"), F.lit("url"), F.lit("https://example.org/a?token=1")),
@@ -399,13 +384,13 @@ def c08(spark, folder):
 @query(
     "c09_rephrase_drafts",
     q.with_(q.RULES, q.LEMMAS, q.ALTERNATIVES, NEAR)
-    + """SELECT m.doc_id, m.i, a.ord, left5 || '[' || a.alt || ']' || CASE WHEN n_words = 1 THEN m.ws ELSE w1 END || '' AS draft FROM matched m JOIN alternatives a ON a.rule_id = m.rule_id
-      WHERE m.n_words = 1 AND a.alt IS NOT NULL AND NOT contains(a.alt, '^') AND m.lang = 'de'""",
+    + """SELECT m.doc_id, m.i, a.ord, left5 || '[' || a.alt || ']' || CASE WHEN n_words = 1 THEN m.ws ELSE coalesce(w1, '') END AS draft FROM matched m JOIN alternatives a ON a.rule_id = m.rule_id
+      WHERE a.alt IS NOT NULL AND NOT contains(a.alt, '^')""",
 )
 def c09(spark, folder):
     """Each suggestion put in place of a match, marked, after what precedes it."""
-    docs = src.documents(spark, folder).filter("lang = 'de'")
-    found = check.matched(docs, packs.rules(spark), packs.lemmas(spark)).filter("n_words = 1")
+    found = check.matched(src.documents(spark, folder), packs.rules(spark), packs.lemmas(spark))
     alts = packs.alternatives(spark).filter("alt IS NOT NULL AND NOT contains(alt, '^')").select("rule_id", "ord", "alt")
     before = F.array_join(F.slice("prev", F.greatest(F.size("prev") - 4, F.lit(1)), F.lit(5)), "")
-    return found.join(alts, "rule_id").select("doc_id", "i", "ord", F.concat(before, F.lit("["), "alt", F.lit("]"), "ws").alias("draft"))
+    behind = F.when(F.col("n_words") == 1, F.col("ws")).otherwise(F.regexp_extract(F.get("next", F.col("n_words") - 2), f"[{BLANKS}]*$", 0))
+    return found.join(alts, "rule_id").select("doc_id", "i", "ord", F.concat(before, F.lit("["), "alt", F.lit("]"), behind).alias("draft"))

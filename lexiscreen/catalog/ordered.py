@@ -64,13 +64,13 @@ def article_words() -> list[str]:
     "w04_previous_article",
     q.with_(q.RULES, q.LEMMAS, NEAR, _ARTS)
     + """SELECT doc_id, i, tok, CASE WHEN lang = 'fr' AND lower(p1) = 'la' AND lower(p2) IN ('de', 'à') THEN p2 || ' ' || p1 ELSE p1 END AS article
-    FROM annotated WHERE lower(p1) IN (SELECT art FROM arts) AND length(tok) > 3""",
+    FROM annotated WHERE lower(p1) IN (SELECT art FROM arts)""",
 )
 def w04(spark, folder):
     words = tokens(src.documents(spark, folder).filter("lang IN ('en', 'de', 'fr')"), prev=2)
     back = lambda k: piece_token(F.try_element_at("prev", F.lit(-k)))
     near = words.select("doc_id", "lang", "i", "tok", back(1).alias("p1"), back(2).alias("p2"))
-    near = near.filter(F.lower("p1").isin(*article_words()) & (F.length("tok") > 3))
+    near = near.filter(F.lower("p1").isin(*article_words()))
     double = (F.col("lang") == "fr") & (F.lower("p1") == "la") & F.lower("p2").isin("de", "à")
     return near.select("doc_id", "i", "tok", F.when(double, F.concat("p2", F.lit(" "), "p1")).otherwise(F.col("p1")).alias("article"))
 

@@ -470,10 +470,10 @@ def f11(spark, folder):
     + r"""SELECT DISTINCT noun, article, CASE WHEN (ends_with(article, 'le') OR article = 'la')
         AND left(noun, 1) IN ('a','e','i','o','u','h','à','â','ä','é','è','ê','ë','î','ï','ô','ö','ù','û','ü')
         THEN 'l''' || noun ELSE article || ' ' || noun END AS phrase
-      FROM (SELECT DISTINCT lower(tok) AS noun FROM vocabulary WHERE lang = 'fr' AND length(tok) > 6) CROSS JOIN arts""",
+      FROM (SELECT DISTINCT lower(tok) AS noun FROM vocabulary WHERE lang = 'fr' AND regexp_matches(tok, '^\p{L}')) CROSS JOIN arts""",
 )
 def f34(spark, folder):
-    nouns = vocab(spark, folder, "lang = 'fr' AND length(tok) > 6").select(F.lower("tok").alias("noun")).distinct()
+    nouns = vocab(spark, folder, "lang = 'fr'").filter(F.col("tok").rlike(r"^\p{L}")).select(F.lower("tok").alias("noun")).distinct()
     articles = sorted({a for a, _ in fixed.FRENCH_MASCULINE + fixed.FRENCH_FEMININE})
     rows = nouns.withColumn("article", F.explode(F.array(*map(F.lit, articles))))
     return rows.select("noun", "article", french.with_article(F.col("article"), F.col("noun")).alias("phrase"))

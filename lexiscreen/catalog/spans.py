@@ -79,7 +79,19 @@ _ENDINGS = " OR ".join(f"starts_with(after, '{e}')" for e in fixed.GERMAN_ENDING
 )
 def p17(spark, folder):
     """Matches of the corpus's own spell checks with the reason to drop each."""
-    return external.judged(*found(spark, folder))
+    return external.judged(*found(spark, folder)).drop("category")
+
+
+@query(
+    "p18_category_map",
+    q.with_(q.TOKENS, _EXTERNAL, q.TAXONOMY)
+    + """SELECT m.lang, m.rule_id, CASE WHEN lower(m.category) IN (SELECT key FROM taxonomy) THEN lower(m.category) ELSE 'orthography' END AS subcategory, count(*) AS n FROM external m GROUP BY ALL""",
+)
+def p18(spark, folder):
+    """External matches by what they are reported under."""
+    _, matches, _ = found(spark, folder)
+    known = [r[0] for r in packs.TAXONOMY]
+    return matches.groupBy("lang", "rule_id", external.subcategory(known).alias("subcategory")).agg(F.count("*").alias("n"))
 
 
 FLAT = (

@@ -16,31 +16,31 @@ from .registry import ORACLES, QUERIES, query
 @query(
     "t01_best_form",
     q.with_(q.VOCABULARY)
-    + """SELECT form, base FROM (SELECT lower(tok) AS form, tok AS base, row_number() OVER (PARTITION BY lower(tok) ORDER BY (tok = lower(tok)) DESC, length(tok) DESC, tok) AS r
-      FROM vocabulary WHERE lang = 'en') WHERE r = 1""",
+    + """SELECT lang, form, base FROM (SELECT lang, lower(tok) AS form, tok AS base, row_number() OVER (PARTITION BY lang, lower(tok) ORDER BY (tok = lower(tok)) DESC, length(tok) DESC, tok) AS r
+      FROM vocabulary) WHERE r = 1""",
 )
 def t01(spark, folder):
     """The spelling a form is looked up under: exact first, then the longest.  A
     minimum over a sort key merges before the shuffle, unlike a ranking window."""
-    words = vocabulary(tokens(src.documents(spark, folder).filter("lang = 'en'")))
+    words = vocabulary(tokens(src.documents(spark, folder)))
     key = F.struct((F.col("tok") != F.lower("tok")).alias("a"), (-F.length("tok")).alias("b"), F.col("tok").alias("c"))
-    return words.groupBy(F.lower("tok").alias("form")).agg(F.min_by("tok", key).alias("base"))
+    return words.groupBy("lang", F.lower("tok").alias("form")).agg(F.min_by("tok", key).alias("base"))
 
 
 @query(
     "t02_max_alternatives",
     q.with_(q.VOCABULARY)
-    + """SELECT stem, string_agg(tok, ',' ORDER BY n DESC, tok) AS top FROM (SELECT *, left(lower(tok), 3) AS stem, row_number() OVER (PARTITION BY left(lower(tok), 3) ORDER BY n DESC, tok) AS r
-      FROM vocabulary WHERE lang = 'en') WHERE r <= 5 GROUP BY stem""",
+    + """SELECT lang, stem, string_agg(tok, ',' ORDER BY n DESC, tok) AS top FROM (SELECT *, left(lower(tok), 3) AS stem, row_number() OVER (PARTITION BY lang, left(lower(tok), 3) ORDER BY n DESC, tok) AS r
+      FROM vocabulary) WHERE r <= 5 GROUP BY lang, stem""",
 )
 def t02(spark, folder):
-    """At most five candidates per stem.  The limit on the rank is pushed below
+    """At most five candidates per language and stem.  The limit on the rank is pushed below
     the shuffle, so a hot stem sends five rows per task."""
-    words = vocabulary(tokens(src.documents(spark, folder).filter("lang = 'en'"))).withColumn("stem", F.lower(F.substring("tok", 1, 3)))
-    order = Window.partitionBy("stem").orderBy(F.desc("n"), "tok")
+    words = vocabulary(tokens(src.documents(spark, folder))).withColumn("stem", F.substring(F.lower("tok"), 1, 3))
+    order = Window.partitionBy("lang", "stem").orderBy(F.desc("n"), "tok")
     top = words.withColumn("r", F.row_number().over(order)).filter("r <= 5")
-    listed = top.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("r", "tok"))).alias("t"))
-    return listed.select("stem", F.array_join(F.transform("t", lambda s: s["tok"]), ",").alias("top"))
+    listed = top.groupBy("lang", "stem").agg(F.array_sort(F.collect_list(F.struct("r", "tok"))).alias("t"))
+    return listed.select("lang", "stem", F.array_join(F.transform("t", lambda s: s["tok"]), ",").alias("top"))
 
 
 @query("c10_language_profile", langid.profile_sql())

@@ -11,8 +11,17 @@ from pyspark.sql import functions as F
 _SOLID = r"[^ \t\r\n]"
 _DOMAIN = r"(?:[\p{L}\p{N}_-]+\.)+(?:xn--[a-z0-9-]+|\p{L}{2,})"
 _IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-# In full, or with one gap; two groups at least stand before a gap or have two digits, as `::` is also punctuation.
-_IPV6 = r"(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|[0-9a-f]{2,4}:(?:[0-9a-f]{1,4}:){0,5}(?::[0-9a-f]{1,4}){1,6}"
+# In full, or with one gap: inside, at the front (with a digit behind it) or at the end (with two groups before it), as
+# `::` is also punctuation.  An address begins and ends where words do.
+_GROUP = "[0-9a-f]{1,4}"
+_IPV6 = "|".join(
+    (
+        rf"\b(?:{_GROUP}:){{7}}{_GROUP}\b",
+        rf"\b[0-9a-f]{{2,4}}:(?:{_GROUP}:){{0,5}}(?::{_GROUP}){{1,6}}\b",
+        rf"\b[0-9a-f]{{2,4}}(?::{_GROUP}){{1,6}}::\B",
+        rf"\B::(?:{_GROUP}:){{0,6}}[0-9a-f]{{0,3}}[0-9][0-9a-f]{{0,3}}\b",
+    )
+)
 _HOST = rf"(?:\[(?:{_IPV6})\]|{_IPV6}|{_IPV4}|{_DOMAIN}|localhost)"
 _SCHEME, _USER, _PORT, _REST = r"(?:[a-z][a-z0-9.+-]*://)?", r"(?:[^ \t\r\n@/]+@)?", r"(?::[0-9]{1,5})?", rf"(?:[/?#]{_SOLID}*)?"
 

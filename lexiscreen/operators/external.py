@@ -146,6 +146,27 @@ def reason(ending: str, separator: str, inclusive_roles: bool = True) -> Column:
     return found
 
 
+def subcategory(known: list[str], group: Column | None = None, message: Column | None = None) -> Column:
+    """What a match is reported under, NULL if it is not reported; ``known`` are the keys of the taxonomy, ``group`` is the
+    name of the checker's category."""
+    rule, category = F.col("rule_id"), F.col("category")
+    foreign = (rule == "ANGLIZISMEN") | (F.lit(False) if message is None else F.coalesce(message.contains("Fremdwörter"), F.lit(False)))
+    easy = F.lit(False) if group is None else F.coalesce(group == "Leichte Sprache", F.lit(False))
+    plain = (category == "COLLOQUIALISMS") | ((category == "STYLE") & rule.isin(*fixed.EXTERNAL_PLAIN))
+    return (
+        F.when(rule.isin(*fixed.EXTERNAL_SILENT), None)
+        .when(plain, "plain_language")
+        .when((category == "STYLE") & rule.isin(*fixed.EXTERNAL_OFFENSIVE), "offensive_language")
+        .when(category.isin(*fixed.EXTERNAL_STYLE), "orthography")
+        .when(category == "PLAIN_ENGLISH", "plain_language_advanced")
+        .when((category == "DIFFICULT_WORDS") & (rule == "ABKUERZUNG"), None)
+        .when((category == "DIFFICULT_WORDS") & foreign, "anglicism_advanced")
+        .when((category == "DIFFICULT_WORDS") | easy, "plain_language_advanced")
+        .when(F.lower(category).isin(*known), F.lower(category))
+        .otherwise("orthography")
+    )
+
+
 def judged(texts: DataFrame, matches: DataFrame, entities: DataFrame, ending: str = "*in", separator: str = "·", inclusive_roles: bool = True) -> DataFrame:
     """Every match with its text and the reason to drop it, NULL for the kept ones."""
     spark = texts.sparkSession
@@ -155,4 +176,4 @@ def judged(texts: DataFrame, matches: DataFrame, entities: DataFrame, ending: st
     known = literal.frame(spark, "text", feminine).distinct().withColumn("is_feminine", F.lit(True))
     rows = rows.withColumn("word", F.lower("text")).join(inclusive, "word", "left").join(known, "text", "left").drop("word")
     rows = rows.fillna(False, ["is_inclusive", "is_feminine"])
-    return rows.select("doc_id", "lang", "start", "end", "rule_id", "text", reason(ending, separator, inclusive_roles).alias("reason"))
+    return rows.select("doc_id", "lang", "start", "end", "rule_id", "category", "text", reason(ending, separator, inclusive_roles).alias("reason"))

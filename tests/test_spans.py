@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiscreen.catalog.grammar import PEOPLE_RULES
 from lexiscreen.operators import external, people, sweep
@@ -133,3 +134,33 @@ def test_rules_for_people_need_a_person(spark, lang, text, want):
         docs = spark.createDataFrame([(t, l, t) for l, t, _ in PEOPLE], "doc_id string, lang string, text string")
         _DONE["people"] = people.not_for_people(docs, literal.frame(spark, people.RULE_COLUMNS, PEOPLE_RULES)).orderBy("i").collect()
     assert [(r["tok"], r["head"], r["is_kept"]) for r in _DONE["people"] if r["doc_id"] == text] == want
+
+
+def test_what_an_external_match_is_reported_under(spark):
+    cases = [
+        ("SONDERZEICHEN", "TYPOS", None, "", None), ("X", "COLLOQUIALISMS", None, "", "plain_language"), ("GONNA_TEMP", "STYLE", None, "", "plain_language"),
+        ("RUDE_SARCASTIC", "STYLE", None, "", "offensive_language"), ("X", "STYLE", None, "", "orthography"), ("X", "REDUNDANCY", None, "", "orthography"),
+        ("X", "PLAIN_ENGLISH", None, "", "plain_language_advanced"), ("ABKUERZUNG", "DIFFICULT_WORDS", None, "", None), ("ANGLIZISMEN", "DIFFICULT_WORDS", None, "", "anglicism_advanced"),
+        ("X", "DIFFICULT_WORDS", None, "Fremdwörter meiden", "anglicism_advanced"), ("X", "DIFFICULT_WORDS", None, "", "plain_language_advanced"),
+        ("X", "MISC", "Leichte Sprache", "", "plain_language_advanced"), ("X", "SPELLING", None, "", "spelling"), ("X", "TYPOS", None, "", "orthography"),
+    ]
+    frame = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(cases)], "k int, rule_id string, category string, name string, message string")
+    got = frame.select("k", external.subcategory(["spelling"], F.col("name"), F.col("message")).alias("s")).orderBy("k").collect()
+    assert [r["s"] for r in got] == [c[4] for c in cases]
+
+
+def test_addresses_are_masked_and_code_is_not(spark):
+    from lexiscreen.functions import privacy
+
+    texts = {
+        "see ::1 here": "see <URL> here", "on 2001:db8:: now": "on <URL> now", "at 2001:db8::1, ok": "at <URL>, ok", "1:2:3:4:5:6:7:8": "<URL>",
+        "a face::book b": "a face::book b", "std::vector<int>": "std::vector<int>", "std::cafe": "std::cafe", "a ::b": "a ::b", "[2001:db8::7]:80/x y": "<URL> y",
+        "me@example.org": "<EMAIL>", "127.0.0.1:8080/a": "<URL>", "call 42": "call <NUMBER>",
+    }
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["m"] for r in frame.select("t", privacy.mask(F.col("t")).alias("m")).collect()} == texts
+    import duckdb
+
+    con = duckdb.connect()
+    for text, want in texts.items():
+        assert con.execute(f"SELECT {privacy.masked_sql('t')} FROM (SELECT ? AS t)", [text]).fetchall()[0][0] == want
