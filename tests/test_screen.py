@@ -95,6 +95,9 @@ def found(spark):
         result = screen.findings(docs, spark, configs, literal.frame(spark, packs.SCREEN_COLUMNS, rows)).collect()
     finally:
         packs.alternative_rows = old
+    said = {r["text"]: r["explanation"] for r in result}
+    assert said[LONG].startswith("Ein langes Wort") and said["🚀🚀🚀"].startswith("Screen readers") and said[f"{THIRTY}."].startswith("A long sentence")
+    assert said["🍔"] is None and said["for the"] == "cut"
     names = {v: k for k, v in packs.STAGES.items()}
     by: dict = {}
     for r in sorted(result, key=lambda r: (r["doc_id"], r["start"])):
