@@ -3,9 +3,10 @@
 Base patterns give assignments, access keys and long hex runs.  The battery looks at every long run of key
 characters.  It infers the run's encoding, then tests
 - chi-squared uniformity over that alphabet, against the excess that ordinary writing has over it,
-- runs of one character class (ordinary writing rarely changes class, keys often do),
+- changes of character class: names and paths change between letters and digits rarely, and between cases and separators where
+  a word begins; keys change more often (a z-value each, judged only where the encoding has these classes),
 - runs above and below the alphabet's middle, and serial correlation, which keys must not fail.
-The first two give a p-value for "this is ordinary writing", bounded from above.  Letters of one case have no change of
+These but the last give a p-value for "this is ordinary writing", bounded from above.  Letters of one case have no change of
 class, and their counts alone tell little: there the p-value comes from which letters they are, as the likelihood ratio
 of natural to uniform letters, and uniformity is one more test that keys must not fail.  The Benjamini-Hochberg rule, for each
 class of lengths on its own as short runs carry less evidence, holds the share of false finds.  P-values are rounded
@@ -47,8 +48,9 @@ ENCODINGS = (
 LETTERS = (86, 17, 33, 46, 143, 14, 20, 31, 70, 5, 6, 46, 28, 77, 63, 19, 6, 68, 75, 69, 41, 12, 11, 2, 8, 5)
 #: Most that one of these languages has of the ratio of uniform letters to LETTERS, on average over its own letters.
 LANGUAGE = 1.033
-#: Share of steps at which ordinary writing changes its character class.
-CHANGES = 0.08
+#: Shares of steps at which names and paths change between letters and digits, and between the other classes: words of a
+#: name follow one another every six characters or so, and both ends of a hump or separator are a change.
+DIGIT_CHANGES, OTHER_CHANGES = 0.06, 0.33
 #: Steps of the p-value grid per power of ten, and its end.
 GRID, GRID_END = 100, 4000
 #: Class lengths begin here.
@@ -99,11 +101,19 @@ def spans(text: Column, pattern: str, value_group: int = 0) -> Column:
 
 
 def _class_changes(chars: Column) -> Column:
+    """(digit, other): steps between a letter and a digit, and steps between lower case, upper case and symbols or between
+    a symbol and a digit."""
+
     def kind(c: Column) -> Column:
         return F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3)
 
-    kinds = F.transform(chars, kind)
-    return let(kinds, lambda k: F.size(F.filter(F.sequence(F.lit(1), F.size(k) - 1), lambda i: F.get(k, i) != F.get(k, i - 1))))
+    def counted(k: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(k) - 1), lambda i: F.struct(F.get(k, i - 1).alias("a"), F.get(k, i).alias("b")))
+        changed = F.filter(pairs, lambda p: p["a"] != p["b"])
+        digit = F.size(F.filter(changed, lambda p: (F.least(p["a"], p["b"]) == 0) & (F.greatest(p["a"], p["b"]) < 3)))
+        return F.struct(digit.alias("digit"), (F.size(changed) - digit).alias("other"))
+
+    return let(F.transform(chars, kind), counted)
 
 
 def _passes_as_random(values: Column, n: Column, symbols: Column) -> Column:
@@ -152,8 +162,14 @@ def evidence(token: Column) -> Column:
         )
         chi = squares * size / n - n
         less = (size - 1 + n * e["excess"] - chi) / F.sqrt(2 * (size - 1) + 4 * n * e["excess"])
-        changes = (_class_changes(chars) - (n - 1) * CHANGES) / F.sqrt((n - 1) * (CHANGES * (1 - CHANGES)))
-        z = (less + changes) / F.sqrt(F.lit(2.0))
+        more = lambda seen, share: (seen - (n - 1) * share) / F.sqrt((n - 1) * (share * (1 - share)))
+        z = let(
+            _class_changes(chars),
+            lambda c: F.when(
+                e["symbols"].rlike("[a-z]") & e["symbols"].rlike("[A-Z]"),
+                (less + more(c["digit"], DIGIT_CHANGES) + more(c["other"], OTHER_CHANGES)) / F.sqrt(F.lit(3.0)),
+            ).otherwise((less + more(c["digit"], DIGIT_CHANGES)) / F.sqrt(F.lit(2.0))),
+        )
         values = F.transform(chars, lambda c: F.instr(e["symbols"], c).cast("long"))
         one_case = size == len(LETTERS)
         uniform = chi < size - 1 + 3.3 * F.sqrt(2 * (size - 1))
@@ -227,7 +243,8 @@ def joined(found: Column) -> Column:
 def op10(spark, folder):
     """Secrets of every document: base spans and the battery's.
 
-    Null and empty texts have none.  A run that is also a base match is listed as both.  Repeated rows give equal
+    Null and empty texts have none; a very long text is read whole, its spans are counted blockwise.  A run that is also
+    a base match is listed as both.  Repeated rows give equal
     results; with an empty table no run is graded."""
     rows = scan(table(spark, folder, "documents"))
     base = F.filter("found", lambda s: s["kind"] < 3)

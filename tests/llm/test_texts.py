@@ -321,6 +321,34 @@ def test_secrets_agree_with_brute_force(spark, tables):
     assert secret_scan.op10(spark, tables()).count() == 0
 
 
+WORDS = (
+    "get set user name value list item class element tag parse read write file path index count number first last total order price "
+    "client server request response header body content type length width height color font size table column row data base model view "
+    "control manager factory builder handler service account payment invoice address street city country region language message error "
+    "warning info debug trace start stop begin end open close create update delete insert select filter sort group join merge split "
+    "local package python library module import export default config option setting system version release branch commit change graph "
+    "image photo video audio stream buffer memory cache queue thread process worker session token cookie domain network"
+).split()
+
+
+def test_names_and_paths_are_no_secrets(spark, tables):
+    """Ordinary names of programs and the web: at most one in a hundred is reported, next to keys that all but few are."""
+    rng = random.Random(21)
+    some = lambda k: [rng.choice(WORDS) for _ in range(k)]
+    names = ["".join(w.title() for w in some(6)) for _ in range(300)] + ["_".join(some(5)).upper() for _ in range(300)]
+    names += ["/" + "/".join([*some(3), "-".join(some(3)), str(rng.randrange(2000, 2030))]) for _ in range(300)]
+    names += ["getElementsByClassNameAndTagName", "/usr/local/lib/python3/site-packages/numpy", "/en/2024/01/15/some-long-article-path-2", "iPhone13ProMax-256GB-Graphite-EU-Model"]
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(b64) for _ in range(40)) for _ in range(30)] + ["".join(rng.choice(b64[26:62]) for _ in range(40)) for _ in range(30)]
+    found = lambda docs: [r.spans for r in secret_scan.op10(spark, tables(documents=docs)).orderBy("doc_id").collect()]
+    alone = found([(k, f"see {w} here", "en", "s", 1) for k, w in enumerate(names)])
+    assert sum("random" in x for x in alone) <= 9
+    mixed = found([(k, f"see {w} here", "en", "s", 1) for k, w in enumerate(names + keys)])
+    assert sum("random" in x for x in mixed[: len(names)]) <= 9
+    assert sum("random" in x for x in mixed[len(names) : len(names) + 30]) >= 27
+    assert sum("random" in x for x in mixed[len(names) + 30 :]) >= 24
+
+
 def test_keys_of_one_letter_case_are_secrets(spark, tables):
     rng = random.Random(12)
     small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
