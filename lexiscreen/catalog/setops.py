@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import external
 from ..operators.tokens import tokens, vocabulary
 from ..packs import fixed, rules as packs
 from ..plans import check
@@ -11,6 +12,7 @@ from ..sources import texts as src
 from . import sql as q
 from .joins import NEAR
 from .registry import query
+from .spans import EXTERNAL, JUDGED
 
 
 @query(
@@ -26,16 +28,17 @@ def u01(spark, folder):
 
 @query(
     "u02_findings_union",
-    q.with_(q.RULES, q.LEMMAS, NEAR)
-    + r"""SELECT doc_id, start::BIGINT AS start, text, 1 AS origin FROM matched WHERE n_words > 1
-    UNION ALL SELECT doc_id, start, tok, 0 FROM tokens WHERE length(tok) > 18""",
+    q.with_(q.RULES, q.LEMMAS, NEAR, EXTERNAL, JUDGED)
+    + r"""SELECT doc_id, start::BIGINT AS start, text, 1 AS origin FROM matched
+    UNION ALL SELECT doc_id, start::BIGINT, text, 0 FROM judged WHERE reason IS NULL""",
 )
 def u02(spark, folder):
+    """The check's own matches and what is kept of the external ones."""
     docs = src.documents(spark, folder)
-    own = check.matched(docs, packs.rules(spark), packs.lemmas(spark)).filter("n_words > 1")
-    external = tokens(docs).filter("length(tok) > 18")
-    shape = lambda df, text, origin: df.select("doc_id", F.col("start").cast("long").alias("start"), F.col(text).alias("text"), F.lit(origin).alias("origin"))
-    return shape(own, "text", 1).unionByName(shape(external, "tok", 0))
+    own = check.matched(docs, packs.rules(spark), packs.lemmas(spark))
+    external_ = external.judged(docs, external.spelling(docs), external.names(docs)).filter("reason IS NULL")
+    shape = lambda df, origin: df.select("doc_id", F.col("start").cast("long").alias("start"), "text", F.lit(origin).alias("origin"))
+    return shape(own, 1).unionByName(shape(external_, 0))
 
 
 @query(

@@ -14,7 +14,7 @@ from .joins import IN_SCOPE, NEAR
 from .registry import query
 from .scans import RUNS
 
-_EXTERNAL = r"""behind AS (SELECT doc_id, i, lag(piece) OVER (PARTITION BY doc_id ORDER BY i) AS prior FROM pieces),
+EXTERNAL = r"""behind AS (SELECT doc_id, i, lag(piece) OVER (PARTITION BY doc_id ORDER BY i) AS prior FROM pieces),
 external AS (
   SELECT arg_min(doc_id, (doc_id, start)) AS doc_id, lang, arg_min(start, (doc_id, start)) AS start, arg_min("end", (doc_id, start)) AS "end", 'SPELL' AS rule_id, 'TYPOS' AS category
     FROM tokens WHERE regexp_matches(tok, '^\p{L}{4,}$') GROUP BY lang, lower(tok) HAVING count(*) = 1
@@ -36,7 +36,7 @@ def found(spark, folder):
 
 @query(
     "j11_span_overlap",
-    q.with_(q.TOKENS, _EXTERNAL)
+    q.with_(q.TOKENS, EXTERNAL)
     + """SELECT m.doc_id, m.start::INT AS start, m."end"::INT AS "end", c.name FROM external m LEFT JOIN crossed c
       ON c.doc_id = m.doc_id AND c.start = m.start AND c."end" = m."end" AND c.rule_id = m.rule_id WHERE m.category = 'TYPOS'""",
 )
@@ -57,17 +57,15 @@ _LABELS = ", ".join(f"'{x}'" for x in fixed.NAME_LABELS)
 _ENDINGS = " OR ".join(f"starts_with(after, '{e}')" for e in fixed.GERMAN_ENDINGS_BEHIND)
 
 
-@query(
-    "p17_external_matches",
-    q.with_(q.TOKENS, _EXTERNAL)
-    + rf""", lines AS (SELECT doc_id, text, lead, lower(regexp_extract(substr(text, lead + 1), '^[^\n]*')) AS line FROM (
+#: Needs tokens and what EXTERNAL makes of them.
+JUDGED = rf"""lines AS (SELECT doc_id, text, lead, lower(regexp_extract(substr(text, lead + 1), '^[^\n]*')) AS line FROM (
       SELECT doc_id, text, length(regexp_extract(text, '^[{BLANKS}]*')) AS lead FROM documents)),
     first AS (SELECT l.doc_id, l.text, l.lead, l.lead + length(l.line) AS stop, CASE d.lang WHEN 'de' THEN {_openings('de')} WHEN 'en' THEN {_openings('en')} END AS greeted
       FROM lines l JOIN documents d ON d.doc_id = l.doc_id),
     seen AS (SELECT m.*, substr(f.text, m.start + 1, m."end" - m.start) AS text, substr(f.text, greatest(m.start - 10, 0) + 1, m.start - greatest(m.start - 10, 0)) AS before,
       substr(f.text, m."end" + 1, 8) AS after, m.start = 0 OR m."end" <= f.lead AS is_leading, coalesce(f.greeted <= m.start AND m.start <= f.stop, false) AS is_greeted, c.name
-      FROM external m JOIN first f ON f.doc_id = m.doc_id LEFT JOIN crossed c ON c.doc_id = m.doc_id AND c.start = m.start AND c."end" = m."end" AND c.rule_id = m.rule_id)
-    SELECT doc_id, lang, start::INT AS start, "end"::INT AS "end", rule_id, text, CASE
+      FROM external m JOIN first f ON f.doc_id = m.doc_id LEFT JOIN crossed c ON c.doc_id = m.doc_id AND c.start = m.start AND c."end" = m."end" AND c.rule_id = m.rule_id),
+    judged AS (SELECT doc_id, lang, start::INT AS start, "end"::INT AS "end", rule_id, text, CASE
       WHEN rule_id = 'DE_CASE' AND regexp_matches(rtrim(before, ' '), '[\n\t]$') THEN 'line start'
       WHEN rule_id = 'WHITESPACE_RULE' AND is_leading THEN 'leading blanks'
       WHEN category = 'TYPOS' AND regexp_matches(text, '^\p{{Lu}}') AND name IN ({_LABELS}) THEN 'name'
@@ -75,8 +73,10 @@ _ENDINGS = " OR ".join(f"starts_with(after, '{e}')" for e in fixed.GERMAN_ENDING
       WHEN lang = 'fr' AND text IN ({_FEMININE}) THEN 'feminine noun'
       WHEN lang = 'fr' AND start > 5 AND (right(before, 1) = '·' OR starts_with(text, '·')) THEN 'separator'
       WHEN regexp_matches(text, '^[@#]') OR right(before, 1) IN ('@', '#') THEN 'mention'
-      WHEN lang = 'de' AND ({_ENDINGS}) THEN 'gender ending' END AS reason FROM seen""",
-)
+      WHEN lang = 'de' AND ({_ENDINGS}) THEN 'gender ending' END AS reason FROM seen)"""
+
+
+@query("p17_external_matches", q.with_(q.TOKENS, EXTERNAL, JUDGED) + "SELECT * FROM judged")
 def p17(spark, folder):
     """Matches of the corpus's own spell checks with the reason to drop each."""
     return external.judged(*found(spark, folder)).drop("category")
@@ -84,7 +84,7 @@ def p17(spark, folder):
 
 @query(
     "p18_category_map",
-    q.with_(q.TOKENS, _EXTERNAL, q.TAXONOMY)
+    q.with_(q.TOKENS, EXTERNAL, q.TAXONOMY)
     + """SELECT m.lang, m.rule_id, CASE WHEN lower(m.category) IN (SELECT key FROM taxonomy) THEN lower(m.category) ELSE 'orthography' END AS subcategory, count(*) AS n FROM external m GROUP BY ALL""",
 )
 def p18(spark, folder):

@@ -9,6 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sweep
+from .tokens import sentences
+
 
 def train(texts: DataFrame, labels: DataFrame, label: str = "toxic"):
     """A linear model on hashed words."""
@@ -26,7 +29,16 @@ def without_harmless(findings: DataFrame, model, least: float = 0.5) -> DataFram
     distinct sentence is scored once; without a model all findings stay."""
     if model is None:
         return findings
-    distinct = findings.select("sentence").distinct()
+    distinct = findings.select("sentence").filter("sentence IS NOT NULL").distinct()
     scored = model.transform(distinct.withColumnRenamed("sentence", "text"))
     harmless = scored.filter(vector_to_array("probability")[1] < least).select(F.col("text").alias("sentence"))
     return findings.join(harmless, "sentence", "left_anti")
+
+
+def cleared(findings: DataFrame, texts: DataFrame, model, rule_ids: tuple[int, ...], least: float = 0.5) -> DataFrame:
+    """Drop findings of the named rules in sentences that the model clears.  A finding's sentence is the last one that begins
+    at or before it; other findings ask nothing and stay."""
+    cut = sentences(texts).select("doc_id", "start", "end", "sentence")
+    placed = sweep.last_starting(findings, cut, "_in")
+    asked = placed.withColumn("sentence", F.when(F.col("rule_id").isin(*rule_ids), F.col("_in.sentence"))).drop("_in")
+    return without_harmless(asked, model, least).drop("sentence")

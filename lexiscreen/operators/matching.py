@@ -145,9 +145,16 @@ def phrase_matches(candidates: DataFrame) -> DataFrame:
     )
 
 
+#: Letters of a rule's text that are its key.
+GRAM = 3
+
+
 def substring_hits(words: DataFrame, rules: DataFrame, addons: list[str] | None = None) -> DataFrame:
     """Substring rules over *distinct* words: the rule's text is in the word and
-    still is after the standard word parts the rule does not contain are cut."""
+    still is after the standard word parts the rule does not contain are cut.
+
+    A word meets the rules whose first letters it holds somewhere: the key is language and letters, not the language alone.
+    Rules shorter than a key are few, and meet the words by their own letters in the same way."""
     inside = F.lower("words")
     parts = F.array(*[F.lit(p) for p in fixed.STANDARD_WORDS])
     pack = allowed(rules, "substring", addons).select(
@@ -157,7 +164,13 @@ def substring_hits(words: DataFrame, rules: DataFrame, addons: list[str] | None
         "subcategories",
         F.filter(parts, lambda p: ~inside.contains(p)).alias("_parts"),
     )
-    hits = words.join(pack, (F.col("lang") == F.col("_lang")) & F.lower("tok").contains(F.col("inside")))
+    size = F.least(F.length("inside"), F.lit(GRAM))
+    pack = pack.withColumn("_size", size).withColumn("_gram", F.substring("inside", F.lit(1), size)).filter("_size > 0")
+    low = F.lower("tok")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda k: F.struct(F.lit(n).alias("_n"), F.substring(low, k, F.lit(n)).alias("_g")))
+    keyed_words = words.withColumn("_k", F.explode(F.array_distinct(F.concat(*[cut(n) for n in range(1, GRAM + 1)]))))
+    on = (F.col("lang") == F.col("_lang")) & (F.col("_k._n") == F.col("_size")) & (F.col("_k._g") == F.col("_gram"))
+    hits = keyed_words.join(pack, on).filter(low.contains(F.col("inside"))).drop("_k", "_size", "_gram")
     cut = F.aggregate("_parts", F.lower("tok"), lambda w, p: F.replace(w, p, F.lit("")))
     return hits.filter(cut.contains(F.col("inside"))).drop("_lang", "_parts")
 

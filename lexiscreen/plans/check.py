@@ -72,7 +72,8 @@ def ranked(
         "doc_id", "lang", "i", "skip", "start", "end", "text", "rule_id", "subcategory", "number", "explanation",
         "stage", "n_words", "words", "rule_word_type", "lemmatize",
     )
-    return ranking.best_rule(slim)
+    # Whatever follows looks at a text's matches together: dealt by text once, they stay where they are.
+    return ranking.best_rule(slim.repartition("doc_id"))
 
 
 def findings(

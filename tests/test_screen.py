@@ -109,3 +109,16 @@ def found(spark):
 @pytest.mark.parametrize("k", range(len(CASES)))
 def test_findings(found, k):
     assert found.get(k, []) == CASES[k][3]
+
+
+def test_rules_for_parts_of_words_of_any_length(spark):
+    from lexiscreen.operators import matching
+
+    words = ["Feuerwehrmann", "mann", "XyZ", "ab", "a", "Bahnhof", "manm"]
+    frame = spark.createDataFrame([("de", w) for w in words], "lang string, tok string")
+    rules = [(1, "mann"), (2, "yz"), (3, "b"), (4, "hnho"), (5, "")]
+    rows = [(i, "de", w, "substring", True, False, "", "titles", "default", None, False, None, None, None) for i, w in rules]
+    from lexiscreen.packs import literal
+
+    got = matching.substring_hits(frame, literal.frame(spark, packs.RULE_COLUMNS, rows)).select("tok", "rule_id").collect()
+    assert sorted(map(tuple, got)) == [("Bahnhof", 3), ("Bahnhof", 4), ("Feuerwehrmann", 1), ("XyZ", 2), ("mann", 1)]  # `ab` is cut as a part of its own
