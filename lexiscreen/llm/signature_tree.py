@@ -238,14 +238,14 @@ def segments(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "key bigint, node bigint")
 
 
-def leaves(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, n, bits, signature, hashes) of the given (node, of_doc) nodes, from the text of one of their rows.
+def leaves(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, n, lead, bits, ones, signature, hashes) of the given (node, of_doc) nodes, from the text of one of their rows.
 
     An id with several texts, null among them, has several nodes: there the text's own node is part of the key, so that no
     text meets another one's node."""
-    schema = "node bigint, n bigint, bits array<bigint>, signature binary, hashes array<bigint>"
-    names = ["node", "n", "bits", "signature", "hashes"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+    schema = "node bigint, n bigint, lead bigint, bits array<bigint>, ones array<int>, signature binary, hashes array<bigint>"
+    names = ["node", "n", "lead", "bits", "ones", "signature", "hashes"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64())]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -258,7 +258,7 @@ def leaves(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 if node_of(hashes) != node:
                     continue  # another text with the same id
                 seen.add(node)
-                rows.append((node, len(hashes), bitmap(hashes), signature(hashes), hashes.view(np.int64)))
+                rows.append((node, len(hashes), int(hashes[:1].view(np.int64)[0]), bitmap(hashes), wide(hashes, num, den), signature(hashes), hashes.view(np.int64)))
                 waiting += len(hashes)
                 if waiting > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -334,7 +334,7 @@ class Join:
         below = below.filter("node <> root").groupBy("node", "root").agg(F.count("*").alias("shared"), F.sum("second").alias("keys"))
         below = saved(below, "join-roots")
         asked = below.select("node").union(below.select(F.col("root").alias("node"))).distinct()
-        self.leaf = saved(leaves(self.docs, saved(asked.join(nodes, "node"), "join-asked"), self.width), "join-leaves")
+        self.leaf = saved(leaves(self.docs, saved(asked.join(nodes, "node"), "join-asked"), self.width, self.num, self.den), "join-leaves")
         roots = below.groupBy("root").agg(F.sum("keys").alias("shared")).select(F.col("root").alias("node"), "root", "shared")
         members = saved(below.select("node", "root", "shared").union(roots), "join-members")
         links, marked = None, members.withColumn("label", F.col("node"))
@@ -360,16 +360,28 @@ class Join:
         found = saved(self.linked(self.traverse(marked)), "join-links")
         return components(found if links is None else links.union(found))
 
-    def blocks(self, marked: DataFrame) -> DataFrame:
-        """The lowest inner nodes of all trees with leaves of different labels."""
+    def placed(self, marked: DataFrame) -> DataFrame:
+        """(root, node, label, n, small, band, part) of the leaves of all trees with leaves of different labels."""
         mixed = marked.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("root").alias("r"))
-        bits = self.leaf.select(F.col("node").alias("leaf"), "n", "bits", "hashes")
-        open_ = marked.join(saved(mixed, "tree-roots"), F.col("root") == F.col("r")).join(bits, F.col("node") == F.col("leaf"))
-        return saved(_blocks(open_.select("root", "node", "label", "n", "bits", "hashes"), self.num, self.den), "tree-blocks")
-
-    def block_pairs(self, blocks: DataFrame) -> DataFrame:
+        sizes = self.leaf.select(F.col("node").alias("leaf"), "n", "lead")
+        open_ = marked.join(saved(mixed, "tree-roots"), F.col("root") == F.col("r")).join(sizes, F.col("node") == F.col("leaf"))
+        return saved(_placed(open_.select("root", "node", "label", "n", "lead"), self.num, self.den), "tree-placed")
+
+    def blocks(self, placed: DataFrame) -> DataFrame:
+        """The lowest inner nodes, with their leaves: bitmaps are fetched once a leaf and tree."""
+        bits = self.leaf.select(F.col("node").alias("leaf"), "bits")
+        return saved(_blocks(placed.join(bits, F.col("node") == F.col("leaf"))), "tree-blocks")
+
+    def wides(self, placed: DataFrame) -> DataFrame:
+        """(root, band, part, wide) of the lowest inner nodes of trees that have several."""
+        ones = self.leaf.select(F.col("node").alias("leaf"), "ones")
+        rows = placed.filter("NOT small").join(ones, F.col("node") == F.col("leaf"))
+        union = F.sort_array(F.array_distinct(F.flatten(F.collect_list("ones"))))
+        return saved(rows.groupBy("root", "band", "part").agg(union.alias("wide")), "tree-wide")
+
+    def block_pairs(self, blocks: DataFrame, wides: DataFrame) -> DataFrame:
         """(same, x_leaves, y_leaves) of the pairs of lowest inner nodes that bitmaps and sizes do not rule out."""
-        levels = [blocks.drop("leaves", "wide")]
+        levels = [blocks.drop("leaves")]
         while (levels[-1].groupBy("root").count().agg(F.max("count")).first()[0] or 0) > FAN:
             levels[-1] = _with_parent(levels[-1])
             levels.append(saved(_inner(levels[-1]), "tree-level"))
@@ -386,7 +398,7 @@ class Join:
         names = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("x", "y") for c in ("band", "part")]
         near = saved(pairs.filter(self.reachable()).select("root", *names), "tree-pairs")
         same = (F.col("x_band") == F.col("y_band")) & (F.col("x_part") == F.col("y_part"))
-        held = lambda s, c: blocks.select("root", F.col("band").alias(f"{s}_band"), F.col("part").alias(f"{s}_part"), F.col(c).alias(f"{s}_{c}"))
+        held = lambda s, c: (wides if c == "wide" else blocks).select("root", F.col("band").alias(f"{s}_band"), F.col("part").alias(f"{s}_part"), F.col(c).alias(f"{s}_{c}"))
         with_ = lambda rows, s, c: rows.join(held(s, c), ["root", f"{s}_band", f"{s}_part"])
         apart = with_(with_(near.filter(~same), "x", "wide"), "y", "wide").filter(_meet(F.col("x_wide"), F.col("y_wide")))
         apart = saved(apart.select(*keys), "tree-apart")
@@ -395,7 +407,8 @@ class Join:
 
     def traverse(self, marked: DataFrame) -> DataFrame:
         """(a, b): leaves below one root, of different labels, that may be linked."""
-        found = self.block_pairs(self.blocks(marked)).mapInArrow(_matrices(self.num, self.den), "a bigint, b bigint")
+        placed = self.placed(marked)
+        found = self.block_pairs(self.blocks(placed), self.wides(placed)).mapInArrow(_matrices(self.num, self.den), "a bigint, b bigint")
         return saved(found.distinct(), "tree-leaves")
 
     def reachable(self) -> Column:
@@ -449,35 +462,31 @@ def _meet(x: Column, y: Column) -> Column:
     return meet(x, y)
 
 
-def _places(num: int, den: int):
-    @F.arrow_udf("array<int>")
-    def places(sets: pa.Array) -> pa.Array:
-        return pa.array([wide(s.values.to_numpy(zero_copy_only=False).view(np.uint64), num, den) for s in sets], pa.list_(pa.int32()))
-
-    return places
-
-
-def _blocks(leaves: DataFrame, num: int, den: int) -> DataFrame:
-    """The lowest inner nodes, with their leaves.
+def _placed(leaves: DataFrame, num: int, den: int) -> DataFrame:
+    """Leaves with the lowest inner node they belong to.
 
     A tree of up to BLOCK leaves has one.  In a larger one a node is a band of sizes and a part of it: sets of bands that are
     not neighbours are never linked.  A band has so many parts that one holds about BLOCK leaves, or fewer if they are
     large.  Sets go to the part of their smallest shingle hash: near copies mostly have the same."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("int")
-    rows = leaves.withColumn("size_band", band).withColumn("lead", F.xxhash64(F.array_min("hashes")))
-    rows = rows.withColumn("ones", _places(num, den)(F.col("hashes"))).drop("hashes")
-    sizes = rows.groupBy("root", "size_band").agg(F.count("*").alias("c"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("ones")) / ONES)).alias("parts"))
+    rows = leaves.withColumn("size_band", band)
+    ones = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    sizes = rows.groupBy("root", "size_band").agg(F.count("*").alias("c"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(ones) / ONES)).alias("parts"))
     whole = Window.partitionBy("root")
     sizes = sizes.withColumn("small", (F.sum("c").over(whole) <= BLOCK) & (F.sum("parts").over(whole) <= F.count("*").over(whole)))
     rows = rows.join(sizes.drop("c"), ["root", "size_band"])
-    rows = rows.withColumn("band", F.when(F.col("small"), 0).otherwise(F.col("size_band"))).withColumn("part", F.when(F.col("small"), 0).otherwise(F.pmod("lead", "parts")))
+    band = F.when(F.col("small"), 0).otherwise(F.col("size_band")).alias("band")
+    part = F.when(F.col("small"), 0).otherwise(F.pmod(F.xxhash64("lead"), "parts")).cast("long").alias("part")
+    return rows.select("root", "node", "label", "n", "small", band, part)
+
+
+def _blocks(leaves: DataFrame) -> DataFrame:
     excess = F.col("n") - F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x))
-    grouped = rows.groupBy("root", "band", "part").agg(
+    grouped = leaves.groupBy("root", "band", "part").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(excess).alias("excess"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("small"), F.col("ones")))))).alias("wide"),
         F.collect_list(F.struct("node", "label", "n", "bits")).alias("leaves"), *_ors(),
     )
-    return grouped.select("root", "band", "part", "lo", "hi", "least", "most", "excess", "wide", "leaves", _bitmap())
+    return grouped.select("root", "band", "part", "lo", "hi", "least", "most", "excess", "leaves", _bitmap())
 
 
 def _ors() -> list[Column]:

@@ -100,11 +100,12 @@ def test_trees_rule_out_most_pairs_of_blocks(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     join = signature_tree.Join(frame, 3, 90, 100)
     nodes = signature_tree.saved(signature_tree.sets(frame, 3).groupBy("node").agg(F.min("doc_id").alias("of_doc")), "t")
-    join.leaf = signature_tree.saved(signature_tree.leaves(frame, nodes, 3), "t")
+    join.leaf = signature_tree.saved(signature_tree.leaves(frame, nodes, 3, 90, 100), "t")
     marked = nodes.select(F.lit(1).cast("long").alias("root"), "node", F.col("node").alias("label"))
-    blocks = join.blocks(marked)
+    placed = join.placed(marked)
+    blocks = join.blocks(placed)
     count = blocks.count()
-    pairs = join.block_pairs(blocks)
+    pairs = join.block_pairs(blocks, join.wides(placed))
     assert count > 80 and pairs.filter("NOT same").count() < 0.02 * count * (count - 1) / 2
     found = join.linked(pairs.mapInArrow(signature_tree._matrices(90, 100), "a bigint, b bigint").distinct()).collect()
     near = dict(nodes.select("of_doc", "node").collect())
