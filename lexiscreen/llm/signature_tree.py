@@ -552,22 +552,27 @@ def one_of_each(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """One row of each component of ``docs``: that with the smallest doc_id, null last, and of equal ids that with the
     smallest hash of its text, then any one of the equal rows.  Rows without shingles all stay.
 
-    What goes are keys (doc_id, hash of the text), so only keys that go, or that have several rows, meet the texts."""
+    Most ids go whole and are taken out by id alone.  Only where an id has rows that go and rows that stay, or none, or a
+    kept row is there several times, the hash of the text is asked."""
     found = Join(docs, width, num, den).run()
-    keys = saved(found.filter("component IS NOT NULL").groupBy("component", "doc_id", "row").agg(F.count("*").alias("rows")), "thin-keys")
+    keys = saved(found.groupBy("component", "doc_id", "row").agg(F.count("*").alias("rows")), "thin-keys")
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
-    first = saved(keys.groupBy("component").agg(F.min(order).alias("o")).select(F.col("component").alias("of"), "o"), "thin-first")
-    ranked = keys.join(first, F.col("component") == F.col("of")).withColumn("kept", order.eqNullSafe(F.col("o")))
-    gone = saved(ranked.filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct(), "thin-gone")
-    again = saved(ranked.filter("kept AND rows > 1").select(F.col("doc_id").alias("many_id"), F.col("row").alias("many_row")), "thin-repeated")
-    own = F.xxhash64(docs["text"])
-    here = lambda keys, a, b: docs["doc_id"].eqNullSafe(keys[a]) & (own == keys[b])
-    left = docs.join(gone, here(gone, "gone_id", "gone_row"), "left_anti")
+    first = saved(keys.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("o")).select(F.col("component").alias("of"), "o"), "thin-first")
+    kept = F.col("component").isNull() | order.eqNullSafe(F.col("o"))
+    ranked = saved(keys.join(first, F.col("component") == F.col("of"), "left").select("doc_id", "row", "rows", "component", kept.alias("kept")), "thin-ranked")
+    by_id = saved(ranked.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every")), "thin-ids")
+    whole = saved(by_id.filter("NOT some AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")), "thin-gone")
+    partly = by_id.filter("NOT every AND (some OR doc_id IS NULL)").select(F.col("doc_id").alias("id"))
+    gone = saved(ranked.filter("NOT kept").join(partly, F.col("doc_id").eqNullSafe(F.col("id"))).select(F.col("doc_id").alias("part_id"), F.col("row").alias("part_row")).distinct(), "thin-parts")
+    again = saved(ranked.filter("kept AND rows > 1 AND component IS NOT NULL").select(F.col("doc_id").alias("many_id"), F.col("row").alias("many_row")), "thin-repeated")
+    left = docs.join(whole, docs["doc_id"] == whole["gone_id"], "left_anti")
+    here = lambda rows, keys, a, b: rows["doc_id"].eqNullSafe(keys[a]) & (F.xxhash64(rows["text"]) == keys[b])
+    if not gone.isEmpty():
+        left = left.join(gone, here(left, gone, "part_id", "part_row"), "left_anti")
     if again.isEmpty():
         return left
-    once = left.join(again, left["doc_id"].eqNullSafe(again["many_id"]) & (F.xxhash64(left["text"]) == again["many_row"]), "left_anti")
-    several = left.join(again, left["doc_id"].eqNullSafe(again["many_id"]) & (F.xxhash64(left["text"]) == again["many_row"]), "left_semi")
-    return once.unionAll(several.dropDuplicates(["doc_id", "text"]))
+    once = left.join(again, here(left, again, "many_id", "many_row"), "left_anti")
+    return once.unionAll(left.join(again, here(left, again, "many_id", "many_row"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op3(spark, folder):
