@@ -37,6 +37,8 @@ COUNT_FOLDS, CURVE_FOLDS = (0, 1), (3,)
 #: Steps of the evidence for each unit, and its bound, when the curve is fitted.
 STEPS, BOUND = 500, 8.0
 THRESHOLD = 0.3
+#: Bytes of text that are scored at a time; the arrays made of them take some sixty times as much.
+BLOCK = 1 << 20
 
 #: Letters, digits and everything beyond ASCII spell words, lower-cased; zero ends a word.
 SPELL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0 for b in range(256))
@@ -204,7 +206,7 @@ def evidence_of(shared):
         if name not in _models:
             _models.clear()
             _models[name] = tuple((np.frombuffer(codes, np.int64), np.frombuffer(values, np.float32)) for codes, values in model)
-        found = [evidence([t or b"" for t in block], *_models[name]) for _, block in blocks(texts)]
+        found = [evidence([t or b"" for t in block], *_models[name]) for _, block in blocks(texts, BLOCK)]
         return pa.array(np.concatenate(found) if found else np.zeros(0))
 
     return column
