@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from lexiscreen.operators import context, external, matching, people
+from lexiscreen.functions import words as shapes
+from lexiscreen.operators import context, external, matching, people, ranking
 from lexiscreen.operators import tokens as cutting
 from lexiscreen.operators.tokens import Wanted, tokens
 from lexiscreen.packs import literal, rules as packs
@@ -93,3 +94,27 @@ def test_findings_without_a_sentence_are_dealt_out(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_touching_matches_are_folded_by_blocks_of_chains(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "CHAINS", 3)
+    rng = random.Random(5)
+    spans = [(d, i, i + rng.choice([1, 1, 1, 2, 3, 7])) for d in (1, 2, None) for i in range(300) if rng.random() < 0.5]
+    got = ranking.non_overlapping(spark.createDataFrame(spans, "doc_id int, i int, skip int"))
+    want, reach = set(), {}
+    for d, i, skip in spans:
+        if i >= reach.get(d, 0):
+            want.add((d, i, skip))
+            reach[d] = skip
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert " div 3)" in got._jdf.queryExecution().optimizedPlan().toString()  # not a group for each chain
+
+
+def test_the_language_of_frequent_words_needs_no_list_of_words(spark):
+    texts = ["", "the", "Le la thé the, isthe", "der1die_das ist", "et,et le the THE of", "ést est esté", "of ofé éof que İs is"]
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", shapes.stopword_language(F.col("t")).alias("l"))
+    words = F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0)).alias("w")
+    for r in frame.select("l", words).collect():
+        n = {lang: sum(w in listed for w in r["w"] or []) for lang, listed in shapes.STOPWORDS.items()}
+        assert r["l"] == (max(n, key=n.get) if any(n.values()) else None)
+    assert "lambda" not in frame._jdf.queryExecution().optimizedPlan().toString()  # no filter over all words of the text
