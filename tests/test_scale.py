@@ -1,11 +1,13 @@
 """Steps that must not carry every token of a corpus along: what leaves the pass over the texts, and what is shuffled."""
 
+import math
 import random
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from lexiscreen.functions import words as shapes
-from lexiscreen.operators import context, external, matching, people, ranking
+from lexiscreen.operators import context, external, langid, matching, people, ranking
 from lexiscreen.operators import tokens as cutting
 from lexiscreen.operators.tokens import Wanted, tokens
 from lexiscreen.packs import literal, rules as packs
@@ -118,3 +120,54 @@ def test_the_language_of_frequent_words_needs_no_list_of_words(spark):
         n = {lang: sum(w in listed for w in r["w"] or []) for lang, listed in shapes.STOPWORDS.items()}
         assert r["l"] == (max(n, key=n.get) if any(n.values()) else None)
     assert "lambda" not in frame._jdf.queryExecution().optimizedPlan().toString()  # no filter over all words of the text
+
+
+LANGUAGES = [
+    (1, "en", "the reed and the İstanbul cat, 2nd of_the THE"), (1, "en", "a second row of one id"), (2, "de", "Straße ÄÖÜ der Hund"), (3, "fr", "l'été où  \n\tles amis"),
+    (4, None, "der the où"), (5, "en", None), (6, "en", ""), (7, "de", "123 _ - ²Ⅻ"), (8, "fr", "𝒳𐐀𐐁 e\u0301t ΟΔΟΣ"), (None, "de", "und nichts"), (9, None, "жук"), (10, "de", "x"), (10, None, "жук жук"),
+]
+
+
+def counted_by_hand(spark):
+    """(doc_id, lang, {gram: n}) of LANGUAGES, from Spark's own words."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w")
+    rows = spark.createDataFrame(LANGUAGES, "doc_id int, lang string, text string").select("doc_id", "lang", words).collect()
+    return [(d, lang, Counter(f" {w} "[k : k + 3] for w in ws or [] for k in range(len(w)))) for d, lang, ws in rows]
+
+
+def test_languages_are_told_as_by_hand_however_few_likelihoods_the_tasks_know(spark, monkeypatch):
+    texts, hand = frame(spark, LANGUAGES), counted_by_hand(spark)
+    counts, sizes, gains = defaultdict(Counter), Counter(), defaultdict(dict)
+    for d, lang, grams in hand:
+        sizes[d] += sum(grams.values())
+        if lang is not None:
+            counts[lang].update(grams)
+    model = langid.profile(texts)
+    assert {(r["lang"], r["gram"]): r["n"] for r in model.collect()} == {(lang, g): n for lang, c in counts.items() for g, n in c.items()}
+    for d, _, grams in hand:
+        for lang, known in counts.items():
+            for g in grams.keys() & known.keys() if d is not None else ():
+                logp = math.log((known[g] + 1) / (sum(known.values()) + len(known)))
+                gains[d][lang] = gains[d].get(lang, 0) + grams[g] * (logp + 14)
+    want = {}
+    for d, each in gains.items():
+        e = {lang: math.exp(g / sizes[d]) for lang, g in each.items()}
+        want |= {(d, lang): x / sum(e.values()) for lang, x in e.items()}
+    assert len(want) == 10 and {d for d, _ in want} == {1, 2, 3, 4, 8, 10}
+    for most, block in ((langid.MOST_KNOWN, langid._BLOCK), (30, 40), (1, 1)):
+        monkeypatch.setattr(langid, "MOST_KNOWN", most)
+        monkeypatch.setattr(langid, "_BLOCK", block)
+        got = langid.scores(texts, model).collect()
+        assert len(got) == len(want)
+        assert all(math.isclose(r["score"], want[r["doc_id"], r["lang"]], rel_tol=1e-9) for r in got)
+    assert langid.scores(texts, model.filter("lang = 'xx'")).collect() == []
+
+
+def test_a_text_leaves_the_language_pass_as_a_row_for_each_language(spark):
+    rng = random.Random(7)
+    words = [("".join(rng.choice("abcdefghij") for _ in range(6))) for _ in range(3000)]
+    texts = frame(spark, [(d, ("en", "de")[d % 2], " ".join(words)) for d in range(4)])
+    scored = langid.scores(texts, langid.profile(texts))
+    assert len(scored.collect()) == 8
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") <= 2  # the languages of a text at the end (initial and final plan), not its words
