@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from lexiscreen.catalog import QUERIES
 from lexiscreen.functions import words as shapes
 from lexiscreen.operators import context, external, langid, matching, people, ranking
 from lexiscreen.operators import tokens as cutting
@@ -171,3 +172,15 @@ def test_a_text_leaves_the_language_pass_as_a_row_for_each_language(spark):
     assert len(scored.collect()) == 8
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Generate") <= 2  # the languages of a text at the end (initial and final plan), not its words
+
+
+def test_two_cuts_of_a_text_are_paired_where_it_is_read(spark, tmp_path):
+    made = [(1, "de", "  Die Lehrer*innen (m/w) 😀 sagen: l'été!\nGut ."), (2, "en", "one two, three"), (2, "en", "one two"), (None, "en", "lost"), (3, "fr", None), (4, "fr", ""), (5, "en", " \t "), (6, "en", "x")]
+    frame(spark, made).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    gold = tokens(docs, keep=("doc_id",), words_only=True).select("doc_id", "start", "end", F.col("tok").alias("gold"))
+    want = tokens(docs, keep=("doc_id",)).join(gold, ["doc_id", "start", "end"]).select("doc_id", "i", "gold")
+    got = QUERIES["j26_gold_align"](spark, str(tmp_path))
+    assert rows(got) == rows(want) and {r["gold"] for r in got.filter("doc_id = 1").collect()} == {"Die", "Lehrer*innen", "😀", "Gut", "."}
+    assert got.filter("doc_id = 2").count() == 7  # rows that share an id meet by it
+    assert "Exchange" not in cutting.aligned(docs)._jdf.queryExecution().executedPlan().toString()
