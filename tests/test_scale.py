@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lexiscreen.catalog import QUERIES
 from lexiscreen.functions import words as shapes
-from lexiscreen.operators import context, external, langid, matching, people, ranking
+from lexiscreen.operators import alternatives as alts
+from lexiscreen.operators import context, external, langid, matching, people, ranking, suppress
 from lexiscreen.operators import tokens as cutting
 from lexiscreen.operators.tokens import Wanted, tokens
 from lexiscreen.packs import literal, rules as packs
@@ -184,3 +185,35 @@ def test_two_cuts_of_a_text_are_paired_where_it_is_read(spark, tmp_path):
     assert rows(got) == rows(want) and {r["gold"] for r in got.filter("doc_id = 1").collect()} == {"Die", "Lehrer*innen", "😀", "Gut", "."}
     assert got.filter("doc_id = 2").count() == 7  # rows that share an id meet by it
     assert "Exchange" not in cutting.aligned(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_word_that_only_begins_phrases_is_asked_for_before_a_second_word(spark):
+    texts = frame(spark, [(1, "en", "of a house of the house OF  The end of\nThe x"), (2, "de", "von uns von der"), (3, "fr", "pour les pour moi de")])
+    asked = matching.asked_words(packs.rules(spark).filter("rule_id IN (8, 32, 45)"), packs.lemmas(spark))
+    told = [(r["doc_id"], r["i"]) for r in tokens(texts, only=asked).orderBy("doc_id", "i").collect()]
+    assert told == [(1, 3), (1, 6), (1, 9), (2, 2), (3, 0)]
+
+
+def test_parts_of_a_shape_are_worked_out_once(spark):
+    texts = frame(spark).withColumn("config_id", F.lit("src0"))
+    found = screen.matches(texts, spark, packs.configs(spark), packs.screen_rules(spark), packs.taxonomy(spark))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:et|ou) (?:(?:le|la|les|un|une|des) )?") == 1 and plan.count("[.,;!?»“”") == 1
+    texts = frame(spark, [(1, "en", "nothing to see"), (2, "de", "der Hund")])
+    assert tokens(texts, next=2).filter(screen._has_sign()).count() == 0
+
+
+def test_phrases_with_another_meaning_have_a_sign(spark):
+    said = ["a Masters of science", "she LED them up", "leads to it", "lead a good life", "let alone that", "of this KIND here", "quick Call now", "of a house", "a quick one", "the leader"]
+    words = tokens(frame(spark, [(k, "en", t) for k, t in enumerate(said)]), prev=5, next=6).withColumn("words", F.lit("-"))
+    told = {r["doc_id"] for r in words.filter(suppress.in_phrase()).collect()}
+    assert told == {0, 1, 2, 3, 4, 5, 6}
+
+
+def test_suggestions_are_cleaned_by_rule_but_for_a_findings_own_text(spark):
+    table = alts.suggestion_table(packs.rules(spark), packs.alternatives(spark))
+    found = spark.createDataFrame([(1, n, t) for n in ("singular", "plural", "none") for t in ("the", "this", "a")] + [(6, "unknown", "That"), (9, "unknown", "to")], "rule_id int, number string, text string")
+    none = F.array().cast("array<struct<ord:int,alt:string,is_remove:boolean,is_inspiration:boolean,label:string>>")
+    for most in (1000, 2, 0):
+        want = found.join(table, ["rule_id", "number"], "left").withColumn("alternatives", alts.clean(F.coalesce("alternatives", none), F.col("text"), most))
+        assert rows(alts.attached(found, table, most)) == rows(want)
