@@ -13,7 +13,7 @@ from lexiscreen.operators import context, external, langid, matching, people, ra
 from lexiscreen.operators import tokens as cutting
 from lexiscreen.operators.tokens import Wanted, tokens
 from lexiscreen.packs import literal, rules as packs
-from lexiscreen.plans import check, screen
+from lexiscreen.plans import check, review, screen
 
 TEXTS = [
     (1, "en", "Only the reed is here. And the cat, of the house."), (2, "de", "Sie sind nicht da: und die Lehrer*innen m/w. Die Aufgabe(n)"),
@@ -217,3 +217,12 @@ def test_suggestions_are_cleaned_by_rule_but_for_a_findings_own_text(spark):
     for most in (1000, 2, 0):
         want = found.join(table, ["rule_id", "number"], "left").withColumn("alternatives", alts.clean(F.coalesce("alternatives", none), F.col("text"), most))
         assert rows(alts.attached(found, table, most)) == rows(want)
+
+
+def test_a_review_runs_the_check_once(spark):
+    texts = frame(spark, [(1, None, "😀 the reed and that. " * 60), (1, None, "the other row 😀"), (2, None, "12"), (None, None, "the end")])
+    judged = review.review(texts, spark, 100)
+    assert "mapInArrow" not in judged._jdf.queryExecution().optimizedPlan().toString().replace("MapInArrow", "mapInArrow")
+    assert judged.count() == 4
+    held = review.places(texts, 100)
+    assert {bool(r["_text"]) for r in held.filter("part.doc_id IS NULL OR part.doc_id = 2").collect()} == {False}
